@@ -45,3 +45,25 @@ def durable(df: DataFrame) -> DataFrame:
 def text_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, null text as empty; other columns of the input, whatever their names, are left out."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+
+def row_hash(text: Column) -> Column:
+    """32 bits of a text that tell rows with one doc_id apart."""
+    return F.hash(text)
+
+
+def join_few(docs: DataFrame, few: DataFrame, how: str = "left") -> DataFrame:
+    """docs joined with few on (doc_id, row_hash), where most rows of docs have no partner.
+
+    few has one row a key. A blocked Bloom filter of its keys, at most 2**20 blocks whatever the data, is broadcast; only rows
+    of docs that pass it are shuffled to the exact join, the others are taken as they are (left, left_anti) or left out (inner). docs is read twice.
+    """
+    from quirework.llm.url_filter import bloom_filter, possible_members
+
+    key = lambda df: F.xxhash64(df["doc_id"], df["row_hash"])
+    keys = few.select(key(few).alias("canonical"))
+    bloom = bloom_filter(keys, "canonical", keys.count())
+    marked = possible_members(docs.withColumn("_few", key(docs)), "_few", bloom).drop("_few")
+    near, rest = marked.where("_possible").drop("_possible"), marked.where("not _possible").drop("_possible")
+    met = near.join(few, ["doc_id", "row_hash"], how)
+    return met if how == "inner" else met.unionByName(rest, allowMissingColumns=True)

@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontaminate as decon
-from quirework.llm import mixing, pii, simhash, url_filter, vector_search
+from quirework.llm import html_extract, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, vector_search
 from quirework.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scores = toxicity.toxicity_scores(docs, model)
+    return scores.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_html_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +41,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -39,5 +58,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pii_anchors, op5_mix_sources, op6_simhash_near_dedup, op8_vector_top_k, op9_url_filter, op10_decontaminate)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_grammar,
+        op2_suffix_array_dedup,
+        op3_html_differencing,
+        op4_pii_anchors,
+        op5_mix_sources,
+        op6_simhash_near_dedup,
+        op7_difference_cover_dedup,
+        op8_vector_top_k,
+        op9_url_filter,
+        op10_decontaminate,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import lower_ascii
 
-#: Blocks of the filter: 2**16 rows of two longs, 1 MB of data at most. More would be broadcast only after a check.
-BLOCKS = 1 << 16
+#: Blocks of the filter at most: 2**20 rows of two longs, 16 MB of data. This bounds what is broadcast, however long the list.
+MAX_BLOCKS = 1 << 20
+#: Keys for which a block of 64 bits is laid out, and bits set by each.
+KEYS_A_BLOCK = 4
 BITS = 4
 
 # Verdict, host and path of the rules.
@@ -45,20 +47,30 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, verdict
 
 
-def _bits(key: Column) -> tuple[Column, Column]:
-    """(block, mask) of a key: 16 bits choose the block, four times six others the bits."""
+def _bits(key: Column, blocks: int) -> tuple[Column, Column]:
+    """(block, mask) of a key: one hash chooses the block, four times six bits of another the bits."""
     h, g = F.xxhash64(key), F.xxhash64(F.lit(7), key)
     mask = F.lit(0).cast("long")
     for k in range(BITS):
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
-        mask = mask.bitwiseOR(one)
-    return F.pmod(h, F.lit(BLOCKS)), mask
+        bit = F.shiftrightunsigned(g, 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    return F.pmod(h, F.lit(blocks)), mask
 
 
-def bloom_filter(listed: DataFrame, col: str = "canonical") -> DataFrame:
-    """(block, bits) of a blocked Bloom filter over a column; at most BLOCKS rows."""
-    block, mask = _bits(F.col(col))
-    return listed.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("bits"))
+def bloom_filter(listed: DataFrame, col: str, n_keys: int) -> tuple[DataFrame, int]:
+    """((block, bits), blocks): a blocked Bloom filter over a column with about n_keys values; one row a block in use."""
+    blocks = min(MAX_BLOCKS, 1 << max(4, (n_keys // KEYS_A_BLOCK).bit_length()))
+    block, mask = _bits(F.col(col), blocks)
+    return listed.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("bits")), blocks
+
+
+def possible_members(rows: DataFrame, col: str, bloom: tuple[DataFrame, int]) -> DataFrame:
+    """rows with a boolean _possible: false only if the value of col is surely not in the filter."""
+    block, mask = _bits(rows[col], bloom[1])
+    table = F.broadcast(bloom[0]).withColumnsRenamed({"block": "_block", "bits": "_bits"})
+    probed = rows.withColumns({"_at": block, "_mask": mask}).join(table, F.col("_at") == F.col("_block"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    return probed.withColumn("_possible", hit).drop("_at", "_mask", "_block", "_bits")
 
 
 def flag_listed(urls: DataFrame, listed: DataFrame, col: str = "canonical") -> DataFrame:
@@ -66,14 +78,10 @@ def flag_listed(urls: DataFrame, listed: DataFrame, col: str = "canonical") -> D
 
     Rows that the filter turns away get a join key that is in no list, spread over all partitions.
     """
-    block, mask = _bits(urls[col])
-    bloom = F.broadcast(bloom_filter(listed, col)).withColumnsRenamed({"block": "_block", "bits": "_bits"})
-    probed = urls.withColumns({"_at": block, "_mask": mask})
-    probed = probed.join(bloom, F.col("_at") == F.col("_block"), "left")
-    possible = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    probed = probed.withColumn("_key", F.when(possible, F.col(col)).otherwise(F.concat(F.lit("\u0000"), F.col(col))))
+    probed = possible_members(urls, col, bloom_filter(listed, col, listed.count()))
+    probed = probed.withColumn("_key", F.when(F.col("_possible"), F.col(col)).otherwise(F.concat(F.lit("\u0000"), F.col(col))))
     exact = listed.select(F.col(col).alias("_listed"))
-    return probed.join(exact, F.col("_key") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_at", "_mask", "_block", "_bits", "_key", "_listed")
+    return probed.join(exact, F.col("_key") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_possible", "_key", "_listed")
 
 
 def repeated_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
