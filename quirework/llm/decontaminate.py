@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable, lower_ascii
+from quirework.llm.common import durable, join_few, lower_ascii, packed
 
 WINDOW = 10
 #: Words after lower-casing A-Z.
@@ -109,7 +109,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit, all columns as they were."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    bad = contamination(texts, items.select(items["item_id"].cast("long").alias("item_id"), items["text"]), window).select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h")).distinct()
-    mine = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h"))
-    return docs.join(bad, mine, "left_anti")
+    text = F.coalesce(docs["text"], F.lit(""))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+    hits = contamination(texts, items.select(items["item_id"].cast("long").alias("item_id"), items["text"]), window)
+    bad = durable(hits.select("doc_id", "row_hash").distinct())
+    return join_few(packed(docs, doc_id=docs["doc_id"].cast("long"), row_hash=F.xxhash64(text)), bad, "left_anti").select("_row.*")

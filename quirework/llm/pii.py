@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import text_columns
+from quirework.llm.common import batch, text_columns
 
 #: Kinds in the order in which they are listed; the last four come from the method alone.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret", "iban")
@@ -40,6 +41,7 @@ SECRET_VALUE = re.compile(r"[\x20]?[:=][\x20]?[\"']?([^\s\"',;]{8,})")
 CLOUD_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 IBAN_VALUE = re.compile(r"[\x20:=]{0,3}([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30})")
 
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 Span = tuple[str, int, int]
 
 
@@ -161,12 +163,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "spans": found})
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in b.column("text").to_pylist()]
+            yield batch(doc_id=b.column("doc_id"), spans=pa.array(found, SPANS))
 
-    return text_columns(docs, id_col, text_col).mapInPandas(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return text_columns(docs, id_col, text_col).mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:

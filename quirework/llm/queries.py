@@ -73,4 +73,56 @@ QUERIES: dict[str, Query] = {
         op10_decontaminate,
     )
 }
-ORACLES: dict[str, str] = {}
+# SQL of the operators that DuckDB can express. The others: op1 is a trained model; op2 and op3 read bytes and markup; op4 needs
+# positions of matches; op5 and op6 use hashes that DuckDB lacks. tests/llm holds these against brute-force versions.
+
+OP7_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50)),
+first as (select k, min(doc_id) as m from win group by k),
+gone as (select distinct doc_id, unnest(range(s, s + 50)) as i from win join first using (k) where doc_id > m),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d)
+select d.doc_id, len(d.w) as n_words, coalesce(g.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from d
+left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)
+left join (select doc_id, string_agg(word, ' ' order by i) as kept from words anti join gone using (doc_id, i) group by doc_id) k using (doc_id)
+"""
+
+OP8_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10
+"""
+
+OP9_SQL = r"""
+with p as (select page_id, coalesce(url, '') as url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^#?]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') as query from p),
+c as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/|\.html)$', '') || case when query <> '' then '?' || query else '' end as canonical from h),
+j as (select *, case
+  when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+  when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+  when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+  when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from c)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+  when canonical <> '' and count(*) over (partition by canonical) > 1 then 'block' else 'allow' end as verdict from j
+"""
+
+OP10_SQL = r"""
+with lower as (select translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t, item_id from benchmark),
+items as (select item_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from lower where t is not null),
+win as (select distinct item_id, n, md5(array_to_string(w[s:s + n - 1], ' ')) as k from
+  (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from items where len(w) > 0)),
+d as (select doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+dw as (select doc_id, n, s, md5(array_to_string(w[s:s + n - 1], ' ')) as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from win) where len(w) >= n)),
+hit as (select doc_id, item_id, n, s from dw join win using (n, k)),
+pos as (select doc_id, count(distinct i) as n_hit from (select doc_id, unnest(range(s, s + n)) as i from hit) group by doc_id),
+ids as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from hit) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join ids using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_difference_cover_dedup": OP7_SQL, "op8_vector_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}

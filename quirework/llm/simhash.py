@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import LOWER_ASCII, WORD, durable, text_columns
+from quirework.llm.common import LOWER_ASCII, WORD, batch, durable, join_few, packed, text_columns
 
 SHINGLE = 4
 SEED = 42
@@ -55,11 +56,11 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row; null text counts as empty and gets fingerprint zero."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.fromiter((simhash(t, shingle) for t in b["text"]), np.int64, len(b))})
+            yield batch(doc_id=b.column("doc_id"), fp=np.fromiter((simhash(t, shingle) for t in b.column("text").to_pylist()), np.int64, len(b)))
 
-    return text_columns(docs, id_col, text_col).mapInPandas(scan, "doc_id long, fp long")
+    return text_columns(docs, id_col, text_col).mapInArrow(scan, "doc_id long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -205,12 +206,15 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int
 def keep_one_of_each(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The documents of the table that stay: the one with the smallest doc_id of each group, all its columns as they were.
 
-    Of repeated rows with that id, one stays. Documents without an id cannot be told apart and stay.
+    Of several rows with that id, one stays. Documents without an id can't be told apart and stay. Only documents that go, or
+    whose id repeats, are shuffled with their texts.
     """
-    groups = near_duplicates(docs, distance, shingle)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    groups = durable(near_duplicates(docs, distance, shingle).where("doc_id is not null"))
+    per_id = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    few = durable(per_id.where("goes or rows > 1").select("doc_id", "goes"))
+    met = join_few(packed(docs, doc_id=docs["doc_id"].cast("long")), few, "left", ("doc_id",))
+    once = met.where("not goes").dropDuplicates(["doc_id"])
+    return met.where("goes is null").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:

@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, durable, join_few, row_hash
+from quirework.llm.common import WORD, batch, durable, join_few, row_hash
 from quirework.llm.runs import Rolling, covered
 
 WINDOW = 50
@@ -180,10 +181,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     removed = by_document(not_first(around)).unionByName(copies.withColumn("places", F.lit(None).cast("array<int>")))
     changed = join_few(docs, durable(removed.withColumn("changed", F.lit(True))))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, places, touched in zip(b["text"], b["places"], b["changed"], strict=True):
+            n_words, n_removed, left = [], [], []
+            for text, places, touched in zip(*(b.column(c).to_pylist() for c in ("text", "places", "changed")), strict=True):
                 words = WORDS.findall(text)
                 gone = np.zeros(len(words), bool)
                 if touched is True and len(words) >= window:
@@ -193,10 +194,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                         at = np.asarray(places, np.int64)
                         gone = covered(len(words), at, np.ones(len(at), np.int64), window)
                 kept = " ".join(words) if not gone.any() else " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                out.append((len(words), int(gone.sum()), kept))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])], axis=1)
+                n_words.append(len(words))
+                n_removed.append(int(gone.sum()))
+                left.append(kept)
+            yield batch(doc_id=b.column("doc_id"), n_words=np.array(n_words, np.int64), n_removed=np.array(n_removed, np.int64), kept=left)
 
-    return changed.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return changed.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable, join_few, row_hash
+from quirework.llm.common import batch, durable, join_few, row_hash
 from quirework.llm.runs import Rolling, covered, mixed, window_runs
 
 WINDOW = 400
@@ -300,10 +301,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     spans = whole.unionByName(partly).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     changed = join_few(docs, durable(spans))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, found in zip(b["text"], b["spans"], strict=True):
+            for text, found in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if found is None or len(found) == 0:
                     out.append((len(data), 0, 0, data))
@@ -311,9 +312,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 gone = covered(len(data), np.array([r["start"] for r in found]), np.array([r["n"] for r in found]), window)
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 out.append((len(data), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum()), kept))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])], axis=1)
+            n_bytes, n_removed, n_spans, left = zip(*out, strict=True) if out else ((), (), (), ())
+            yield batch(doc_id=b.column("doc_id"), n_bytes=np.array(n_bytes, np.int64), n_removed=np.array(n_removed, np.int64), n_spans=np.array(n_spans, np.int64), kept=pa.array(left, pa.binary()))
 
-    got = changed.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    got = changed.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return got.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id")))
 
 

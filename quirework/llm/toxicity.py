@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import durable
+from quirework.llm.common import batch, durable
 
 # The word lists of the five classes. A closing * stands for any ending.
 INSULTS = "idiot* moron* stupid* loser* scum* trash* pathetic worthless disgusting clown* imbecile* filth* vermin* garbage freak* coward* dumb* ugly".split()
@@ -176,17 +177,18 @@ def held_out(doc_id: Column) -> Column:
 def entry_counts(rows: DataFrame) -> DataFrame:
     """(entry, toxic, clean): documents of either label that hold a word or a word beginning; rows has text and toxic."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             names = list(held[0].keys() | held[1].keys())
-            got = pd.DataFrame({"entry": names, "toxic": [held[1][n] for n in names], "clean": [held[0][n] for n in names]})
+            toxic, clean = (np.fromiter((h[n] for n in names), np.int64, len(names)) for h in (held[1], held[0]))
+            got = batch(entry=names, toxic=toxic, clean=clean)
             held[0].clear(), held[1].clear()
             return got
 
         for b in batches:
-            for text, label in zip(b["text"], b["toxic"], strict=True):
+            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
                 tally = held[1 if label else 0]
                 tally.update(w + "$" for w in words)
@@ -197,7 +199,7 @@ def entry_counts(rows: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return rows.mapInPandas(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learned_entries(counts: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_LEXICON) -> DataFrame:
@@ -232,12 +234,13 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS,
     chosen = texts.join(F.broadcast(sample), texts["doc_id"] == sample["_id"]).select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in batches:
-            yield pd.DataFrame({"x": [features(t, shared.value, seen).tolist() for t in b["text"]], "toxic": b["toxic"]})
+            x = [features(t, shared.value, seen).tolist() for t in b.column("text").to_pylist()]
+            yield batch(x=pa.array(x, pa.list_(pa.float64())), toxic=b.column("toxic"))
 
-    got = chosen.mapInPandas(measure, "x array<double>, toxic int").limit(2 * max_fit_rows).toPandas()
+    got = chosen.mapInArrow(measure, "x array<double>, toxic int").limit(2 * max_fit_rows).toPandas()
     prior = prior_model().weights
     if got["toxic"].nunique() < 2:
         return Model(lexicon, prior)
@@ -252,14 +255,14 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in batches:
-            x = np.array([features(t, shared.value.lexicon, seen) for t in b["text"]]).reshape(-1, FEATURES)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": shared.value.scores(x)})
+            x = np.array([features(t, shared.value.lexicon, seen) for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
+            yield batch(doc_id=b.column("doc_id"), score=shared.value.scores(x))
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.mapInPandas(score, "doc_id long, score double").select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(score, "doc_id long, score double").select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
