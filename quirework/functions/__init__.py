@@ -1 +1,18 @@
+"""Column functions that several operators share."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: White space that trimming removes: Java's \s and the no-break space.
+EDGES = r"^[\s ]+|[\s ]+$"
+
+
+def trimmed(col: Column) -> Column:
+    return F.regexp_replace(col, EDGES, "")
+
+
+def one_space(col: Column) -> Column:
+    """Each run of white space as one space."""
+    return F.regexp_replace(col, r"[\s ]+", " ")
