@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("selection",)
+MODULES = ("selection", "text", "editlog")
 
 
 def load() -> None:

@@ -120,8 +120,8 @@ def ocr_flat(d: Spark) -> str:
 
 def text_items(d: Spark) -> str:
     return f"""select doc_id, {d.div('i', 40)} + 1 as page_no, row_number() over (partition by doc_id, {d.div('i', 40)} order by i, j) - 1 as frag_no, str,
-      sum(5.0 * length(str) + case when (i + j) % 7 = 0 then 0.5 else 2.8 end) over (partition by doc_id, i order by j rows between unbounded preceding and 1 preceding) as x0,
-      cast(800 - 12 * (i % 40) - 20 * {d.div('i % 40', 4)} as double) as y, 5.0 * length(str) as width, 10.0 as height, (j = n - 1 and i % 3 <> 0) as has_eol
+      cast(sum(5.0 * length(str) + case when (i + j) % 7 = 0 then 0.5 else 2.8 end) over (partition by doc_id, i order by j rows between unbounded preceding and 1 preceding) as double) as x0,
+      cast(800 - 12 * (i % 40) - 20 * {d.div('i % 40', 4)} as double) as y, cast(5 * length(str) as double) as width, cast(10 as double) as height, (j = n - 1 and i % 3 <> 0) as has_eol
       from (select *, max(j) over (partition by doc_id, i) + 1 as n from (select doc_id, i, line from documents {d.items(d.split('text', chr(92) + 'n'), 'line', 'i')}) {d.items(d.split('line', ' '), 'str', 'j')})"""
 
 
