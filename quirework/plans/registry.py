@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("selection", "text", "editlog")
+MODULES = ("selection", "text", "editlog", "structure", "stamps", "live")
 
 
 def load() -> None:
