@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirework.durable import durable  # noqa: F401
+
 #: Words of the contracts: runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,23 +27,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only if that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = tempfile.mkdtemp(prefix="quirework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write a result to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirework-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def batch(**columns) -> pa.RecordBatch:
     """An Arrow batch from arrays, numpy arrays and lists of strings or bytes; input columns pass through untouched, nulls included."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, pa.string()) if isinstance(c, list) and (not c or isinstance(c[0], str)) else pa.array(c) for c in columns.values()]
