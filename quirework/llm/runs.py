@@ -58,19 +58,25 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def window_runs(rolling: Rolling, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value, first window, windows) of each run of a sequence with at least `window` symbols."""
+def window_runs(grams: np.ndarray, window: int, gram: int, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first window, windows) of each run of sequences that stand one behind the other, from begins to ends.
+
+    grams are the hashes of all stretches of `gram` symbols of the whole. Windows over an end are in no run, and no run goes over one.
+    """
     width = window - gram + 1
-    least = sliding_least(rolling.grams(gram), width)
-    n = len(least)
-    changes = np.flatnonzero(least[1:] != least[:-1]) + 1
-    starts = np.concatenate([[0], changes])
-    lengths = np.diff(np.concatenate([starts, [n]]))
+    least = sliding_least(grams, width)
+    m = len(least)
+    inside = covered(m, begins, ends - begins - window + 1, 1)
+    breaks = np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])])
+    breaks[begins[begins < m]] = True
+    starts = np.flatnonzero(breaks)
+    lengths = np.diff(np.concatenate([starts, [m]]))
+    starts, lengths = starts[inside[starts]], lengths[inside[starts]]
     pieces = -(-lengths // width)
-    if pieces.max() > 1:  # equal values for longer than a window: periodic text
+    if len(pieces) and pieces.max() > 1:  # equal values for longer than a window: periodic text
         piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(starts, pieces) + piece * width
-        lengths = np.diff(np.concatenate([starts, [n]]))
+        starts, rest = np.repeat(starts, pieces) + piece * width, np.repeat(lengths, pieces) - piece * width
+        lengths = np.minimum(rest, width)
     return least[starts], starts, lengths
 
 

@@ -12,10 +12,10 @@ over several; these are joined pair by pair with binary search of the one's wind
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,48 +27,52 @@ WINDOW = 400
 GRAM = 40
 SECOND_BASE = 0xD6E8FEB86659FD93
 #: Bytes of a shard, about, and runs of one value that go to one shard before the value is split.
-SHARD_BYTES = 2 << 20
-RUNS_A_SHARD = 2000
+SHARD_BYTES = 1 << 19
+RUNS_A_SHARD = 1000
+#: Bytes of documents that are hashed together.
+TOGETHER = 1 << 18
 #: Text positions that Kasai's scan follows side by side.
-LANES = 4096
+LANES = 8192
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of `text` (uint8) in the order of their suffixes, sorted by `depth` bytes at least; ties in any order.
 
-    Larsson and Sadakane: suffixes start in groups by their first eight bytes; each round sorts the unsorted groups by the
-    group of the suffix h further on, and h doubles. Beyond the end there are zeros.
+    Larsson and Sadakane: suffixes start in groups by their first bytes; each round sorts the suffixes of groups with several members by
+    the group of the suffix h further on, and h doubles. What is sorted is one integer of group, further group and position, which
+    numpy sorts many times faster than it sorts indirectly. Beyond the end of the text there is less than any byte.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    bits = max(1, n.bit_length())  # of a position, and of a group's number plus one
+    if 3 * bits > 63:
+        raise ValueError("a shard holds less than two million bytes")
+    present = np.zeros(256, bool)
+    present[text] = True
+    code = (np.cumsum(present) * present)[text].astype(np.uint64)  # bytes as dense numbers from 1
+    width = int(present.sum()).bit_length()
+    h = (64 - bits) // width
+    code = np.concatenate([code, np.zeros(h, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    first = np.flatnonzero(new)  # a group's number is the place of its first suffix
-    group = np.empty(n, np.int64)
-    group[order] = np.repeat(first, np.diff(np.concatenate([first, [n]])))
-    h = 8
-    while h < depth:
-        sizes = np.diff(np.concatenate([first, [n]]))
-        open_groups = sizes > 1
-        if not open_groups.any():
-            break
-        slots = np.flatnonzero(np.repeat(open_groups, sizes))
+    for k in range(h):
+        key = (key << np.uint64(width)) | code[k : k + n]
+    low = np.uint64((1 << bits) - 1)
+    key = np.sort((key << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+    order = (key & low).astype(np.int64)
+    key >>= np.uint64(bits)
+    group = np.zeros(n + depth * 2, np.uint64)  # a group's number is the place of its first suffix, plus one; 0 beyond the end
+    slots = np.arange(n)
+    while True:
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(slots)]]))
+        group[order[slots]] = np.repeat(slots[starts] + 1, sizes).astype(np.uint64)
+        slots = slots[np.repeat(sizes > 1, sizes)]
+        if h >= depth or not len(slots):
+            return order
         at = order[slots]
-        ahead = at + h
-        next_group = np.where(ahead < n, group[np.minimum(ahead, n - 1)], -1)
-        own = group[at]
-        by = np.argsort(own * np.int64(n + 1) + next_group + 1, kind="stable")
-        at, own, next_group = at[by], own[by], next_group[by]
-        order[slots] = at
-        split = np.concatenate([[True], (own[1:] != own[:-1]) | (next_group[1:] != next_group[:-1])])
-        starts = np.flatnonzero(split)
-        group[at] = np.repeat(slots[starts], np.diff(np.concatenate([starts, [len(at)]])))
-        first = np.union1d(first, slots[starts])
+        key = np.sort((group[at] << np.uint64(2 * bits)) | (group[at + h] << np.uint64(bits)) | at.astype(np.uint64))
+        order[slots] = (key & low).astype(np.int64)
+        key >>= np.uint64(bits)
         h *= 2
-    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -152,12 +156,15 @@ class Shard:
             out[some] = hit
         return out
 
-    def hits(self, marked: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(run, offset, windows) of the marked stretches of windows in each run."""
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.view(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            k = int(np.searchsorted(self.starts, a, "right")) - 1
-            yield k, a - int(self.starts[k]), b - a
+    def hits(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, offset, windows) of the marked stretches of windows, cut at the ends of runs."""
+        edge = np.diff(np.concatenate([[False], marked, [False]]).view(np.int8))
+        edge[self.starts] |= marked[self.starts]  # a run's first window starts a stretch
+        begin = np.flatnonzero(edge[:-1] == 1)
+        total = np.cumsum(marked)
+        k = np.searchsorted(self.starts, begin, "right") - 1
+        n = np.diff(np.concatenate([total[begin] - 1, [total[-1] if len(total) else 0]]))
+        return k, begin - self.starts[k], n
 
 
 def holds_itself(grams: np.ndarray, value: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -166,9 +173,10 @@ def holds_itself(grams: np.ndarray, value: np.ndarray, start: np.ndarray, n: np.
     Two equal windows at a distance d of a run make their text periodic by d, so the run's least gram stands among its first d, before
     the place of the run's last window. Elsewhere it stands in all windows of the run, so not before that place.
     """
-    early = grams[: int(n.sum())] == np.repeat(value, n)
-    early[start + n - 1] = False
-    return np.logical_or.reduceat(early, start)
+    first = np.cumsum(n) - n
+    early = grams[np.arange(int(n.sum())) + np.repeat(start - first, n)] == np.repeat(value, n)
+    early[first + n - 1] = False
+    return np.logical_or.reduceat(early, first) if len(n) else np.zeros(0, bool)
 
 
 NAMES = ("v", "c", "c2", "doc_id", "row_hash", "start", "n", "periodic")
@@ -177,27 +185,37 @@ NAMES = ("v", "c", "c2", "doc_id", "row_hash", "start", "n", "periodic")
 def all_runs(docs: DataFrame, window: int) -> DataFrame:
     """(v, c, c2, doc_id, row_hash, start, n, periodic): value, content hash, place and number of windows of every run."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def runs_of(ids: list, rows: list, texts: list[bytes]) -> pa.RecordBatch:
+        """Of several documents at once, as one sequence in which no window reaches over an end."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(lengths)
+        symbols = mixed(np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1))
+        rolling, second = Rolling(symbols), Rolling(symbols, SECOND_BASE)
+        grams = rolling.grams(GRAM)
+        value, start, n = window_runs(grams, window, GRAM, ends - lengths, ends)
+        stop = start + n + window - 1
+        doc = np.searchsorted(ends, start, "right")
+        c, c2 = rolling.hashes(start, stop), second.hashes(start, stop)
+        periodic = holds_itself(grams, value, start, n)
+        place = (start - (ends - lengths)[doc]).astype(np.int32)
+        columns = value.view(np.int64), c.view(np.int64), c2.view(np.int64), np.array(ids, np.int64)[doc], np.array(rows, np.int32)[doc], place, n.astype(np.int32), periodic
+        return batch(**dict(zip(NAMES, columns, strict=True)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, held = [], 0
-            for doc_id, row, text in zip(b["doc_id"], b["row_hash"], b["text"], strict=True):
-                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-                if len(data) < window:
-                    continue
-                symbols = mixed(data + np.uint64(1))
-                rolling = Rolling(symbols)
-                value, start, n = window_runs(rolling, window, GRAM)
-                periodic = holds_itself(rolling.grams(GRAM), value, start, n)
-                stop = start + n + window - 1
-                parts.append((value.view(np.int64), rolling.hashes(start, stop).view(np.int64), Rolling(symbols, SECOND_BASE).hashes(start, stop).view(np.int64), np.full(len(start), doc_id), np.full(len(start), row), start, n, periodic))
-                held += len(start)
-                if held > 100_000:
-                    yield pd.DataFrame(dict(zip(NAMES, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-                    parts, held = [], 0
-            if parts:
-                yield pd.DataFrame(dict(zip(NAMES, map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-
-    return docs.mapInPandas(scan, "v long, c long, c2 long, doc_id long, row_hash int, start int, n int, periodic boolean")
+            ids, rows, texts, held = [], [], [], 0
+            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_hash", "text")), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                if len(data) >= window:
+                    ids.append(doc_id), rows.append(row), texts.append(data)
+                    held += len(data)
+                if held >= TOGETHER:
+                    yield runs_of(ids, rows, texts)
+                    ids, rows, texts, held = [], [], [], 0
+            if texts:
+                yield runs_of(ids, rows, texts)
+
+    return docs.mapInArrow(scan, "v long, c long, c2 long, doc_id long, row_hash int, start int, n int, periodic boolean")
 
 
 def grouped(runs: DataFrame) -> DataFrame:
@@ -217,69 +235,89 @@ def contexts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     wanted = F.struct("v", "c", "start", "n", "times", "shards")
     few = durable(runs.groupBy("doc_id", "row_hash").agg(F.collect_list(wanted).alias("wanted")))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, row, text, found in zip(b["doc_id"], b["row_hash"], b["text"], b["wanted"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                out = []
-                for r in found:
-                    piece = data[r["start"] : r["start"] + r["n"] + window - 1]
-                    side = r["c"] % r["shards"]
-                    out += [(r["v"], min(side, k), max(side, k), side, doc_id, row, r["start"], r["n"], r["times"], piece) for k in range(r["shards"])]
-                yield pd.DataFrame(out, columns=CONTEXT)
+            lists = b.column("wanted")
+            counts = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            of = np.repeat(np.arange(len(b)), counts)
+            v, c, start, n, times, shards = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("v", "c", "start", "n", "times", "shards"))
+            side = (c % shards).astype(np.int32)
+            data = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            # a row for each cell (side, other) of the run's value, of which most have one
+            run = np.repeat(np.arange(len(v)), shards)
+            other = (np.arange(len(run)) - np.repeat(np.cumsum(shards) - shards, shards)).astype(np.int32)
+            a, z = np.minimum(side[run], other), np.maximum(side[run], other)
+            ids, rows = b.column("doc_id").to_numpy(zero_copy_only=False)[of][run], b.column("row_hash").to_numpy(zero_copy_only=False)[of][run]
+            pieces = [data[d][x:y] for d, x, y in zip(of[run].tolist(), start[run].tolist(), (start + n + window - 1)[run].tolist(), strict=True)]
+            yield batch(v=v[run], a=a, b=z, side=side[run], doc_id=ids, row_hash=rows, start=start[run], n=n[run], times=times[run], data=pa.array(pieces, pa.binary()))
 
     met = join_few(docs, few, "inner").select("doc_id", "row_hash", "text", "wanted")
-    return met.mapInPandas(cut, "v long, a int, b int, side int, doc_id long, row_hash int, start int, n int, times long, data binary")
-
-
-CONTEXT = ["v", "a", "b", "side", "doc_id", "row_hash", "start", "n", "times", "data"]
+    return met.mapInArrow(cut, "v long, a int, b int, side int, doc_id long, row_hash int, start int, n int, times long, data binary")
 
 
 def shard_hits(cells: DataFrame, window: int) -> DataFrame:
     """(doc_id, row_hash, start, n): stretches of windows that stand in another run of their cell, or twice in their own."""
 
-    def one(rows: list[tuple]) -> list[tuple]:
-        shard = Shard([r[9] for r in rows], [r[7] for r in rows], window)
-        return [(rows[k][4], rows[k][5], rows[k][6] + at, n) for k, at, n in shard.hits(shard.twice())]
-
-    def two(rows: list[tuple]) -> list[tuple]:
-        sides = [[r for r in rows if r[3] == r[1]], [r for r in rows if r[3] == r[2]]]
-        left, right = (Shard([r[9] for r in x], [r[7] for r in x], window) if x else None for x in sides)
-        if left is None or right is None:
-            return []
-        pairs = ((sides[0], left, right), (sides[1], right, left))
-        return [(x[k][4], x[k][5], x[k][6] + at, n) for x, own, other in pairs for k, at, n in own.hits(own.found_in(other))]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole: list[tuple] = []  # of finished cells of one shard each
-        cell: list[tuple] = []
-        size = 0
+    Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]  # side, doc_id, row_hash, start, n, data
+
+    def joined(parts: list[Rows]) -> Rows:
+        *numbers, data = zip(*parts, strict=True)
+        return *map(np.concatenate, numbers), [x for d in data for x in d]
+
+    def found(rows: Rows, shard: Shard, marked: np.ndarray) -> pa.RecordBatch:
+        k, at, n = shard.hits(marked)
+        return batch(doc_id=rows[1][k], row_hash=rows[2][k], start=(rows[3][k] + at).astype(np.int32), n=n.astype(np.int32))
 
-        def done(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["doc_id", "row_hash", "start", "n"])
+    def one(rows: Rows) -> Iterator[pa.RecordBatch]:
+        shard = Shard(rows[5], rows[4], window)
+        yield found(rows, shard, shard.twice())
+
+    def two(rows: Rows, a: int, b: int) -> Iterator[pa.RecordBatch]:
+        sides = []
+        for s in (a, b):
+            k = np.flatnonzero(rows[0] == s)
+            sides.append((*(x[k] for x in rows[:5]), [rows[5][i] for i in k.tolist()]))
+        if all(len(x[5]) for x in sides):
+            left, right = (Shard(x[5], x[4], window) for x in sides)
+            yield found(sides[0], left, left.found_in(right))
+            yield found(sides[1], right, right.found_in(left))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[Rows] = []  # cells of one shard each, finished
+        size = 0
+        cell: list[Rows] = []  # the cell that goes on
+        key: tuple | None = None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal whole, size
+            if key is not None and key[1] != key[2]:
+                yield from two(joined(cell), key[1], key[2])
+            elif cell:
+                whole += cell
+                size += sum(len(x) for c in cell for x in c[5])
+            if size >= SHARD_BYTES:
+                yield from one(joined(whole))
+                whole, size = [], 0
 
         for b in batches:
-            for r in b.itertuples(index=False, name=None):
-                if cell and cell[0][:3] != r[:3]:
-                    if cell[0][1] != cell[0][2]:
-                        yield done(two(cell))
-                    else:
-                        whole += cell
-                        size += sum(len(x[9]) for x in cell)
-                    cell = []
-                    if size >= SHARD_BYTES:
-                        yield done(one(whole))
-                        whole, size = [], 0
-                cell.append(r)
-        if cell and cell[0][1] != cell[0][2]:
-            yield done(two(cell))
-        else:
-            whole += cell
+            v, a, z, side, ids, rows, start, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "a", "b", "side", "doc_id", "row_hash", "start", "n"))
+            data = b.column("data").to_pylist()
+            cuts = np.flatnonzero((v[1:] != v[:-1]) | (a[1:] != a[:-1]) | (z[1:] != z[:-1])) + 1 if len(v) else []
+            bounds = [0, *map(int, cuts), len(v)]
+            for x, y in itertools.pairwise(bounds):
+                if x == y:
+                    continue
+                if key != (v[x], a[x], z[x]):
+                    yield from finish()
+                    cell, key = [], (v[x], a[x], z[x])
+                cell.append((side[x:y], ids[x:y], rows[x:y], start[x:y], n[x:y], data[x:y]))
+        yield from finish()
         if whole:
-            yield done(one(whole))
+            yield from one(joined(whole))
 
     ordered = cells.repartition("v", "a", "b").sortWithinPartitions("v", "a", "b", "side")
-    return ordered.mapInPandas(scan, "doc_id long, row_hash int, start int, n int")
+    return ordered.mapInArrow(scan, "doc_id long, row_hash int, start int, n int")
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
