@@ -161,3 +161,20 @@ def test_numbers_and_gestures(spark):
     assert [r.label for r in stamps.number_pages(pages, 3, "de").orderBy("ordinal").collect()] == ["3 de 5", "4 de 5", "5 de 5"]
     drags = spark.createDataFrame([(1, 9.0, 9.0, 1.0, 2.0), (2, 0.0, 0.0, 2.0, 50.0)], "id long, x1 double, y1 double, x2 double, y2 double")
     assert [tuple(r) for r in stamps.normalize_gestures(drags).collect()] == [(1, 1.0, 2.0, 8.0, 7.0)]
+
+
+def test_parts_are_written_and_read_again(spark, tmp_path):
+    from quirework.sources import corpus
+
+    pages = derive(spark, SF, "doc_pages").where("doc_id < 20")
+    parts = selection.split_into_parts(derive(spark, SF, "doc_manifest").where("doc_id < 20"), F.lit(3))
+    corpus.write_parts(parts, pages, str(tmp_path / "parts"))
+    back = spark.read.parquet(str(tmp_path / "parts"))
+    assert back.count() == pages.count() and back.select("doc_id", "part").distinct().count() == parts.count()
+
+
+def test_corpus_is_read_with_declared_types(spark):
+    from quirework.sources import corpus
+
+    tables = corpus.load_corpus(spark, SF)
+    assert set(tables) == set(corpus.SCHEMAS) and tables["documents"].where("readable").count() > 0
