@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import batch, durable
+from quirework.llm.common import batch, durable, join_few
 
 # The word lists of the five classes. A closing * stands for any ending.
 INSULTS = "idiot* moron* stupid* loser* scum* trash* pathetic worthless disgusting clown* imbecile* filth* vermin* garbage freak* coward* dumb* ugly".split()
@@ -219,19 +219,20 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS,
     so; null labels and null ids are left out.
     """
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"]))
-    known = known.groupBy(known["doc_id"].cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = durable(known.groupBy(known["doc_id"].cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         return prior_model()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    rows = texts.join(known, texts["doc_id"] == known["_id"]).select("text", "toxic")
+    # labels may be many: their documents are shuffled to them, at any size, and no others
+    rows = join_few(texts, known.hint("merge"), "inner", ("doc_id",)).select("text", "toxic")
     learned = learned_entries(entry_counts(rows), n_toxic, n_clean, max_lexicon).collect()
     lexicon = Lexicon.seeded()
     for r in learned:
         lexicon.add(r["entry"], r["weight"])
-    sample = durable(known.orderBy(F.xxhash64("_id"), "_id").limit(max_fit_rows))  # so many rows at most: small enough to broadcast
-    chosen = texts.join(F.broadcast(sample), texts["doc_id"] == sample["_id"]).select("text", "toxic")
+    sample = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows))  # so many rows at most: small enough to broadcast
+    chosen = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
