@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that trimming removes: Java's \s and the no-break space.
-EDGES = r"^[\s ]+|[\s ]+$"
+# White space, ASCII and beyond, as the inside of a character class.
+SPACES = r"\s   -     　﻿"
 
 
 def trimmed(col: Column) -> Column:
-    return F.regexp_replace(col, EDGES, "")
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col, rf"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
 def one_space(col: Column) -> Column:
     """Each run of white space as one space."""
-    return F.regexp_replace(col, r"[\s ]+", " ")
+    return F.regexp_replace(col, rf"[{SPACES}]+", " ")

@@ -56,9 +56,15 @@ def final_pages(fold: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
 
 
 def page_attributes(pages: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, page_id, turns): quarter turns of each page of a state, modulo 4; pages never come back, so all turns of a present page count."""
-    turns = edits.where("kind = 'rotate'").groupBy(*keys, "page_id").agg(F.sum("turns").alias("total"))
-    return pages.join(turns, [*keys, "page_id"], "left").select(*keys, "page_id", F.pmod(F.coalesce("total", F.lit(0)), F.lit(4)).alias("turns"))
+    """(keys, page_id, turns, and crop and raster if edits has a payload): quarter turns of each page of a state, modulo 4, and the last crop and raster.
+
+    Pages never come back, so all edits of a present page count. A null payload is a value: it takes the crop or raster back.
+    """
+    kinds = ("crop", "raster") if "payload" in edits.columns else ()
+    # the kind restricts the order, never the value, so that nulls are kept
+    last = [F.max_by(F.struct("payload"), F.when(F.col("kind") == k, F.col("seq")))["payload"].alias(k) for k in kinds]
+    per = edits.where(F.col("kind").isin("rotate", *kinds)).groupBy(*keys, "page_id").agg(F.sum(F.when(F.col("kind") == "rotate", F.col("turns"))).alias("total"), *last)
+    return pages.join(per, [*keys, "page_id"], "left").select(*keys, "page_id", F.pmod(F.coalesce("total", F.lit(0)), F.lit(4)).alias("turns"), *kinds)
 
 
 def live_marks(edits: DataFrame, fold: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -83,9 +89,9 @@ def metadata_at(edits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFr
     return last.where("value is not null")
 
 
-def document_settings_at(edits: DataFrame, kinds: tuple[str, ...], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, one column for each kind): the seq of the last edit of each kind, by which its payload is taken; one pass for all."""
-    return edits.groupBy(*keys).agg(*(F.max(F.when(F.col("kind") == k, F.col("seq"))).alias(k) for k in kinds))
+def document_settings_at(edits: DataFrame, kinds: tuple[str, ...], payload: str = "payload", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, one column for each kind): the payload of the last edit of each kind, such as watermark, numbering and flattening; one pass for all."""
+    return edits.groupBy(*keys).agg(*(F.max_by(F.struct(payload), F.when(F.col("kind") == k, F.col("seq")))[payload].alias(k) for k in kinds))
 
 
 def at_cursors(manifest: DataFrame, edits: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,10 +132,11 @@ def live_import_notes(notes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_signatures(state: dict[str, DataFrame], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, ordinal, page_id, signature) of what a page shows: id, turns and its marks in order."""
+    """(keys, ordinal, page_id, signature) of what a page shows: id, turns, crop and raster if known, and its marks in order."""
     marks = state["marks"].groupBy(*keys, "page_id").agg(F.array_join(F.array_sort(F.collect_list("mark_id")), ",").alias("m"))
     rows = state["pages"].join(state["attributes"], [*keys, "page_id"]).join(marks, [*keys, "page_id"], "left")
-    return rows.select(*keys, "ordinal", "page_id", F.sha2(F.concat_ws("|", "page_id", F.col("turns").cast("string"), F.coalesce("m", F.lit(""))), 256).alias("signature"))
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in state["attributes"].columns if c not in (*keys, "page_id")]
+    return rows.select(*keys, "ordinal", "page_id", F.sha2(F.concat_ws("|", "page_id", *shown, F.coalesce("m", F.lit(""))), 256).alias("signature"))
 
 
 def changed_pages(before: DataFrame, after: DataFrame) -> DataFrame:

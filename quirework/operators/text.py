@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions import trimmed
+from quirework.functions import SPACES, trimmed
 from quirework.sources.formats import WIN_ANSI
 
 #: A gap counts as a space from this share of the type size on.
@@ -59,7 +59,7 @@ def encodability_audit(texts: DataFrame) -> DataFrame:
     flat = F.regexp_replace("text", r"[\r\n\t]", "")
     kept = F.regexp_replace(flat, f"[^{WIN_ANSI}]", "")
     lost = F.length(flat) - F.length(kept)
-    return texts.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(lost > 0).alias("changed"), F.sum(lost).cast("long").alias("dropped"), F.min(F.regexp_extract(flat, f"([^{WIN_ANSI}])", 1)).alias("first_unsupported"))
+    return texts.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(lost > 0).alias("changed"), F.sum(lost).cast("long").alias("dropped"), F.min(F.nullif(F.regexp_extract(flat, f"([^{WIN_ANSI}])", 1), F.lit(""))).alias("first_unsupported"))
 
 
 def text_fragments(items: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def line_texts(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("frag_no")
     prev = F.lag(F.struct("str", "x", "width", "height")).over(w)
     rows = lines.withColumn("prev", prev)
-    spaced = F.col("prev.str").rlike(r"[\s ]$") | F.col("str").rlike(r"^[\s ]")
+    spaced = F.col("prev.str").rlike(rf"[{SPACES}]$") | F.col("str").rlike(rf"^[{SPACES}]")
     wide = F.col("x") - (F.col("prev.x") + F.col("prev.width")) > F.greatest("height", "prev.height") * SPACE_GAP_EM
     piece = F.when(F.col("prev").isNotNull() & ~spaced & wide, F.concat(F.lit(" "), "str")).otherwise(F.col("str"))
     pieces = rows.select("doc_id", "page_no", "line_no", "frag_no", "y", piece.alias("piece"))

@@ -41,12 +41,18 @@ FOLD = """with recursive docs as (select distinct doc_id, pc from edit_log),
 query("e1_effective_edits", "select doc_id, t, cursor from (select *, min(cursor) over (partition by doc_id order by t rows between 1 following and unbounded following) as least from append_log) where least is null or least > cursor")(
     lambda s, d: e.effective_edits(t(s, d, "append_log")))
 query("e2_page_order_fold", f"{FOLD} select doc_id, pages, deletes from fold")(fold)
-query("e3_page_attributes", f"{FOLD} select * from att")(lambda s, d: e.page_attributes(e.final_pages(fold(s, d)), log(s, d)))
+# every fourth turn is read as a crop, or as a raster; every third payload takes it back
+_CROPS = "case when kind = 'rotate' and k % 4 = 0 then case when k % 8 = 0 then 'crop' else 'raster' end else kind end"
+query("e3_page_attributes", f"""{FOLD}, kl as (select doc_id, seq, page_id, turns, {_CROPS} as kind, case when k % 3 = 0 then null else value end as payload from edit_log),
+ lst as (select doc_id, page_id, kind, payload from (select *, row_number() over (partition by doc_id, page_id, kind order by seq desc) as r from kl where kind in ('crop', 'raster')) where r = 1)
+ select pg.doc_id, pg.page_id, coalesce(tt, 0) % 4 as turns, c.payload as crop, x.payload as raster from pg left join (select doc_id, page_id, sum(turns) as tt from kl where kind = 'rotate' group by all) using (doc_id, page_id)
+ left join (select * from lst where kind = 'crop') c using (doc_id, page_id) left join (select * from lst where kind = 'raster') x using (doc_id, page_id)""")(
+    lambda s, d: e.page_attributes(e.final_pages(fold(s, d)), log(s, d).selectExpr("doc_id", "seq", "page_id", "turns", f"{_CROPS} as kind", "case when k % 3 = 0 then null else value end as payload")))
 query("e4_live_marks", f"{FOLD} select * from marks")(lambda s, d: e.live_marks(log(s, d), fold(s, d), manifest(s, d)))
 query("e5_field_values_at", f"{FOLD} select * from flds")(lambda s, d: e.field_values_at(log(s, d)))
 query("e6_metadata_at", f"{FOLD} select * from meta")(lambda s, d: e.metadata_at(log(s, d)))
-query("e7_document_settings_at", "select doc_id, max(seq) filter (kind = 'draw') as draw, max(seq) filter (kind = 'metadata') as metadata, max(seq) filter (kind = 'setField') as \"setField\" from edit_log group by 1")(
-    lambda s, d: e.document_settings_at(log(s, d), ("draw", "metadata", "setField")))
+query("e7_document_settings_at", """select doc_id, arg_max(event_id, seq) filter (kind = 'draw') as draw, arg_max(event_id, seq) filter (kind = 'metadata') as metadata, arg_max(event_id, seq) filter (kind = 'setField') as "setField" from edit_log group by 1""")(
+    lambda s, d: e.document_settings_at(log(s, d), ("draw", "metadata", "setField"), "event_id"))
 
 
 def _time_travel(s, d):

@@ -47,7 +47,7 @@ query("t11_has_real_text", f"""with {_frag}, c as (select doc_id, sum(length(tri
  select doc_id, coalesce(chars, 0) / greatest(least(3, page_count), 1) > 200 as has_real_text from doc_manifest left join c using (doc_id)""")(
     lambda s, d: text.has_real_text(fragments(s, d), t(s, d, "doc_manifest")))
 query("t4_encodability_audit", f"""with f as (select source, regexp_replace(text, '[\\r\\n\\t]', '', 'g') as flat from documents), k as (select source, flat, regexp_replace(flat, '[^{WIN_ANSI}]', '', 'g') as kept from f)
- select source, count(*) as texts, count(*) filter (length(flat) > length(kept)) as changed, sum(length(flat) - length(kept))::bigint as dropped, min(regexp_extract(flat, '([^{WIN_ANSI}])', 1)) as first_unsupported from k group by 1""")(
+ select source, count(*) as texts, count(*) filter (length(flat) > length(kept)) as changed, sum(length(flat) - length(kept))::bigint as dropped, min(nullif(regexp_extract(flat, '([^{WIN_ANSI}])', 1), '')) as first_unsupported from k group by 1""")(
     lambda s, d: text.encodability_audit(t(s, d, "documents")))
 
 
