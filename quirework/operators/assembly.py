@@ -71,15 +71,16 @@ def unique_output_names(manifest: DataFrame) -> DataFrame:
     root = F.regexp_replace(F.lower(stem), r"( \(\d+\))+$", "")
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, taken = None, set()
+        key, taken, tried = None, set(), {}
         for b in batches:
             out = []
             for batch, r, s in zip(b["batch_id"], b["root"], b["stem"], strict=True):
                 if key != (batch, r):
-                    key, taken = (batch, r), set()
-                candidate, suffix = f"{s}.pdf", 2
+                    key, taken, tried = (batch, r), set(), {}
+                candidate, suffix = f"{s}.pdf", tried.get(s.lower(), 2)  # names stay taken, so smaller suffixes need no second look
                 while candidate.lower() in taken:
                     candidate, suffix = f"{s} ({suffix}).pdf", suffix + 1
+                tried[s.lower()] = suffix
                 taken.add(candidate.lower())
                 out.append(candidate)
             yield b[["batch_id", "pos"]].assign(out_name=out)
