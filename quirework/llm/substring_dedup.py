@@ -26,45 +26,66 @@ WINDOW = 50
 #: The period and its perfect difference set: each residue but 0 is the difference of exactly one pair.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
+#: Words whose hashes a task keeps.
+CACHED_WORDS = 200_000
 SECOND_BASE = 0xD6E8FEB86659FD93
 WORDS = re.compile(WORD)
+IS_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def word_hashes(words: list[str], seen: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each word; seen keeps them."""
-    if len(seen) > 500_000:
-        seen.clear()
-    for w in set(words):
-        if w not in seen:
-            h = xxhash.xxh3_128_intdigest(w.encode("utf-8", "surrogatepass"))
-            seen[w] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
-    pairs = [seen[w] for w in words]
-    return np.fromiter((p[0] for p in pairs), np.uint64, len(pairs)), np.fromiter((p[1] for p in pairs), np.uint64, len(pairs))
+class Digests(dict):
+    """16 bytes for each word, kept until there are too many."""
 
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        digest = self[word] = xxhash.xxh3_128_digest(word.encode("utf-8", "surrogatepass"))
+        return digest
 
-def place(row: int, positions: np.ndarray) -> np.ndarray:
-    """row_hash and position in one long."""
-    return (np.int64(row) << np.int64(32)) | positions.astype(np.int64)
+
+def word_hashes(words: list[str], seen: Digests) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word."""
+    pairs = np.frombuffer(b"".join([seen[w] for w in words]), np.uint64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def place(row: int, positions: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """row_hash, a bit that says whether the hash recurs in the document, and the position in one long."""
+    return (np.int64(row) << np.int64(32)) | (again.astype(np.int64) << np.int64(31)) | positions.astype(np.int64)
+
+
+def once_each(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first of each hash, whether it recurs): a document sends each hash once, however often it repeats it."""
+    in_order = np.sort(h)
+    if not (in_order[1:] == in_order[:-1]).any():
+        return np.arange(len(h)), np.zeros(len(h), bool)
+    _, first, count = np.unique(h, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    return first[order], count[order] > 1
+
+
+def cover_positions(n: int, length: int) -> np.ndarray:
+    """Positions under n - length + 1 whose residue is in the cover."""
+    at = np.arange(n - length + 1)
+    return at[IS_COVER[at % PERIOD]]
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
     """(h, doc_id, at): hashes at cover positions."""
     length = window - PERIOD + 1
-    is_cover = np.zeros(PERIOD, bool)
-    is_cover[list(COVER)] = True
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
+        seen = Digests()
         for b in batches:
             parts = []
             for doc_id, row, text in zip(b["doc_id"], b["row_hash"], b["text"], strict=True):
                 words = WORDS.findall(text)
                 if len(words) < window:
                     continue
-                at = np.arange(len(words) - length + 1)
-                at = at[is_cover[at % PERIOD]]
+                at = cover_positions(len(words), length)
                 h = Rolling(word_hashes(words, seen)[0]).hashes(at, at + length)
-                parts.append((h.view(np.int64), np.full(len(at), doc_id), place(row, at)))
+                first, again = once_each(h)
+                parts.append((h[first].view(np.int64), np.full(len(first), doc_id), place(row, at[first], again)))
                 if sum(len(p[0]) for p in parts) > 200_000:
                     yield pd.DataFrame(dict(zip(("h", "doc_id", "at"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
                     parts = []
@@ -108,22 +129,30 @@ def in_several(rows: DataFrame) -> DataFrame:
 
 
 def windows_at(docs: DataFrame, window: int) -> DataFrame:
-    """(h, h2, doc_id, at): 128-bit hashes of the windows around the anchors that docs carries in column anchors."""
+    """(h, h2, doc_id, at): 128-bit hashes of the windows around the anchors that docs carries in column places."""
+    length = window - PERIOD + 1
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
+        seen = Digests()
         for b in batches:
-            for doc_id, row, text, found in zip(b["doc_id"], b["row_hash"], b["text"], b["places"], strict=True):
+            for doc_id, row, text, found, again in zip(b["doc_id"], b["row_hash"], b["text"], b["places"], b["again"], strict=True):
                 words = WORDS.findall(text)
+                first, second = word_hashes(words, seen)
+                rolling = Rolling(first)
                 at = np.asarray(found, np.int64)
+                if again:
+                    everywhere = cover_positions(len(words), length)
+                    at = everywhere[np.isin(rolling.hashes(everywhere, everywhere + length), rolling.hashes(at, at + length))]
                 lows = np.maximum(at - (PERIOD - 1), 0)
                 starts = np.flatnonzero(covered(len(words), lows, at - lows + 1, 1)[: len(words) - window + 1])
-                first, second = word_hashes(words, seen)
+                h = rolling.hashes(starts, starts + window)
+                one, recurs = once_each(h)
+                starts = starts[one]
                 yield pd.DataFrame({
-                    "h": Rolling(first).hashes(starts, starts + window).view(np.int64),
+                    "h": h[one].view(np.int64),
                     "h2": Rolling(second, SECOND_BASE).hashes(starts, starts + window).view(np.int64),
                     "doc_id": np.full(len(starts), doc_id),
-                    "at": place(row, starts),
+                    "at": place(row, starts, recurs),
                 })
 
     return docs.mapInPandas(scan, "h long, h2 long, doc_id long, at long")
@@ -151,9 +180,10 @@ def not_first(rows: DataFrame) -> DataFrame:
 
 
 def by_document(rows: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, places) from rows (doc_id, at)."""
-    split = rows.select("doc_id", F.shiftright("at", 32).cast("int").alias("row_hash"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
-    return split.groupBy("doc_id", "row_hash").agg(F.collect_list("at").alias("places"))
+    """(doc_id, row_hash, places, again) from rows (doc_id, at); again: whether some of the hashes recur in the document."""
+    bits = lambda mask: F.col("at").bitwiseAND(F.lit(mask))
+    split = rows.select("doc_id", F.shiftright("at", 32).cast("int").alias("row_hash"), bits(0x7FFFFFFF).cast("int").alias("at"), (bits(0x80000000) != 0).alias("again"))
+    return split.groupBy("doc_id", "row_hash").agg(F.collect_list("at").alias("places"), F.bool_or("again").alias("again"))
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -177,14 +207,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     copies = durable(exact_copies(docs))
     own = join_few(docs.where("doc_id is not null"), copies, "left_anti")
     met = durable(by_document(in_several(anchors(own, window))))
-    around = windows_at(join_few(docs.where("doc_id is not null"), met, "inner").select("doc_id", "row_hash", "text", "places"), window)
-    removed = by_document(not_first(around)).unionByName(copies.withColumn("places", F.lit(None).cast("array<int>")))
+    around = windows_at(join_few(docs.where("doc_id is not null"), met, "inner").select("doc_id", "row_hash", "text", "places", "again"), window)
+    removed = by_document(not_first(around)).unionByName(copies.withColumns({"places": F.lit(None).cast("array<int>"), "again": F.lit(False)}))
     changed = join_few(docs, durable(removed.withColumn("changed", F.lit(True))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Digests()
         for b in batches:
             n_words, n_removed, left = [], [], []
-            for text, places, touched in zip(*(b.column(c).to_pylist() for c in ("text", "places", "changed")), strict=True):
+            for text, places, again, touched in zip(*(b.column(c).to_pylist() for c in ("text", "places", "again", "changed")), strict=True):
                 words = WORDS.findall(text)
                 gone = np.zeros(len(words), bool)
                 if touched is True and len(words) >= window:
@@ -192,6 +223,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
                         gone[:] = True
                     else:
                         at = np.asarray(places, np.int64)
+                        if again:
+                            everywhere = Rolling(word_hashes(words, seen)[0]).grams(window)
+                            at = np.flatnonzero(np.isin(everywhere, everywhere[at]))
                         gone = covered(len(words), at, np.ones(len(at), np.int64), window)
                 kept = " ".join(words) if not gone.any() else " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 n_words.append(len(words))
