@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD
+from quirework.llm.common import WORD, durable
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -73,6 +73,8 @@ def _planned(docs: DataFrame, kept: list[Column], seed: int, weights: tuple[floa
         F.xxhash64(docs["text"]).alias("text_hash"),
         *kept,
     )
+    if not kept:  # small rows, read three times: words are counted once
+        base = durable(base)
     targets = source_targets(base.select("source", "size"), weights, share, ceiling)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("ratio", ratio).withColumn("offset", _offset(F.col("source"), seed))
