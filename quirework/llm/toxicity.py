@@ -50,8 +50,10 @@ MAX_LEXICON = 50_000
 MAX_FIT_ROWS = 20_000
 #: A learned entry needs this lower bound of its log odds, at 1.64 standard errors.
 LEAST_WEIGHT = 1.5
+#: Words whose arcs a task keeps.
+CACHED_WORDS = 200_000
 #: Counts held by a training task before it passes them on.
-HELD_COUNTS = 500_000
+HELD_COUNTS = 300_000
 
 
 @dataclass
@@ -108,7 +110,7 @@ def features(text: str, lexicon: Lexicon, seen: dict[str, tuple[int, float] | No
     missing = object()
     arcs = [seen.get(t, missing) for t in tokens]
     if missing in arcs:
-        if len(seen) > 1_000_000:
+        if len(seen) > CACHED_WORDS:
             seen.clear()
         for t in set(tokens):
             if t not in seen:
