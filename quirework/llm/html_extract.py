@@ -2,9 +2,9 @@
 
 Every page is paired with the page next to it in URL path order on its host, which is most likely made from the same
 template. Both are read as lines, a longest common subsequence aligns them, and lines that both share are template and
-go. A page whose article is marked as such keeps the article's lines even where the neighbour has them too, for copies
-of an article are neighbours as well; there the differencing decides on the lines around. Marked menus, headers, footers, sidebars,
-notices, adverts, forms, comments and scripts go in any case.
+go. Lines in a marked article stay even where the neighbour has them too, for copies of an article are neighbours as well.
+Marked menus, headers, footers, sidebars, notices, adverts, forms, comments and scripts go in any case. On all other
+lines the differencing decides, whether or not the page has a marked article: what the neighbour doesn't share stays.
 
 Neighbours come from a global sort by (host, path), so a host with a third of all pages is spread over many
 tasks; each task pairs its first page with its second. No page is compared with more than one other.
@@ -149,17 +149,13 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 def main_text(lines: list[tuple[str, str]], neighbour: list[tuple[str, str]] | None) -> str:
     """The main text of a page, blocks joined by an empty line.
 
-    With a marked article: its lines. Without one: the lines that are not marked as something else and that the neighbour doesn't share;
-    if it shares all of them, the two are copies, and the neighbour tells nothing.
+    The lines of marked articles, and the unmarked lines that the neighbour doesn't share, in page order. Without a neighbour all
+    unmarked lines stay. If nothing would be left because the neighbour shares all unmarked lines of a page without an article, the two are
+    copies, and the neighbour tells nothing.
     """
-    if any(zone == ARTICLE for zone, _ in lines):
-        return "\n\n".join(line for zone, line in lines if zone == ARTICLE)
-    kept = [line for zone, line in lines if zone == OPEN]
-    if neighbour:
-        shared = common_lines([line for _, line in lines], [line for _, line in neighbour])
-        own = [line for k, (zone, line) in enumerate(lines) if zone == OPEN and k not in shared]
-        kept = own or kept
-    return "\n\n".join(kept)
+    shared = common_lines([line for _, line in lines], [line for _, line in neighbour]) if neighbour else set()
+    kept = [line for k, (zone, line) in enumerate(lines) if zone == ARTICLE or zone == OPEN and k not in shared]
+    return "\n\n".join(kept or [line for zone, line in lines if zone == OPEN])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
