@@ -79,6 +79,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """Kasai: at each place of the suffix array the common prefix with the suffix before it, up to `most` bytes.
 
     The scan goes by text position and carries the length on, less one; it runs in lanes, each over its own stretch of the text.
+    `order` need only be sorted by `most` bytes. Of two suffixes that tie there, the next ones may stand the other way round; the
+    length then says nothing about the suffix before, and the comparison starts from the first byte.
     """
     n = len(text)
     place = np.empty(n, np.int64)
@@ -94,11 +96,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     out = np.zeros(n, np.int64)
     lanes = np.arange(0, n, stretch)
     length = np.zeros(len(lanes), np.int64)
+    next_place = np.append(place, n)[before + 1]  # of the suffix after the one before; n beyond the end
     for step in range(stretch):
         live = np.flatnonzero(lanes + step < n)
         i = lanes[live] + step
         j = before[i]
-        h = np.where(j >= 0, np.maximum(length[live] - 1, 0), 0)
+        carried = (j >= 0) & (next_place[i - 1] < place[i])
+        h = np.where(carried, np.maximum(length[live] - 1, 0), 0)
         room = np.where(j >= 0, np.minimum(most, n - np.maximum(i, j)), 0)
         going = np.flatnonzero(h < room)
         while len(going):
