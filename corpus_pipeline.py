@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group linked by SimHash fingerprints."""
-    return simhash.keep_one_of_each(docs)
+    """Keeps one row, that of the smallest id, of each group linked by SimHash fingerprints; rows without an id come last."""
+    return simhash.keep_one_of_each(docs, without_id_stay=False)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,14 +53,18 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; null text counts as empty and gets fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row, keyed also row_hash, a hash of the text; null text counts as empty and gets fingerprint zero."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(doc_id=b.column("doc_id"), fp=np.fromiter((simhash(t, shingle) for t in b.column("text").to_pylist()), np.int64, len(b)))
+            key = {"row_hash": b.column("row_hash")} if keyed else {}
+            yield batch(doc_id=b.column("doc_id"), **key, fp=np.fromiter((simhash(t, shingle) for t in b.column("text").to_pylist()), np.int64, len(b)))
 
-    return text_columns(docs, id_col, text_col).mapInArrow(scan, "doc_id long, fp long")
+    texts = text_columns(docs, id_col, text_col)
+    if keyed:
+        return texts.withColumn("row_hash", F.xxhash64("text")).mapInArrow(scan, "doc_id long, row_hash long, fp long")
+    return texts.mapInArrow(scan, "doc_id long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -185,6 +189,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def component_firsts(own: DataFrame, key: Column, distance: int = MAX_DISTANCE, agree: int | None = None) -> DataFrame:
+    """(print, least): for each fingerprint of own, the least key of all rows in its component."""
+    prints = durable(own.groupBy("fp").agg(F.min(key).alias("first")))
+    if agree is None:
+        agree = 2 if prints.count() < 1 << 26 else 3
+    roots = components(fingerprint_links(prints.select("fp"), distance, agree))
+    grouped = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("least"))
+    return grouped.join(smallest, "root").select(F.col("fp").alias("print"), "least")
+
+
 def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int = SHINGLE, agree: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
 
@@ -193,27 +208,26 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int
     the component has no other. Other columns are ignored; an empty table gives an empty result.
     """
     own = durable(fingerprints(docs, id_col, text_col, shingle))
-    prints = durable(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    if agree is None:
-        agree = 2 if prints.count() < 1 << 26 else 3
-    roots = components(fingerprint_links(prints.select("fp"), distance, agree))
-    grouped = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = grouped.join(smallest, "root").select(F.col("fp").alias("print"), "component_id")
+    table = component_firsts(own, F.col("doc_id"), distance, agree).withColumnRenamed("least", "component_id")
     return own.join(table, own["fp"] == table["print"], "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """The documents of the table that stay: the one with the smallest doc_id of each group, all its columns as they were.
+def keep_one_of_each(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int = SHINGLE, without_id_stay: bool = True) -> DataFrame:
+    """The documents of the table that stay: one row of each group, that of the smallest doc_id, all its columns as they were.
 
-    Of several rows with that id, one stays. Documents without an id can't be told apart and stay. Only documents that go, or
-    whose id repeats, are shuffled with their texts.
+    Rows are told apart by id and text, so rows of one id with texts of different groups are judged apart; of several rows with the smallest
+    id, the one of the least text hash stays, and of rows that repeat id and text, one. Rows without an id stay, or, with without_id_stay
+    false, come last in their group. Only rows that go or repeat are shuffled with their texts.
     """
-    groups = durable(near_duplicates(docs, distance, shingle).where("doc_id is not null"))
-    per_id = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.col("doc_id") != F.col("component_id")).alias("goes"))
-    few = durable(per_id.where("goes or rows > 1").select("doc_id", "goes"))
-    met = join_few(packed(docs, doc_id=docs["doc_id"].cast("long")), few, "left", ("doc_id",))
-    once = met.where("not goes").dropDuplicates(["doc_id"])
+    text = F.coalesce(docs["text"], F.lit(""))
+    own = durable(fingerprints(docs, shingle=shingle, keyed=True))
+    least = component_firsts(own, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash"), distance)
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row_hash") == F.col("least.row_hash"))
+    groups = own.join(least, F.col("fp") == F.col("print")).where(F.lit(not without_id_stay) | F.col("doc_id").isNotNull())
+    per_row = groups.groupBy("doc_id", "row_hash").agg(F.count("*").alias("rows"), F.bool_and(~stays).alias("goes"))
+    few = durable(per_row.where("goes or rows > 1").select("doc_id", "row_hash", "goes"))
+    met = join_few(packed(docs, doc_id=docs["doc_id"].cast("long"), row_hash=F.xxhash64(text)), few)
+    once = met.where("not goes").dropDuplicates(["doc_id", "row_hash"])
     return met.where("goes is null").select("_row.*").unionByName(once.select("_row.*"))
 
 
