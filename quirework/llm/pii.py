@@ -26,9 +26,17 @@ BASE = KINDS[:4]
 # Characters of an e-mail's local part, and cues of accounts and secrets.
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SCHEME_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
-ACCOUNT_CUES = ("account", "Account", "acct", "Acct", "customer id", "Customer ID", "user id", "User ID", "SSN", "ssn", "passport", "Passport")
-SECRET_CUES = ("password", "Password", "passwd", "token", "Token", "api_key", "apikey", "API key", "secret", "AKIA")
-IBAN_CUES = ("IBAN", "iban")
+ACCOUNT_CUES = ("account", "acct", "customer id", "user id", "ssn", "passport")
+SECRET_CUES = ("password", "passwd", "token", "api_key", "apikey", "api key", "secret")
+IBAN_CUES = ("iban",)
+#: Characters of an account number by its country code, as the IBAN registry fixes them.
+IBAN_LENGTHS = {code: int(n) for n, codes in (
+    entry.split(":") for entry in (
+        "15:NO", "16:BE", "18:DK FI FO GL NL FK SD", "19:MK SI", "20:AT BA EE KZ LT LU XK MN", "21:CH HR LI LV",
+        "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG",
+        "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB NI PL SV", "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+    )
+) for code in codes.split()}
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -36,7 +44,7 @@ DIGITS = re.compile(r"[0-9]+")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 DIAL = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 REST_OF_URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
-ACCOUNT_VALUE = re.compile(r"(?:[\x20]?(?:no|number|nr|id))?\.?[\x20]?[:=#][\x20]?\"?([A-Za-z0-9][A-Za-z0-9-]{4,33})")
+ACCOUNT_VALUE = re.compile(r"(?:[\x20]?(?i:no|number|nr|id))?\.?[\x20]?[:=#][\x20]?\"?([A-Za-z0-9][A-Za-z0-9-]{4,33})")
 SECRET_VALUE = re.compile(r"[\x20]?[:=][\x20]?[\"']?([^\s\"',;]{8,})")
 CLOUD_KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 IBAN_VALUE = re.compile(r"[\x20:=]{0,3}([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30})")
@@ -47,10 +55,10 @@ Span = tuple[str, int, int]
 
 @functools.cache
 def anchors() -> ahocorasick.Automaton:
-    """The automaton over all anchors; each worker builds it once."""
+    """The automaton over all anchors, for texts with A-Z lower-cased; each worker builds it once."""
     a = ahocorasick.Automaton()
     marks = [("@", "at"), ("://", "scheme"), ("+", "plus"), *((d, "digit") for d in "0123456789")]
-    marks += [(c, "account") for c in ACCOUNT_CUES] + [(c, "secret") for c in SECRET_CUES] + [(c, "iban") for c in IBAN_CUES]
+    marks += [(c, "account") for c in ACCOUNT_CUES] + [(c, "secret") for c in SECRET_CUES] + [("akia", "key")] + [(c, "iban") for c in IBAN_CUES]
     for mark, kind in marks:
         a.add_word(mark, (kind, len(mark)))
     a.make_automaton()
@@ -72,6 +80,18 @@ def iban_valid(value: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, stop: int) -> int | None:
+    """Where the account number from start ends, stop being as far as its characters go; None if no end passes the mod-97 rule.
+
+    What follows a number may look like more of it. A known country fixes the length; where that fails, all of it may still be a
+    number. Without a known country the ends are tried from the last to the first.
+    """
+    ends = [k + 1 for k in range(start, stop) if text[k] != " "]
+    fixed = IBAN_LENGTHS.get(text[start : start + 2])
+    tried = reversed(ends[14:]) if fixed is None else [*ends[fixed - 1 : fixed], stop]
+    return next((e for e in tried if iban_valid(text[start:e])), None)
+
+
 def find_spans(text: str) -> list[Span]:
     """All spans (kind, start, end) of one text in code points, end exclusive, kinds as listed, then by start.
 
@@ -80,7 +100,8 @@ def find_spans(text: str) -> list[Span]:
     """
     spans: list[Span] = []
     end = dict.fromkeys(KINDS, 0)  # where each kind's search goes on
-    for last, (mark, length) in anchors().iter(text):
+    lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only, so positions are the same
+    for last, (mark, length) in anchors().iter(lowered):
         at, after = last - length + 1, last + 1
         if mark == "digit":
             if at >= end["ip"]:
@@ -125,16 +146,16 @@ def find_spans(text: str) -> list[Span]:
             if after >= end["account"] and (m := ACCOUNT_VALUE.match(text, after)) and any(c.isdigit() for c in m[1]):
                 end["account"] = m.end()
                 spans.append(("account", m.start(1), m.end(1)))
-        elif mark == "secret":
+        elif mark == "secret" or mark == "key" and text.startswith("AKIA", at):
             key = CLOUD_KEY.match(text, at)
             m = None if key else SECRET_VALUE.match(text, after)
             if at >= end["secret"] and (key or m):
                 a, b = key.span() if key else m.span(1)
                 end["secret"] = b
                 spans.append(("secret", a, b))
-        elif after >= end["iban"] and (m := IBAN_VALUE.match(text, after)) and iban_valid(m[1]):
-            end["iban"] = m.end()
-            spans.append(("iban", m.start(1), m.end(1)))
+        elif mark == "iban" and after >= end["iban"] and (m := IBAN_VALUE.match(text, after)) and (stop := iban_end(text, *m.span(1))):
+            end["iban"] = stop
+            spans.append(("iban", m.start(1), stop))
     order = {k: n for n, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (order[s[0]], s[1]))
 
