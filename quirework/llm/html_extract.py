@@ -1,27 +1,29 @@
 """Main text of web pages by nearest-URL differencing.
 
-Every page is paired with the page next to it in URL path order on its host, which is most likely made from the same
-template. Both are read as lines, a longest common subsequence aligns them, and lines that both share are template and
-go. Lines in a marked article stay even where the neighbour has them too, for copies of an article are neighbours as well.
-Marked menus, headers, footers, sidebars, notices, adverts, forms, comments and scripts go in any case. On all other
-lines the differencing decides, whether or not the page has a marked article: what the neighbour doesn't share stays.
-
-Neighbours come from a global sort by (host, path), so a host with a third of all pages is spread over many
-tasks; each task pairs its first page with its second. No page is compared with more than one other.
+Pages of a host are ordered by URL path. Each is paired with the nearer of the two pages beside it, the one whose path begins like its
+own for longer, which is most likely made from the same template. A longest common subsequence aligns the lines of the two, and the lines
+that both share go, wherever on the page they stand. Marks are the second opinion. Lines in a marked article stay even if they
+are shared, for copied and quoted articles are neighbours as well; and lines in marked menus, headers, footers, sidebars, notices,
+adverts, forms, comments and scripts that the neighbour doesn't share go too. All other lines stay.
+
+Pages are dealt out by ranges of the order, so a host with a third of all pages is spread over many tasks. The pages at both ends of a
+range also go to the ranges beside it, as guests to be compared with, so that no result depends on where ranges are cut.
 """
 
 from __future__ import annotations
 
 import bisect
+import os.path
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import batch
+from quirework.llm.common import batch, durable
 from quirework.llm.url_filter import url_parts
 
 # Elements that start and end a block, that hold no text, that are never main text, and words of class, id or role.
@@ -30,7 +32,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style template noscript svg math iframe object canvas audio video head title select option textarea button datalist".split())
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-AROUND_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|copyright|disclaimer|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|promoted|related|reply|replies|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+AROUND_PARTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe teaser teasers toolbar widget widgets".split())
+HEADER_PARTS = frozenset("header heading masthead".split())
+#: Parts of a name that may stand beside those, as in comment-list or site-footer.
+BESIDE_PARTS = frozenset("area bar block body bottom box buttons card cards container content form global inner items left links list main outer page pages panel policy primary right secondary section site slot text thread top unit wrap wrapper".split())
+BESIDE_ARTICLE = frozenset("article articles entry post posts stories story".split())
+#: Elements inside an article whose name can take them out of it; a heading or a paragraph with a telling name is text.
+PARTS_OF_ARTICLE = frozenset("article aside details div dl form iframe ol section table ul".split())
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|article-body|content|entry-content|main|main-content|post|post-body|post-content|story)(?:$|[\s_-])", re.I)
 #: Open elements that a new block of the same kind closes, and those that a block closes.
 CLOSED_BY_BLOCK = frozenset(("p",))
@@ -38,6 +46,24 @@ SELF_CLOSING = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": f
 SPACE = re.compile(r"\s+")
 
 ARTICLE, AROUND_IT, OPEN = "article", "around", "open"
+#: Pairs of equal lines up to which an alignment goes by them; beyond, it goes by bit vectors. Both are exact.
+MATCHES = 1 << 20
+#: Bytes of markup in a range of pages, about, and ranges at most; this bounds the table of their ends.
+RANGE_BYTES = 16 << 20
+MAX_RANGES = 20_000
+ORDER = ("host", "path", "page_id", "url", "tie")
+
+
+def named_around(names: str, header: bool) -> bool:
+    """Whether one of the names (a class or an id) says that an element is no main text: it is made of such a part and of parts that say nothing."""
+    for name in names.split():
+        parts = {p for p in re.split(r"[\W_]+", name.lower()) if p and not p.isdigit()}
+        rest = parts - AROUND_PARTS
+        if len(rest) < len(parts) and rest <= BESIDE_PARTS | BESIDE_ARTICLE:
+            return True
+        if header and parts & HEADER_PARTS and parts <= HEADER_PARTS | BESIDE_PARTS:
+            return True
+    return False
 
 
 class Lines(HTMLParser):
@@ -77,10 +103,12 @@ class Lines(HTMLParser):
         found = {k: v or "" for k, v in attrs}
         named = f"{found.get('class', '')} {found.get('id', '')}"
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""))
-        in_main = zone == ARTICLE
+        in_article = zone == ARTICLE
         if tag in ("body", "html"):
             pass
-        elif tag in AROUND and not (tag == "header" and in_main) or found.get("role", "") in AROUND_ROLES or (AROUND_WORDS.search(named) and tag not in ("article", "main")):
+        elif tag in AROUND and not (tag == "header" and in_article) or found.get("role", "") in AROUND_ROLES:
+            zone = AROUND_IT
+        elif tag != "main" and (not in_article or tag in PARTS_OF_ARTICLE) and named_around(named, header=not in_article and tag != "article"):
             zone = AROUND_IT
         elif zone == OPEN and (tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody" or (tag in ("div", "section") and MAIN_WORDS.search(named))):
             zone = ARTICLE
@@ -119,14 +147,23 @@ def page_lines(html: str) -> list[tuple[str, str]]:
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence of a and b.
-
-    By matches in order (Hunt and Szymanski): for each line of a, its places in b from the last to the first, keeping the least end of
-    a common run of each length.
-    """
+    """Positions in a of a longest common subsequence of a and b."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    same = {*range(start), *range(len(a) - end, len(a))}
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     places: dict[str, list[int]] = {}
     for j, line in enumerate(b):
         places.setdefault(line, []).append(j)
+    by_matches = sum(len(places.get(line, ())) for line in a) <= MATCHES
+    return same | {start + i for i in (_by_matches(a, places) if by_matches else _by_bits(a, b))}
+
+
+def _by_matches(a: list[str], places: dict[str, list[int]]) -> set[int]:
+    """Hunt and Szymanski: for each line of a, its places in b from the last to the first, keeping the least end of a common run of each length."""
     ends: list[int] = []
     links: list[tuple] = []
     for i, line in enumerate(a):
@@ -146,54 +183,138 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return kept
 
 
-def main_text(lines: list[tuple[str, str]], neighbour: list[tuple[str, str]] | None) -> str:
-    """The main text of a page, blocks joined by an empty line.
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """For each j the length of a longest common subsequence of a and the first j of b; a row of the table is one long integer."""
+    masks: dict[str, int] = {}
+    by_line: dict[str, list[int]] = {}
+    for j, line in enumerate(b):
+        by_line.setdefault(line, []).append(j)
+    for line, at in by_line.items():
+        bits = np.zeros(len(b), np.uint8)
+        bits[at] = 1
+        masks[line] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        met = row & masks.get(line, 0)
+        row = ((row + met) | (row - met)) & full
+    zeros = 1 - np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(zeros)])
+
+
+def _by_bits(a: list[str], b: list[str]) -> set[int]:
+    """Hirschberg: cuts a in halves and b where the lengths of both sides add up to most; in memory of the order of a and b."""
+    kept: set[int] = set()
+    left = [(0, len(a), 0, len(b))]
+    while left:
+        a0, a1, b0, b1 = left.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                kept.add(a0)
+            continue
+        middle = (a0 + a1) // 2
+        head, tail = _lengths(a[a0:middle], b[b0:b1]), _lengths(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut = b0 + int(np.argmax(head + tail))
+        left += [(a0, middle, b0, cut), (middle, a1, cut, b1)]
+    return kept
+
+
+Page = list[tuple[str, str]]
 
-    The lines of marked articles, and the unmarked lines that the neighbour doesn't share, in page order. Without a neighbour all
-    unmarked lines stay. If nothing would be left because the neighbour shares all unmarked lines of a page without an article, the two are
-    copies, and the neighbour tells nothing.
+
+def main_text(lines: Page, neighbour: Page | None) -> tuple[str, int, int]:
+    """(text, lines that went because the neighbour shares them, further lines that went by their marks); blocks joined by an empty line.
+
+    If nothing would be left because the neighbour shares all unmarked lines of a page without an article, the two are copies, and the
+    neighbour tells nothing about them.
     """
     shared = common_lines([line for _, line in lines], [line for _, line in neighbour]) if neighbour else set()
-    kept = [line for k, (zone, line) in enumerate(lines) if zone == ARTICLE or zone == OPEN and k not in shared]
-    return "\n\n".join(kept or [line for zone, line in lines if zone == OPEN])
+    kept = [k for k, (zone, _) in enumerate(lines) if zone == ARTICLE or zone == OPEN and k not in shared]
+    if not kept:
+        kept = [k for k, (zone, _) in enumerate(lines) if zone == OPEN]
+    n_shared = len(shared.difference(kept))
+    return "\n\n".join(lines[k][1] for k in kept), n_shared, len(lines) - len(kept) - n_shared
+
+
+def nearer(path: str, lines: Page, before: tuple[str, Page] | None, after: tuple[str, Page] | None) -> Page | None:
+    """Of the (path, lines) beside a page, those of the path that begins like its own for longer, else the one before; copies of the page tell nothing."""
+    found = [x for x in (before, after) if x is not None and x[1] != lines]
+    return max(found, key=lambda x: len(os.path.commonprefix((path, x[0]))))[1] if found else None
+
+
+def _ranges(keys: DataFrame, size: str) -> list[tuple[tuple, tuple]]:
+    """(first, last) key of each range of the order, MAX_RANGES at most, about equal in bytes of markup."""
+    keys = durable(keys)
+    total = keys.agg(F.sum(size)).first()[0] or 0
+    parts = min(MAX_RANGES, 1 + total // RANGE_BYTES)
+    dealt = keys.repartitionByRange(parts, *ORDER).select(F.spark_partition_id().alias("part"), F.struct(*ORDER).alias("key"))
+    ends = dealt.groupBy("part").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()
+    return sorted((_key(*r["first"]), _key(*r["last"])) for r in ends)
+
+
+def _key(host: str, path: str, page_id: int | None, url: str | None, tie: int) -> tuple:
+    """A key in the order of Spark: nulls first, strings by code point."""
+    return host, path, page_id is not None, page_id or 0, url is not None, url or "", tie
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points).
+    """One row per page: page_id, url, text, n_chars (code points), n_shared, n_marked (lines that went by differencing, or by marks alone).
 
     Null html counts as empty and gives empty text. A null URL or one without host is a host of its own. Pages with equal URLs are
-    neighbours; of repeated rows each is extracted. Ids may be null or repeat. Other columns are ignored; an empty table gives an
-    empty result.
+    neighbours, ordered by id and html; of repeated rows each is extracted. Ids may be null or repeat. Other columns are ignored; an
+    empty table gives an empty result. The same pages give the same rows however they are partitioned.
     """
     host, path = url_parts(pages[url_col])
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
-    ordered = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    html = F.coalesce(pages[html_col], F.lit(""))
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), html.alias("html"), host.alias("host"), path.alias("path"), F.xxhash64(html).alias("tie"))
+    ranges = _ranges(rows.select(*ORDER, F.octet_length("html").cast("long").alias("size")), "size")
+    shared = pages.sparkSession.sparkContext.broadcast(ranges)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with the number of its range, and as a guest with those of the ranges beside it if it is at an end."""
+        firsts = [first for first, _ in shared.value]
+        for b in batches:
+            take, part, guest = [], [], []
+            for k, fields in enumerate(zip(*(b.column(c).to_pylist() for c in ORDER), strict=True)):
+                key = _key(*fields)
+                own = bisect.bisect_right(firsts, key) - 1
+                first, last = shared.value[own]
+                beside = [own - 1] * (key == first and own > 0) + [own + 1] * (key == last and own + 1 < len(firsts))
+                for n, p in enumerate((own, *beside)):
+                    take.append(k), part.append(p), guest.append(n > 0)
+            got = b.take(pa.array(take, pa.int64()))
+            yield batch(**{c: got.column(c) for c in (*ORDER, "html")}, part=pa.array(part, pa.int32()), guest=pa.array(guest, pa.bool_()))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, list] | None = None  # host and lines of the page before
-
-        def rows_of(out: list[tuple]) -> pa.RecordBatch:
-            ids, urls, texts = zip(*out, strict=True) if out else ((), (), ())
-            return batch(page_id=pa.array(ids, pa.int64()), url=pa.array(urls, pa.string()), text=pa.array(texts, pa.string()))
+        before: tuple | None = None  # (part and host), (path, lines) of the page before the one in hand
+        hand: tuple | None = None  # (part and host), (path, lines), guest, page_id, url
+        out: list[tuple] = []
+
+        def close(after: tuple | None) -> None:
+            """Extracts the page in hand."""
+            if hand is not None and not hand[2]:
+                beside = [x[1] if x is not None and x[0] == hand[0] else None for x in (before, after)]
+                out.append((*hand[3:], *main_text(hand[1][1], nearer(*hand[1], *beside))))
+
+        def rows_of() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            kinds = pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()
+            got = batch(**{c: pa.array(x, kind) for c, x, kind in zip(("page_id", "url", "text", "n_shared", "n_marked"), columns, kinds, strict=True)})
+            out.clear()
+            return got
 
-        waiting: tuple | None = None  # a first page of its host waits for the second
         for b in batches:
-            out = []
-            for page_id, url, html, host in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                lines = page_lines(html)
-                if last and last[0] == host:
-                    if waiting:
-                        out.append((*waiting[:2], main_text(waiting[2], lines)))
-                        waiting = None
-                    out.append((page_id, url, main_text(lines, last[1])))
-                else:
-                    if waiting:
-                        out.append((*waiting[:2], main_text(waiting[2], None)))
-                    waiting = (page_id, url, lines)
-                last = (host, lines)
-            yield rows_of(out)
-        if waiting:
-            yield rows_of([(*waiting[:2], main_text(waiting[2], None))])
-
-    got = ordered.mapInArrow(extract, "page_id long, url string, text string")
-    return got.withColumn("n_chars", F.char_length("text").cast("long"))
+            for page_id, url, html, host, path, part, guest in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path", "part", "guest")), strict=True):
+                page = (part, host), (path, page_lines(html)), guest, page_id, url
+                close(page)
+                before, hand = hand, page
+            yield rows_of()
+        close(None)
+        yield rows_of()
+
+    dealt = rows.mapInArrow(deal, "host string, path string, page_id long, url string, tie long, html string, part int, guest boolean")
+    ordered = dealt.repartitionById(max(1, len(ranges)), "part").sortWithinPartitions("part", *ORDER)
+    got = ordered.mapInArrow(extract, "page_id long, url string, text string, n_shared long, n_marked long")
+    return got.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")
