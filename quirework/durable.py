@@ -9,17 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only if that is unset."""
+    """The folder in spark.checkpoint.dir. Only a session whose executors are threads of the driver may do without; it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quirework-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application within the shared one."""
+    return f"{shared_dir(spark)}/quirework-{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows from a written table: a lost executor loses nothing, and plans don't grow from round to round."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirework-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written with durable(); call it once the results that read it have been stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

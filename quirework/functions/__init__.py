@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space, ASCII and beyond, as the inside of a character class.
@@ -17,3 +17,11 @@ def trimmed(col: Column) -> Column:
 def one_space(col: Column) -> Column:
     """Each run of white space as one space."""
     return F.regexp_replace(col, rf"[{SPACES}]+", " ")
+
+
+def settings(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of settings to be broadcast, once its size is known: more than `most` rows are an error, not a memory problem."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a table of settings has at most {most} rows")
+    return F.broadcast(df)

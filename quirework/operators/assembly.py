@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def combine_documents(manifest: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages of each batch with a global page number, skipped documents): unreadable parts are left out and listed."""
+def combine_documents(manifest: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages of each batch with a global page number, skipped documents, failed batches): unreadable parts are left out and listed.
+
+    A batch without any readable part fails: (batch_id, reason).
+    """
     good = manifest.where("readable").select("doc_id", "batch_id", "pos").join(pages.select("doc_id", "ordinal"), "doc_id")
     number = F.row_number().over(Window.partitionBy("batch_id").orderBy("pos", "ordinal"))
-    return good.select("batch_id", number.alias("page_no"), "doc_id", "ordinal"), manifest.where("not readable").select("batch_id", "pos", "doc_id", "file_name")
+    failed = manifest.groupBy("batch_id").agg(F.bool_or("readable").alias("any")).where("not any").select("batch_id", F.lit("nothing-readable").alias("reason"))
+    return good.select("batch_id", number.alias("page_no"), "doc_id", "ordinal"), manifest.where("not readable").select("batch_id", "pos", "doc_id", "file_name"), failed
 
 
 def merge_documents(manifest: DataFrame, pages: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRUCTURAL = ("delete", "move", "insert")
+STRUCTURAL = ("delete", "move", "insert", "insertImages")
+SETTINGS = ("watermark", "numbering", "flattenForms")
 STATE = "struct<pages:array<string>,deletes:array<struct<page:string,seq:bigint>>>"
+EDITS = "array<struct<seq:bigint,kind:string,page_id:string,before_id:string,added:array<string>>>"
 
 
 def effective_edits(log: DataFrame) -> DataFrame:
@@ -20,32 +22,49 @@ def effective_edits(log: DataFrame) -> DataFrame:
     return rows.where(F.col("least").isNull() | (F.col("least") > F.col("cursor"))).select("doc_id", "t", "cursor")
 
 
+def added_pages(edits: DataFrame) -> Column:
+    """Ids of the pages that an edit brings in: one for each index of an imported document, or for each picture; null for other kinds."""
+    seq = edits["seq"]
+    imported = F.transform(edits["indices"], lambda i: F.concat(F.lit("i"), seq.cast("string"), F.lit(":"), edits["asset"], F.lit(":"), i.cast("string")))
+    pictures = F.transform(edits["assets"], lambda a, k: F.concat(F.lit("g"), (seq * 1000 + k).cast("string"), F.lit(":"), a))
+    return F.when(edits["kind"] == "insert", imported).when(edits["kind"] == "insertImages", pictures)
+
+
+def inserted_at(page_id: Column) -> Column:
+    """The seq of the edit that brought a page in, as its id tells; -1 for original pages."""
+    number = F.regexp_extract(page_id, r"^[ig](\d+):", 1).try_cast("long")
+    return F.coalesce(F.when(page_id.startswith("i"), number).when(page_id.startswith("g"), F.floor(number / 1000)), F.lit(-1)).cast("long")
+
+
 def _step(state: Column, edit: Column) -> Column:
-    """One structural edit on (pages, deletes)."""
-    pages = state["pages"]
-    there = F.array_contains(pages, edit["page_id"])
-    deletes = (edit["kind"] == "delete") & there & (F.size(pages) > 1)
-    without = F.array_remove(pages, edit["page_id"])
-    at = F.when(edit["before_id"].isNull(), F.size(without) + 1).otherwise(F.array_position(without, edit["before_id"])).cast("int")
-    moves = (edit["kind"] == "move") & there & (at > 0)
-    insert_at = F.when(edit["before_id"].isNull() | (F.array_position(pages, edit["before_id"]) == 0), F.size(pages) + 1).otherwise(F.array_position(pages, edit["before_id"])).cast("int")
-    put = lambda where, base: F.array_insert(base, F.greatest(where, F.lit(1)), edit["page_id"])
-    new_pages = F.when(deletes, without).when(moves, put(at, without)).when(edit["kind"] == "insert", put(insert_at, pages)).otherwise(pages)
-    gone = F.when(deletes, F.array_append(state["deletes"], F.struct(edit["page_id"].alias("page"), edit["seq"].alias("seq")))).otherwise(state["deletes"])
+    """One structural edit on (pages, deletes). Equal ids, of an import that names an index twice, are deleted together and moved one at a time."""
+    pages, page, before = state["pages"], edit["page_id"], edit["before_id"]
+    place = lambda where, x: F.coalesce(F.array_position(where, x), F.lit(0)).cast("int")
+    put = lambda base, at, some: F.concat(F.slice(base, F.lit(1), at - 1), some, F.slice(base, at, F.size(base) + 1))
+    at = place(pages, page)
+    without = F.array_remove(pages, page)
+    deletes = (edit["kind"] == "delete") & (at > 0) & (F.size(without) > 0)
+    rest = F.concat(F.slice(pages, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(pages, at + 1, F.size(pages)))
+    move_to = F.when(before.isNull(), F.size(rest) + 1).otherwise(place(rest, before))
+    moves = (edit["kind"] == "move") & (at > 0) & (move_to > 0)
+    insert_at = F.when(place(pages, before) == 0, F.size(pages) + 1).otherwise(place(pages, before))
+    new_pages = F.when(deletes, without).when(moves, put(rest, F.greatest(move_to, F.lit(1)), F.array(page))).when(edit["added"].isNotNull(), put(pages, insert_at, edit["added"])).otherwise(pages)
+    gone = F.when(deletes, F.array_append(state["deletes"], F.struct(page.alias("page"), edit["seq"].alias("seq")))).otherwise(state["deletes"])
     return F.struct(new_pages.alias("pages"), gone.alias("deletes")).cast(STATE)
 
 
 def page_order_fold(manifest: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, pages, deletes): the ordered page ids after all structural edits, and the deletes that took effect.
 
-    manifest has the keys and pc, the original number of pages o0, o1, ... A missing page or anchor makes a move nothing and an insert
-    go to the end; the last page can't be deleted.
+    manifest has the keys and pc, the original number of pages o0, o1, ... An insert brings indices of an asset, insertImages a list of
+    assets. A missing page or anchor makes a move nothing and an insert go to the end; the last page can't be deleted.
     """
-    wanted = edits.where(F.col("kind").isin(*STRUCTURAL)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "page_id", "before_id"))).alias("edits"))
+    edit = F.struct("seq", "kind", "page_id", "before_id", added_pages(edits).alias("added"))
+    wanted = edits.where(F.col("kind").isin(*STRUCTURAL)).groupBy(*keys).agg(F.sort_array(F.collect_list(edit)).alias("edits"))
     rows = manifest.select(*keys, "pc").join(wanted, list(keys), "left")
     first = F.transform(F.sequence(F.lit(0), F.col("pc").cast("int") - 1), lambda i: F.concat(F.lit("o"), i.cast("string")))
     zero = F.struct(first.alias("pages"), F.array().alias("deletes")).cast(STATE)
-    done = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<seq:bigint,kind:string,page_id:string,before_id:string>>")), zero, _step)
+    done = F.aggregate(F.coalesce(F.col("edits").cast(EDITS), F.array().cast(EDITS)), zero, _step)
     return rows.select(*keys, done.alias("s")).select(*keys, "s.pages", "s.deletes")
 
 
@@ -58,23 +77,24 @@ def final_pages(fold: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
 def page_attributes(pages: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, page_id, turns, and crop and raster if edits has a payload): quarter turns of each page of a state, modulo 4, and the last crop and raster.
 
-    Pages never come back, so all edits of a present page count. A null payload is a value: it takes the crop or raster back.
+    Pages never come back, so all edits of a present page count that came after it. A null payload is a value: it takes the crop or raster back.
     """
     kinds = ("crop", "raster") if "payload" in edits.columns else ()
     # the kind restricts the order, never the value, so that nulls are kept
     last = [F.max_by(F.struct("payload"), F.when(F.col("kind") == k, F.col("seq")))["payload"].alias(k) for k in kinds]
-    per = edits.where(F.col("kind").isin("rotate", *kinds)).groupBy(*keys, "page_id").agg(F.sum(F.when(F.col("kind") == "rotate", F.col("turns"))).alias("total"), *last)
+    on_page = edits.where(F.col("kind").isin("rotate", *kinds) & (F.col("seq") > inserted_at(F.col("page_id"))))
+    per = on_page.groupBy(*keys, "page_id").agg(F.sum(F.when(F.col("kind") == "rotate", F.col("turns"))).alias("total"), *last)
     return pages.join(per, [*keys, "page_id"], "left").select(*keys, "page_id", F.pmod(F.coalesce("total", F.lit(0)), F.lit(4)).alias("turns"), *kinds)
 
 
-def live_marks(edits: DataFrame, fold: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, mark_id, page_id, seq): marks drawn on a page that existed then, not erased later, on a page not deleted later."""
-    drawn = edits.where("kind = 'draw'").select(*keys, "mark_id", "page_id", "seq")
-    original = manifest.select(*keys, F.explode(F.sequence(F.lit(0), F.col("pc").cast("int") - 1)).alias("k")).select(*keys, F.concat(F.lit("o"), F.col("k").cast("string")).alias("page_id"))
-    deleted = fold.select(*keys, F.explode("deletes").alias("d")).select(*keys, F.col("d.page").alias("page_id"))
+def live_marks(edits: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, mark_id, page_id, seq): marks drawn on a page that existed then and is still there, original or inserted, and not erased later.
+
+    pages are those of the state. A deleted page never returns: a mark on one is gone, whether drawn before (removed with it) or after (no page).
+    """
+    drawn = edits.where((F.col("kind") == "draw") & (F.col("seq") > inserted_at(F.col("page_id")))).select(*keys, "mark_id", "page_id", "seq")
     erased = edits.where("kind = 'erase'").groupBy(*keys, "mark_id").agg(F.max("seq").alias("erased_at"))
-    # a deleted page never returns: a mark on one is gone, whether drawn before (removed with it) or after (no page)
-    alive = drawn.join(original, [*keys, "page_id"], "left_semi").join(deleted, [*keys, "page_id"], "left_anti")
+    alive = drawn.join(pages.select(*keys, "page_id"), [*keys, "page_id"], "left_semi")
     return alive.join(erased, [*keys, "mark_id"], "left").where("erased_at is null or erased_at < seq").select(*keys, "mark_id", "page_id", "seq")
 
 
@@ -101,22 +121,33 @@ def at_cursors(manifest: DataFrame, edits: DataFrame, cursors: DataFrame) -> tup
     return manifest.join(bounded, "doc_id"), edits.join(bounded, "doc_id").where("seq < upto")
 
 
+def whole_state(manifest: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> dict[str, DataFrame]:
+    """Pages, attributes, marks, fields, metadata and settings after all edits of each key."""
+    pages = final_pages(page_order_fold(manifest, edits, keys), keys)
+    return {
+        "pages": pages,
+        "attributes": page_attributes(pages, edits, keys),
+        "marks": live_marks(edits, pages, keys),
+        "fields": field_values_at(edits, keys),
+        "metadata": metadata_at(edits, keys),
+        "settings": document_settings_at(edits, SETTINGS, keys=keys),
+    }
+
+
 def state_at(manifest: DataFrame, edits: DataFrame, cursors: DataFrame) -> dict[str, DataFrame]:
-    """Pages, attributes, marks, fields and metadata of every asked (doc_id, cursor); each depends on the edits before the cursor only."""
-    keys = ("doc_id", "cursor")
-    docs, log = at_cursors(manifest, edits, cursors)
-    fold = page_order_fold(docs, log, keys)
-    pages = final_pages(fold, keys)
-    return {"pages": pages, "attributes": page_attributes(pages, log, keys), "marks": live_marks(log, fold, docs, keys), "fields": field_values_at(log, keys), "metadata": metadata_at(log, keys)}
+    """The whole state of every asked (doc_id, cursor), which depends on the edits before the cursor only."""
+    return whole_state(*at_cursors(manifest, edits, cursors), ("doc_id", "cursor"))
 
 
 def untouched_documents(manifest: DataFrame, state: dict[str, DataFrame]) -> DataFrame:
-    """(doc_id): documents whose pages are the original ones unturned, with no marks, fields or metadata."""
+    """(doc_id): documents whose pages are the original ones, unturned and uncropped, with no marks, fields, metadata or settings."""
     pages = state["pages"].join(state["attributes"], ["doc_id", "page_id"])
-    same = pages.groupBy("doc_id").agg(F.bool_and((F.col("page_id") == F.concat(F.lit("o"), (F.col("ordinal") - 1).cast("string"))) & (F.col("turns") == 0)).alias("same"), F.count("*").alias("n"))
+    plain = (F.col("turns") == 0) & F.col("crop").isNull() & F.col("raster").isNull()
+    same = pages.groupBy("doc_id").agg(F.bool_and((F.col("page_id") == F.concat(F.lit("o"), (F.col("ordinal") - 1).cast("string"))) & plain).alias("same"), F.count("*").alias("n"))
     rows = manifest.join(same, "doc_id").where("same and n = pc").select("doc_id")
-    for part in ("marks", "fields", "metadata"):
-        rows = rows.join(state[part], "doc_id", "left_anti")
+    asked = state["settings"].where(F.coalesce(*SETTINGS).isNotNull())
+    for part in (state["marks"], state["fields"], state["metadata"], asked):
+        rows = rows.join(part, "doc_id", "left_anti")
     return rows
 
 
@@ -134,14 +165,15 @@ def live_import_notes(notes: DataFrame, pages: DataFrame) -> DataFrame:
 def page_signatures(state: dict[str, DataFrame], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys, ordinal, page_id, signature) of what a page shows: id, turns, crop and raster if known, and its marks in order."""
     marks = state["marks"].groupBy(*keys, "page_id").agg(F.array_join(F.array_sort(F.collect_list("mark_id")), ",").alias("m"))
-    rows = state["pages"].join(state["attributes"], [*keys, "page_id"]).join(marks, [*keys, "page_id"], "left")
+    shows = state["attributes"].distinct()  # an import that names an index twice gives two pages of one id
+    rows = state["pages"].join(shows, [*keys, "page_id"]).join(marks, [*keys, "page_id"], "left")
     shown = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in state["attributes"].columns if c not in (*keys, "page_id")]
     return rows.select(*keys, "ordinal", "page_id", F.sha2(F.concat_ws("|", "page_id", *shown, F.coalesce("m", F.lit(""))), 256).alias("signature"))
 
 
 def changed_pages(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(doc_id, page_id, change): pages added, removed or shown differently between two states' signatures."""
-    b, a = before.select("doc_id", "page_id", F.col("signature").alias("was")), after.select("doc_id", "page_id", F.col("signature").alias("now"))
+    """(doc_id, page_id, change): pages added, removed or shown differently between two states' signatures; equal ids count once."""
+    b, a = (side.select("doc_id", "page_id", F.col("signature").alias(name)).distinct() for side, name in ((before, "was"), (after, "now")))
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
     return b.join(a, ["doc_id", "page_id"], "full").select("doc_id", "page_id", change.alias("change")).where("change is not null")
 

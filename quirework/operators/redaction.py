@@ -10,12 +10,18 @@ from quirework.functions import one_space, trimmed
 SLACK = 1.0
 
 
+def flag_painted(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
+    """The fragments with painted: whether one overlaps a box of its page, with some slack on every side."""
+    on_page = boxes.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("boxes"))
+    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+    meets = lambda b: (x + w > b["x"] - slack) & (x < b["x"] + b["width"] + slack) & (y + h > b["y"] - slack) & (y < b["y"] + b["height"] + slack)
+    met = fragments.join(on_page, ["doc_id", "page_no"], "left")
+    return met.withColumn("painted", F.coalesce(F.exists("boxes", meets), F.lit(False))).drop("boxes")
+
+
 def words_under_boxes(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
     """(doc_id, page_no, frag_no, str): fragments that overlap a box of their page, with some slack on every side."""
-    b = boxes.select("doc_id", "page_no", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("width").alias("bw"), F.col("height").alias("bh"))
-    met = fragments.join(b, ["doc_id", "page_no"])
-    overlap = (F.col("x") + F.col("width") > F.col("bx") - slack) & (F.col("x") < F.col("bx") + F.col("bw") + slack) & (F.col("y") + F.col("height") > F.col("by") - slack) & (F.col("y") < F.col("by") + F.col("bh") + slack)
-    return met.where(overlap).select("doc_id", "page_no", "frag_no", "str").distinct()
+    return flag_painted(fragments, boxes, slack).where("painted").select("doc_id", "page_no", "frag_no", "str")
 
 
 def redaction_needles(words: DataFrame) -> DataFrame:

@@ -23,8 +23,9 @@ def error_kind(message: Column, known: Column | None = None) -> Column:
 
 
 def classify_errors(log: DataFrame) -> DataFrame:
-    """(day, kind, n)."""
-    return log.groupBy("day", error_kind(F.col("message")).alias("kind")).agg(F.count("*").alias("n"))
+    """(day, kind, n); a column known, if the log has one, holds the kind that a tool gave itself: any of these, unsupported-image or cancelled."""
+    known = F.col("known") if "known" in log.columns else None
+    return log.groupBy("day", error_kind(F.col("message"), known).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def size_report(outputs: DataFrame, slice_col: str) -> DataFrame:

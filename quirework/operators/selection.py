@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import trimmed
 
+# Fixed value: a range as typed.
 RANGE = r"^(\d*)\s*-\s*(\d*)$"
 
 
@@ -65,10 +66,12 @@ def split_into_parts(manifest: DataFrame, k: Column) -> DataFrame:
     return rows.select("doc_id", "part", start.alias("from_page"), (start + size + F.when(F.col("part") <= extra, 1).otherwise(0) - 1).alias("to_page"))
 
 
-def extract_pages(pages: DataFrame, selection: DataFrame) -> DataFrame:
-    """The selected pages of each document in selection order, repeats kept: sel_id, ordinal, then the page's columns."""
+def extract_pages(pages: DataFrame, selection: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, empty): the selected pages of each document in selection order, repeats kept, as sel_id, ordinal and the page's columns; and
+    the selections of asked (sel_id, doc_id) that select nothing."""
     chosen = selection.select("sel_id", "doc_id", "ordinal", F.col("page").alias("source_ordinal"))
-    return chosen.join(pages.withColumnRenamed("ordinal", "source_ordinal"), ["doc_id", "source_ordinal"])
+    found = chosen.join(pages.withColumnRenamed("ordinal", "source_ordinal"), ["doc_id", "source_ordinal"])
+    return found, asked.select("sel_id", "doc_id").join(selection, "sel_id", "left_anti")
 
 
 def search_corpus(docs: DataFrame, cols: list[str], query: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions import one_space, trimmed
+from quirework.functions import one_space, settings, trimmed
 
 # A4 in points, the nine anchors, and the long side of a page made to an image's shape.
 A4 = (595.28, 841.89)
@@ -54,7 +54,7 @@ def place_stamps(pages: DataFrame, stamps: DataFrame) -> DataFrame:
 
     A block larger than the page sits at its edge. stamps is a short table of settings.
     """
-    return _placed(page_display_boxes(pages).join(F.broadcast(stamps))).select("doc_id", "ordinal", "anchor", "tilt", "px", "py", "rotate")
+    return _placed(page_display_boxes(pages).join(settings(stamps))).select("doc_id", "ordinal", "anchor", "tilt", "px", "py", "rotate")
 
 
 def number_pages(pages: DataFrame, start_at: int = 1, of_word: str | None = None) -> DataFrame:

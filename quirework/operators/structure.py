@@ -102,9 +102,12 @@ def attachment_counts(tops: DataFrame, kids: DataFrame, sizes: DataFrame) -> Dat
 
 
 def structure_summary(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row per document with a column for each category; what isn't counted, as in unreadable documents, is 0. facts is (doc_id, category, n)."""
+    """One row per document: its page_count and a column for each category; what isn't counted, as in unreadable documents, is 0.
+
+    docs is (doc_id, page_count), facts (doc_id, category, n).
+    """
     wide = facts.groupBy("doc_id").pivot("category", list(CATEGORIES)).agg(F.sum("n"))
-    return docs.select("doc_id").join(wide, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in CATEGORIES))
+    return docs.select("doc_id", "page_count").join(wide, "doc_id", "left").select("doc_id", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in CATEGORIES))
 
 
 def _long(summary: DataFrame, name: str, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions import SPACES, trimmed
+from quirework.functions import SPACES, settings, trimmed
 from quirework.sources.formats import WIN_ANSI
 
 #: A gap counts as a space from this share of the type size on.
@@ -45,7 +45,7 @@ def text_layer_fit(words: DataFrame, glyphs: DataFrame, scale: float, page_heigh
     glyphs (ch, w in thousandths of the size) is one font's short table; characters that it lacks have no width.
     """
     chars = words.select("doc_id", "page_no", "word_no", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
-    widths = chars.join(F.broadcast(glyphs), "ch", "left").groupBy("doc_id", "page_no", "word_no").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("units"))
+    widths = chars.join(settings(glyphs, 200_000), "ch", "left").groupBy("doc_id", "page_no", "word_no").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("units"))
     met = words.join(widths, ["doc_id", "page_no", "word_no"])
     h, target = (F.col("y1") - F.col("y0")) / scale, (F.col("x1") - F.col("x0")) / scale
     start = F.greatest(0.8 * h, F.lit(1.0))
@@ -94,14 +94,15 @@ def line_texts(lines: DataFrame) -> DataFrame:
 
 
 def _gaps(lines: DataFrame) -> DataFrame:
-    """Lines that aren't blank, with the distance to the one above."""
-    w = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
-    return lines.where(trimmed(F.col("text")) != "").withColumn("gap", F.lag("y").over(w) - F.col("y"))
+    """Lines that aren't blank, with the distance to the one above and the page's typical one."""
+    page = Window.partitionBy("doc_id", "page_no")
+    rows = lines.where(trimmed(F.col("text")) != "").withColumn("gap", F.lag("y").over(page.orderBy("line_no")) - F.col("y"))
+    return rows.withColumn("typical", F.coalesce(F.expr("percentile_disc(0.5) within group (order by case when gap > 0 then gap end) over (partition by doc_id, page_no)"), F.lit(0.0)))
 
 
 def typical_line_gap(lines: DataFrame) -> DataFrame:
     """(doc_id, page_no, typical): the lower median of the positive distances between lines of a page; 0 if there are none."""
-    return _gaps(lines).groupBy("doc_id", "page_no").agg(F.coalesce(F.expr("percentile_disc(0.5) within group (order by gap) filter (where gap > 0)"), F.lit(0.0)).alias("typical"))
+    return _gaps(lines).groupBy("doc_id", "page_no").agg(F.first("typical").alias("typical"))
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     A paragraph ends where the text moves up, or where the distance is over 1.5 times the page's typical one.
     """
     w = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
-    rows = _gaps(lines).join(typical_line_gap(lines), ["doc_id", "page_no"]).withColumn("prev", F.lag("text").over(w))
+    rows = _gaps(lines).withColumn("prev", F.lag("text").over(w))
     opens = F.coalesce((F.col("gap") < 0) | ((F.col("typical") > 0) & (F.col("gap") > F.col("typical") * PARAGRAPH_GAP)), F.lit(True))
     rows = rows.withColumn("opens", opens).withColumn("para_no", F.sum(F.col("opens").cast("int")).over(w) - 1)
     rejoins = F.col("prev").rlike(r"[-‐‑]$") & F.col("text").rlike(r"^[a-zß-ÿ]") & ~F.col("opens")

@@ -53,7 +53,7 @@ query("g6_image_page_plan_own_shape", f"with f as (select *, 842.0::double / gre
     lambda s, d: g.image_page_plan(t(s, d, "image_assets"), "own"))
 query("g7_normalize_gestures", "select * from (select id, least(x1, x2) as x, least(y1, y2) as y, abs(x2 - x1) as width, abs(y2 - y1) as height from strokes) where width >= 3 and height >= 3")(lambda s, d: g.normalize_gestures(t(s, d, "strokes")))
 
-query("q1_classify_errors", """select day, case when message ilike '%password%' or message ilike '%is encrypted%' then 'encrypted' when regexp_matches(message, '(?i)invalid pdf|failed to parse|no pdf header') then 'invalid'
+query("q1_classify_errors", """select day, case when known is not null then known when message ilike '%password%' or message ilike '%is encrypted%' then 'encrypted' when regexp_matches(message, '(?i)invalid pdf|failed to parse|no pdf header') then 'invalid'
  when regexp_matches(message, '(?i)fetch|network|load failed|importScripts|worker') then 'assets' when regexp_matches(message, '(?i)detached|out of memory|allocation|maximum call stack') then 'too-large' else 'unknown' end as kind, count(*) as n from error_log group by all""")(
     lambda s, d: reports.classify_errors(t(s, d, "error_log")))
 query("q2_size_report", "select source, count(*) as files, sum(in_bytes)::bigint as in_bytes, sum(out_bytes)::bigint as out_bytes, round((1 - sum(out_bytes)::double / sum(in_bytes)) * 100)::bigint as saved_percent, count(*) filter (out_bytes > in_bytes) as grew from outputs group by 1")(

@@ -53,14 +53,14 @@ query("d6_live_bookmarks", f"""with recursive {_DEST}, lk as (select node as src
         t(s, d, "outline").selectExpr("node as src", "explode(array(first_child, next_node)) as dst").where("dst is not null"),
         docs(s, d).where("n = 0").selectExpr("n as node"), resolved(s, d), docs(s, d).where("n % 4 <> 0").selectExpr("'p' || n as page")))
 
-before = lambda s, d: st.structure_summary(t(s, d, "structure_facts"), t(s, d, "structure_facts").unpivot(["doc_id"], list(st.CATEGORIES), "category", "n"))
+before = lambda s, d: st.structure_summary(t(s, d, "structure_facts").selectExpr("doc_id", "case when doc_id % 11 <> 0 then page_count end as page_count"), t(s, d, "structure_facts").unpivot(["doc_id"], list(st.CATEGORIES), "category", "n"))
 _AFTER = "case when doc_id % 2 = 0 then greatest(bookmarks - 1, 0) else bookmarks end as bookmarks, case when doc_id % 5 = 0 then 0 else form end as form, case when doc_id % 7 = 0 then 0 else page_labels end as page_labels, attachments, layers, accessibility, metadata_title, language"
 after = lambda s, d: before(s, d).selectExpr("doc_id", "case when doc_id % 2 = 0 then greatest(bookmarks - 1, 0) else bookmarks end as bookmarks", "case when doc_id % 5 = 0 then 0 else form end as form", "case when doc_id % 7 = 0 then 0 else page_labels end as page_labels", "attachments", "layers", "accessibility", "metadata_title", "language")
 _cols = ", ".join(st.CATEGORIES)
 _LONG = f"""bf as (select doc_id, {_cols} from structure_facts), af as (select doc_id, {_AFTER} from structure_facts),
  bl as (unpivot bf on {_cols} into name category value n), al as (unpivot af on {_cols} into name category value n),
  df as (select bl.doc_id, bl.category, bl.n as before, al.n as after from bl join al using (doc_id, category) where bl.n > 0 and al.n < bl.n)"""
-query("d8_structure_summary", f"select doc_id, {_cols} from structure_facts")(before)
+query("d8_structure_summary", f"select doc_id, case when doc_id % 11 > 0 then page_count else 0 end as page_count, {_cols} from structure_facts")(before)
 query("d9_structure_diff", f"with {_LONG} select * from df")(lambda s, d: st.structure_diff(before(s, d), after(s, d)))
 _ver = ", ".join(f"'{c}'" for c in st.VERIFIABLE)
 query("d10_structure_report", f"""with {_LONG}, p as (select doc_id, string_agg(category, ',' order by category) as present from bl where n > 0 and category in ({_ver}) group by 1),

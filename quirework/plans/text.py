@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirework.durable import durable
 from quirework.operators import redaction, text
 from quirework.plans.registry import query
 from quirework.sources.fixtures import derive as t
@@ -71,24 +72,26 @@ query("t3_text_layer_fit", f"""with {_words}, ch as (select doc_id, page_no, wor
  select doc_id, page_no, word_no, round(case when units / 1000 * start <= 0 then start else least(greatest(start * target / (units / 1000 * start), 0.3 * h), 1.6 * h) end, 6) as font_size, x0 / 2 as x, 842.0 - y1 / 2 as y from st""")(
     lambda s, d: text.text_layer_fit(ocr(s, d), t(s, d, "glyph_widths"), 2.0, 842.0))
 
-under = lambda s, d: redaction.words_under_boxes(fragments(s, d), t(s, d, "redactions"))
-needles = lambda s, d: redaction.redaction_needles(under(s, d))
+flagged = lambda s, d: redaction.flag_painted(fragments(s, d), t(s, d, "redactions"))
+under = lambda s, d: flagged(s, d).where("painted").select("doc_id", "page_no", "frag_no", "str")
 
 
-def produced_items(s, d):
-    """All fragments, less those under boxes in every fourth document."""
-    painted = under(s, d).where("doc_id % 4 = 0").select("doc_id", "page_no", "frag_no")
-    return fragments(s, d).join(painted, ["doc_id", "page_no", "frag_no"], "left_anti")
+def survivors(s, d):
+    """Needles against the produced documents: all fragments less those painted in every fourth document, and forms that repeat some of the words."""
+    marked = durable(flagged(s, d).select("doc_id", "page_no", "frag_no", "str", "painted"))  # read three times
+    needles = redaction.redaction_needles(marked.where("painted"))
+    forms = marked.where("doc_id % 4 = 0 and frag_no % 89 = 0").selectExpr("doc_id", "concat('Value:  ', str) as value")
+    return redaction.redaction_survivors(needles, marked.where("not (painted and doc_id % 4 = 0)"), forms)
 
 
-survivors = lambda s, d: redaction.redaction_survivors(needles(s, d), produced_items(s, d))
 _under = f"""{_frag}, under as (select distinct f.doc_id, f.page_no, f.frag_no, f.str from frag f join redactions r on f.doc_id = r.doc_id and f.page_no = r.page_no
  where f.x + f.width > r.x - 1 and f.x < r.x + r.width + 1 and f.y + f.height > r.y - 1 and f.y < r.y + r.height + 1),
  needles as (select distinct doc_id, trim(str) as word, regexp_replace(lower(trim(str)), '\\s+', ' ', 'g') as needle from under where length(trim(str)) >= 3 and regexp_matches(trim(str), '[\\p{{L}}\\p{{N}}]')),
- said as (select doc_id, regexp_replace(lower(string_agg(str, ' ' order by page_no, frag_no)), '\\s+', ' ', 'g') as said from frag where not (doc_id % 4 = 0 and (doc_id, page_no, frag_no) in (select (doc_id, page_no, frag_no) from under)) group by 1),
+ said as (select doc_id, regexp_replace(lower(string_agg(str, ' ' order by page_no, frag_no)), '\\s+', ' ', 'g') as said from frag where not (doc_id % 4 = 0 and (doc_id, page_no, frag_no) in (select (doc_id, page_no, frag_no) from under)) group by 1
+  union all select doc_id, regexp_replace(lower('Value:  ' || str), '\\s+', ' ', 'g') from frag where doc_id % 4 = 0 and frag_no % 89 = 0),
  surv as (select distinct doc_id, word from needles join said using (doc_id) where contains(said, needle))"""
 query("r1_words_under_boxes", f"with {_under} select * from under")(under)
-query("r2_redaction_needles", f"with {_under} select * from needles")(needles)
+query("r2_redaction_needles", f"with {_under} select * from needles")(lambda s, d: redaction.redaction_needles(under(s, d)))
 query("r3_redaction_survivors", f"with {_under} select * from surv")(survivors)
 query("r4_release_gate", f"with {_under}, h as (select doc_id, string_agg(word, '|' order by word) as survivors from surv group by 1) select doc_id, survivors is null as released, survivors from doc_manifest left join h using (doc_id)")(
     lambda s, d: redaction.release_gate(t(s, d, "doc_manifest"), survivors(s, d)))

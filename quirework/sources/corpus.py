@@ -55,8 +55,11 @@ def part_names(parts: DataFrame, manifest: DataFrame) -> DataFrame:
     return met.select("doc_id", "part", F.concat(stem, F.lit("-"), number, F.lit(".pdf")).alias("name"))
 
 
-def write_parts(parts: DataFrame, pages: DataFrame, path: str) -> None:
-    """One folder for each document and part, holding its pages."""
-    inside = (pages["ordinal"] >= parts["from_page"]) & (pages["ordinal"] <= parts["to_page"])
-    met = parts.join(pages, (parts["doc_id"] == pages["doc_id"]) & inside).drop(pages["doc_id"])
-    met.repartition("doc_id", "part").write.partitionBy("doc_id", "part").mode("overwrite").parquet(path)
+def write_parts(parts: DataFrame, pages: DataFrame, path: str, by: tuple[str, ...] = ("doc_id", "part")) -> None:
+    """The pages of every part (doc_id, part, from_page, to_page and further columns), in one folder for each value of `by`.
+
+    Folders of single parts suit exports; a corpus of many small documents takes a column with fewer values, such as the batch.
+    """
+    p = pages.withColumnRenamed("doc_id", "_page_doc")
+    met = parts.join(p, (F.col("doc_id") == F.col("_page_doc")) & F.col("ordinal").between(F.col("from_page"), F.col("to_page"))).drop("_page_doc")
+    met.repartition(*by).write.partitionBy(*by).mode("overwrite").parquet(path)

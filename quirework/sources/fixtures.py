@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.sources.dialect import DUCK, SPARK, Spark
+from quirework.sources.dialect import DUCK, SPARK, Duck, Spark
 from quirework.sources.formats import EXTENSIONS
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "pages", "benchmark", "conversations")
@@ -46,16 +46,46 @@ def bad_page_edits(d: Spark) -> str:
 
 
 def edit_log(d: Spark) -> str:
-    return f"""select user_id as doc_id, seq, event_id, k, value, 5 + user_id % 8 as pc,
-      case event_type when 'view' then 'move' when 'click' then 'rotate' when 'purchase' then 'draw' when 'error' then case when k % 9 = 0 then 'delete' else 'erase' end
-        else case when k % 5 = 0 then 'metadata' else 'setField' end end as kind,
-      case when event_type in ('view', 'click', 'purchase') or (event_type = 'error' and k % 9 = 0) then 'o' || cast(k % (5 + user_id % 8) as string) end as page_id,
-      case when event_type = 'view' and k % 5 <> 0 then 'o' || cast({d.div('k', 7)} % (5 + user_id % 8) as string) end as before_id,
-      case when event_type = 'click' then 1 + k % 3 end as turns,
-      case when event_type = 'purchase' then 'm' || cast(event_id as string) when event_type = 'error' and k % 9 <> 0 then 'm' || cast(event_id - k as string) end as mark_id,
-      case when event_type = 'signup' and k % 5 <> 0 then 'f' || cast(k % 4 as string) when event_type = 'signup' then 'title' end as field,
-      case when event_type = 'signup' and k % 5 = 0 and k % 10 = 0 then null when event_type = 'signup' then 'v' || cast(event_id as string) end as new_value
-      from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, {d.prop('k')} as k from events)"""
+    """Written twice, once for each engine; see FIXTURES.md."""
+    return _EDIT_LOG_DUCK if isinstance(d, Duck) else _EDIT_LOG_SPARK
+
+
+_EDIT_LOG_SPARK = """select doc_id, seq, event_id, k, value, pc, kind,
+      case when kind in ('move', 'rotate', 'crop', 'raster', 'draw', 'delete') then coalesce(case when k % 4 = 1 then known end, 'o' || cast(k % pc as string)) end as page_id,
+      case when kind in ('move', 'insert', 'insertImages') and k % 5 <> 0 then coalesce(case when k % 6 = 1 then known end, 'o' || cast((k div 7) % pc as string)) end as before_id,
+      case when kind = 'rotate' then 1 + k % 3 end as turns, case when kind = 'draw' then 'm' || cast(event_id as string) when kind = 'erase' then 'm' || cast(event_id - k as string) end as mark_id,
+      case kind when 'setField' then 'f' || cast(k % 4 as string) when 'metadata' then element_at(array('title', 'author', 'language'), cast(k % 3 as int) + 1) end as field,
+      case when kind = 'setField' or (kind = 'metadata' and k % 10 <> 0) then 'v' || cast(event_id as string) end as new_value,
+      case when kind = 'insert' then 'a' || cast(k as string) end as asset, indices, assets, case when kind in ('crop', 'raster', 'watermark', 'numbering', 'flattenForms') and k % 3 <> 0 then k end as payload
+      from (select *, last_value(own, true) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as known
+       from (select *, case when kind = 'insert' and size(indices) > 0 then 'i' || cast(seq as string) || ':a' || cast(k as string) || ':' || cast(indices[0] as string)
+          when kind = 'insertImages' then 'g' || cast(seq * 1000 + 1 as string) || ':' || assets[1] end as own
+        from (select *, case when kind = 'insert' then filter(array(k % 3, k % 4), i -> k % 7 <> 0) end as indices, case when kind = 'insertImages' then array('a' || cast(k as string), 'a' || cast(k + 1 as string)) end as assets
+         from (select user_id as doc_id, seq, event_id, k, value, 5 + user_id % 8 as pc,
+           case when event_type = 'view' and k % 11 = 3 then 'insert' when event_type = 'view' and k % 11 = 7 then 'insertImages' when event_type = 'view' then 'move'
+             when event_type = 'click' and k % 8 = 0 then 'crop' when event_type = 'click' and k % 8 = 4 then 'raster' when event_type = 'click' then 'rotate' when event_type = 'purchase' then 'draw'
+             when event_type = 'error' and k % 9 = 0 then 'delete' when event_type = 'error' then 'erase'
+             when k % 5 = 0 then 'metadata' when k % 5 = 1 then element_at(array('watermark', 'numbering', 'flattenForms'), cast(k % 3 as int) + 1) else 'setField' end as kind
+           from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, cast(get_json_object(props, '$.k') as bigint) as k from events)))))"""
+
+_EDIT_LOG_DUCK = """select e.doc_id, e.seq, e.event_id, e.k, e.value, e.pc, e.kind,
+      case when list_contains(['move', 'rotate', 'crop', 'raster', 'draw', 'delete'], e.kind) then if(e.k % 4 = 1 and e.last_own is not null, e.last_own, concat('o', e.k % e.pc)) end as page_id,
+      if(e.kind in ('move', 'insert', 'insertImages') and e.k % 5 > 0, if(e.k % 6 = 1 and e.last_own is not null, e.last_own, concat('o', (e.k // 7) % e.pc)), null) as before_id,
+      if(e.kind = 'rotate', e.k % 3 + 1, null) as turns, if(e.kind = 'draw', concat('m', e.event_id), if(e.kind = 'erase', concat('m', e.event_id - e.k), null)) as mark_id,
+      if(e.kind = 'setField', concat('f', e.k % 4), if(e.kind = 'metadata', (['title', 'author', 'language'])[e.k % 3 + 1], null)) as field,
+      if(e.kind = 'setField' or (e.kind = 'metadata' and e.k % 10 > 0), concat('v', e.event_id), null) as new_value,
+      if(e.kind = 'insert', concat('a', e.k), null) as asset, e.indices, e.assets, if(e.kind in ('crop', 'raster', 'watermark', 'numbering', 'flattenForms') and e.k % 3 > 0, e.k, null) as payload
+      from (select n.*, (select max_by(coalesce(format('i{}:a{}:{}', o.seq, o.k, o.indices[1]), format('g{}:{}', 1000 * o.seq + 1, o.assets[2])), o.seq) from numbered o
+         where o.doc_id = n.doc_id and o.seq < n.seq and (len(o.indices) > 0 or len(o.assets) > 0)) as last_own from numbered n) e"""
+
+
+def numbered(d: Spark) -> str:
+    """DuckDB's half of the edit log: events with their place, kind and what they bring in."""
+    return """select r.*, case when kind <> 'insert' then null when k % 7 = 0 then []::bigint[] else [k % 3, k % 4] end as indices, if(kind = 'insertImages', [concat('a', k), concat('a', k + 1)], null) as assets
+      from (select q.*, case event_type when 'purchase' then 'draw' when 'view' then case k % 11 when 3 then 'insert' when 7 then 'insertImages' else 'move' end
+          when 'click' then case k % 8 when 0 then 'crop' when 4 then 'raster' else 'rotate' end when 'error' then if(k % 9 = 0, 'delete', 'erase')
+          else case k % 5 when 0 then 'metadata' when 1 then (['watermark', 'numbering', 'flattenForms'])[k % 3 + 1] else 'setField' end end as kind
+        from (select user_id as doc_id, event_id, event_type, value, 5 + user_id % 8 as pc, cast(props ->> 'k' as bigint) as k, count(*) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as seq from events) q) r"""
 
 
 def append_log(d: Spark) -> str:
@@ -74,14 +104,16 @@ def sessions(d: Spark) -> str:
 
 def objects(d: Spark) -> str:
     return """select 'r' || cast(r_regionkey as string) as node from region union all select 'n' || cast(n_nationkey as string) from nation
-      union all select 'c' || cast(c_custkey as string) from customer union all select 'o' || cast(o_orderkey as string) from orders"""
+      union all select 'c' || cast(c_custkey as string) from customer union all select 'o' || cast(o_orderkey as string) from orders
+      union all select 'l' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) from lineitem"""
 
 
 def object_edges(d: Spark) -> str:
     return """select 'r' || cast(n_regionkey as string) as src, 'n' || cast(n_nationkey as string) as dst from nation
       union all select 'n' || cast(c_nationkey as string), 'c' || cast(c_custkey as string) from customer
       union all select 'c' || cast(c_custkey as string), 'n' || cast(c_nationkey as string) from customer
-      union all select 'c' || cast(o_custkey as string), 'o' || cast(o_orderkey as string) from orders"""
+      union all select 'c' || cast(o_custkey as string), 'o' || cast(o_orderkey as string) from orders
+      union all select 'o' || cast(l_orderkey as string), 'l' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) from lineitem"""
 
 
 def roots(d: Spark) -> str:
@@ -143,7 +175,7 @@ def batch_items(d: Spark) -> str:
 
 def error_log(d: Spark) -> str:
     names = d.pick(["PasswordException", "file is encrypted", "No PDF header", "failed to parse", "network error", "out of memory", "boom", ""], f"{d.prop('k')} % 8")
-    return f"select event_id, cast(ts as date) as day, {names} as message from events where event_type = 'error'"
+    return f"select event_id, cast(ts as date) as day, {names} as message, case when event_id % 11 = 0 then 'cancelled' when event_id % 13 = 0 then 'unsupported-image' when event_id % 17 = 0 then 'encrypted' end as known from events where event_type = 'error'"
 
 
 def outputs(d: Spark) -> str:
@@ -158,7 +190,7 @@ def strokes(d: Spark) -> str:
     return f"select event_id as id, cast({d.prop('k')} as double) as x1, cast({d.prop('k')} % 10 as double) as y1, value as x2, value / 2 as y2 from events"
 
 
-DERIVED: dict[str, Callable[[Spark], str]] = {f.__name__: f for f in (doc_manifest, doc_pages, selections, page_edits, bad_page_edits, edit_log, append_log, image_assets, sessions, objects, object_edges, roots, barriers, outline, fields, wanted, produced, ocr_flat, text_items, glyph_widths, structure_facts, batch_items, error_log, outputs, redactions, strokes)}
+DERIVED: dict[str, Callable[[Spark], str]] = {f.__name__: f for f in (doc_manifest, doc_pages, selections, page_edits, bad_page_edits, numbered, edit_log, append_log, image_assets, sessions, objects, object_edges, roots, barriers, outline, fields, wanted, produced, ocr_flat, text_items, glyph_widths, structure_facts, batch_items, error_log, outputs, redactions, strokes)}
 
 
 def _names(sql: str, among) -> list[str]:

@@ -71,44 +71,78 @@ def test_names_never_collide(spark):
     assert got == want and len({g.lower() for g in got}) == len(got)
 
 
-def plain_fold(pc, edits):
-    pages, deletes = [f"o{i}" for i in range(pc)], []
+def plain_state(pc, edits):
+    """A second implementation: pages as [id, turns, crop, raster] and marks, one edit after another."""
+    pages, marks = [[f"o{i}", 0, None, None] for i in range(pc)], []
+    ids = lambda: [p[0] for p in pages]
     for e in edits:
-        if e.kind == "delete" and e.page_id in pages and len(pages) > 1:
-            pages.remove(e.page_id)
-            deletes.append((e.page_id, e.seq))
-        elif e.kind == "move" and e.page_id in pages:
-            rest = [p for p in pages if p != e.page_id]
-            if e.before_id is None:
-                pages = [*rest, e.page_id]
-            elif e.before_id in rest:
-                rest.insert(rest.index(e.before_id), e.page_id)
+        at = ids().index(e.before_id) if e.before_id in ids() else None
+        if e.kind == "delete" and e.page_id in ids() and set(ids()) != {e.page_id}:
+            pages = [p for p in pages if p[0] != e.page_id]
+            marks = [m for m in marks if m[1] != e.page_id]
+        elif e.kind == "move" and e.page_id in ids():
+            page = pages[ids().index(e.page_id)]
+            rest = [p for p in pages if p is not page]
+            anchor = [p[0] for p in rest]
+            if e.before_id is None or e.before_id in anchor:
+                rest.insert(len(rest) if e.before_id is None else anchor.index(e.before_id), page)
                 pages = rest
         elif e.kind == "insert":
-            at = pages.index(e.before_id) if e.before_id in pages else len(pages)
-            pages.insert(at, e.page_id)
-    return pages, deletes
+            pages[len(pages) if at is None else at : 0 if at is None else at] = [[f"i{e.seq}:{e.asset}:{i}", 0, None, None] for i in e.indices]
+        elif e.kind == "insertImages":
+            pages[len(pages) if at is None else at : 0 if at is None else at] = [[f"g{e.seq * 1000 + k}:{a}", 0, None, None] for k, a in enumerate(e.assets)]
+        elif e.kind in ("rotate", "crop", "raster"):
+            for p in pages:
+                if p[0] == e.page_id:
+                    if e.kind == "rotate":
+                        p[1] = (p[1] + e.turns) % 4
+                    else:
+                        p[2 if e.kind == "crop" else 3] = e.payload
+        elif e.kind == "draw" and e.page_id in ids():
+            marks.append((e.mark_id, e.page_id))
+        elif e.kind == "erase":
+            marks = [m for m in marks if m[0] != e.mark_id]
+    return pages, marks
 
 
 def test_state_at_every_cursor(spark):
-    log = derive(spark, SF, "edit_log").where("doc_id % 5 = 0")
+    log = derive(spark, SF, "edit_log").where("doc_id % 3 = 0")
     man = log.select("doc_id", "pc").distinct()
     rows = sorted(log.collect(), key=lambda r: (r.doc_id, r.seq))
+    assert {r.kind for r in rows} >= {"insert", "insertImages", "move", "delete", "crop", "raster", "draw", "erase"} and any(r.page_id and r.page_id[0] in "ig" for r in rows)
     docs = {r.doc_id: r.pc for r in rows}
     cursors = spark.createDataFrame([(d, c) for d in docs for c in range(-1, 1 + sum(r.doc_id == d for r in rows))], "doc_id long, cursor int")
-    got = {}
-    for r in editlog.state_at(man, log, cursors)["pages"].orderBy("doc_id", "cursor", "ordinal").collect():
-        got.setdefault((r.doc_id, r.cursor), []).append(r.page_id)
-    for (d, c), pages in got.items():
-        assert pages == plain_fold(docs[d], [r for r in rows if r.doc_id == d and r.seq < c])[0]
-    assert len(got) == cursors.count()
+    state = editlog.state_at(man, log, cursors)
+    pages, shown, marks = {}, {}, {}
+    for r in state["pages"].orderBy("doc_id", "cursor", "ordinal").collect():
+        pages.setdefault((r.doc_id, r.cursor), []).append(r.page_id)
+    for r in state["attributes"].collect():
+        shown.setdefault((r.doc_id, r.cursor), set()).add((r.page_id, r.turns, r.crop, r.raster))
+    for r in state["marks"].collect():
+        marks.setdefault((r.doc_id, r.cursor), []).append((r.mark_id, r.page_id))
+    for d, c in pages:
+        want, drawn = plain_state(docs[d], [r for r in rows if r.doc_id == d and r.seq < c])
+        assert pages[d, c] == [p[0] for p in want] and shown[d, c] == {tuple(p) for p in want}
+        assert sorted(marks.get((d, c), [])) == sorted(drawn)
+    assert len(pages) == cursors.count()
+
+
+LOG = "doc_id long, seq long, kind string, page_id string, before_id string, asset string, indices array<long>, assets array<string>, mark_id string"
 
 
 def test_fold_inserts_and_last_page(spark):
-    man = spark.createDataFrame([(1, 2), (2, 1)], "doc_id long, pc int")
-    edits = [(1, 0, "insert", "i0", "o1"), (1, 1, "insert", "i1", "gone"), (1, 2, "move", "o0", "o0"), (1, 3, "delete", "o1", None), (2, 0, "delete", "o0", None)]
-    got = {r.doc_id: (r.pages, [(x.page, x.seq) for x in r.deletes]) for r in editlog.page_order_fold(man, spark.createDataFrame(edits, "doc_id long, seq long, kind string, page_id string, before_id string")).collect()}
-    assert got == {1: (["o0", "i0", "i1"], [("o1", 3)]), 2: (["o0"], [])}
+    man = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "doc_id long, pc int")
+    edits = [
+        (1, 0, "insert", None, "o1", "a", [4, 4, 5], None, None), (1, 1, "insertImages", None, "gone", None, None, ["p", "q"], None), (1, 2, "move", "o0", "o0", None, None, None, None),
+        (1, 3, "move", "i0:a:4", None, None, None, None, None), (1, 4, "delete", "o1", None, None, None, None, None), (1, 5, "insert", None, None, "b", [], None, None),
+        (2, 0, "delete", "o0", None, None, None, None, None), (3, 0, "insert", None, "o0", "a", [1], None, None), (3, 1, "draw", "i0:a:1", None, None, None, None, "m1"), (3, 2, "draw", "o0", None, None, None, None, "m2"), (3, 3, "draw", "gone", None, None, None, None, "m3"),
+    ]
+    log = spark.createDataFrame(edits, LOG)
+    fold = editlog.page_order_fold(man, log)
+    got = {r.doc_id: (r.pages, [(x.page, x.seq) for x in r.deletes]) for r in fold.collect()}
+    assert got[1] == (["o0", "i0:a:4", "i0:a:5", "g1000:p", "g1001:q", "i0:a:4"], [("o1", 4)])
+    assert got[2] == (["o0"], []) and got[3] == (["i0:a:1", "o0"], [])
+    assert {r.mark_id for r in editlog.live_marks(log, editlog.final_pages(fold)).collect()} == {"m1", "m2"}
 
 
 def test_metadata_null_takes_back(spark):

@@ -35,5 +35,5 @@ def test_same_rows_as_sql(spark, con, name):
     assert got == collections.Counter(tuple(compare_sql.norm(r[have.index(c)]) for c in cols) for r in cur.fetchall())
 
 
-def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"a7_unique_output_names", "e12_changed_pages"}
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
