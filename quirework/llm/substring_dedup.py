@@ -3,7 +3,8 @@
 Residues D modulo v form a difference cover: for any two positions i and j there is a shift under v that brings both onto
 residues in D. Hashing the stretches of 50 - v + 1 words at cover positions only, a fifth of all, is therefore enough: any two equal
 windows of 50 words share an anchor that is aligned in both. Anchors met in two documents
-extend to all windows that hold them; these are compared by hashes of 128 bits, and a window stays with the smallest doc_id.
+extend to all windows that hold them; these are compared by hashes of 128 bits (two independent ones of each word, in two polynomials), and a
+window stays with the smallest doc_id. Tasks find partners among the rows they hold before they send any, so hot hashes stay small.
 Exact copies of whole documents are found first, so that none of their words is hashed again.
 """
 
@@ -13,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,6 +26,9 @@ WINDOW = 50
 #: The period and its perfect difference set: each residue but 0 is the difference of exactly one pair.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
+#: Rows that a task holds to find partners among them before it sends them on, and parts of a group of exact copies.
+HELD_ROWS = 400_000
+SALTS = 16
 #: Words whose hashes a task keeps.
 CACHED_WORDS = 200_000
 SECOND_BASE = 0xD6E8FEB86659FD93
@@ -70,15 +73,53 @@ def cover_positions(n: int, length: int) -> np.ndarray:
     return at[IS_COVER[at % PERIOD]]
 
 
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the groups of equal keys in sorted rows."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.concatenate([starts, [len(new)]]))
+
+
+Columns = dict[str, np.ndarray]
+
+
+def combined(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Columns:
+    """The rows of several documents, sorted by hashes and doc_id."""
+    columns = dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True))
+    order = np.lexsort([columns[k] for k in reversed(names[:-1])])
+    return {k: v[order] for k, v in columns.items()}
+
+
+def dealt(columns: Columns, done: np.ndarray) -> pa.RecordBatch:
+    """Rows for the shuffle with key: those whose group is decided (done) are spread by document, the others meet by their hash."""
+    spread = (columns["doc_id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return batch(**columns, done=done, key=np.where(done, spread, columns["h"]))
+
+
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id, at): hashes at cover positions."""
+    """(h, doc_id, at, done, key): hashes at cover positions.
+
+    Hashes that a task itself meets in several documents need no more partners: their rows are done, and only that of the smallest doc_id
+    goes on to meet those of other tasks. So a line that a third of all documents have makes one row a batch.
+    """
     length = window - PERIOD + 1
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        rows = combined(parts, ("h", "doc_id", "at"))
+        starts, sizes = groups(rows["h"])
+        several = rows["doc_id"][starts] != rows["doc_id"][starts + sizes - 1]
+        again = np.concatenate([np.arange(len(rows["h"])), starts[several]])  # the first row of each stays for other tasks
+        done = np.concatenate([np.repeat(several, sizes), np.zeros(int(several.sum()), bool)])
+        return dealt({k: v[again] for k, v in rows.items()}, done)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Digests()
+        parts, held = [], 0
         for b in batches:
-            parts = []
-            for doc_id, row, text in zip(b["doc_id"], b["row_hash"], b["text"], strict=True):
+            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_hash", "text")), strict=True):
                 words = WORDS.findall(text)
                 if len(words) < window:
                     continue
@@ -86,60 +127,73 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 h = Rolling(word_hashes(words, seen)[0]).hashes(at, at + length)
                 first, again = once_each(h)
                 parts.append((h[first].view(np.int64), np.full(len(first), doc_id), place(row, at[first], again)))
-                if sum(len(p[0]) for p in parts) > 200_000:
-                    yield pd.DataFrame(dict(zip(("h", "doc_id", "at"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-                    parts = []
-            if parts:
-                yield pd.DataFrame(dict(zip(("h", "doc_id", "at"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                held += len(first)
+                if held > HELD_ROWS:
+                    yield out(parts)
+                    parts, held = [], 0
+        if parts:
+            yield out(parts)
 
-    return docs.mapInPandas(scan, "h long, doc_id long, at long")
+    return docs.mapInArrow(scan, "h long, doc_id long, at long, done boolean, key long")
 
 
 def in_several(rows: DataFrame) -> DataFrame:
-    """(doc_id, at) of the rows whose h is in two documents or more; rows come sorted by (h, doc_id)."""
+    """(doc_id, at) of the rows whose h is in two documents or more."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_h, open_doc, several = None, None, False  # the hash that the last batch ended in
-        held: list[pd.DataFrame] = []  # its rows, all of one document so far
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # its rows, all of one document so far
         for b in batches:
-            h, doc = b["h"].to_numpy(), b["doc_id"].to_numpy()
+            done, h, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "h", "doc_id", "at"))
+            if done.any():
+                yield batch(doc_id=doc[done], at=at[done])
+                h, doc, at = h[~done], doc[~done], at[~done]
             if not len(h):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            stops = np.concatenate([starts[1:], [len(h)]])
-            many = doc[starts] != doc[stops - 1]
+            starts, sizes = groups(h)
+            many = doc[starts] != doc[starts + sizes - 1]
             if open_h == h[0]:
                 many[0] |= several or doc[0] != open_doc
-                if many[0] and held:
-                    yield from held
+                if many[0]:
+                    for d, x in held:
+                        yield batch(doc_id=d, at=x)
                     held = []
             else:
                 held, several = [], False
             last = starts[-1]
-            keep = np.repeat(many, stops - starts)
-            if not many[-1]:
-                held = [*(held if open_h == h[-1] and len(starts) == 1 else []), b.loc[last:, ["doc_id", "at"]]] if len(b) else held
-            else:
-                held = []
+            keep = np.repeat(many, sizes)
+            held = [] if many[-1] else [*(held if open_h == h[-1] and len(starts) == 1 else []), (doc[last:], at[last:])]
             open_h, open_doc, several = h[-1], doc[-1], bool(many[-1])
             if keep.any():
-                yield b.loc[keep, ["doc_id", "at"]]
+                yield batch(doc_id=doc[keep], at=at[keep])
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc_id").mapInPandas(scan, "doc_id long, at long")
+    return rows.repartition("key").sortWithinPartitions("done", "h", "doc_id").mapInArrow(scan, "doc_id long, at long")
 
 
 def windows_at(docs: DataFrame, window: int) -> DataFrame:
-    """(h, h2, doc_id, at): 128-bit hashes of the windows around the anchors that docs carries in column places."""
+    """(h, h2, doc_id, at, done, key): 128-bit hashes of the windows around the anchors that docs carries in column places.
+
+    Of a window that a task meets in several documents, all but the row of the smallest doc_id are done: they are to be removed.
+    """
     length = window - PERIOD + 1
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        rows = combined(parts, ("h", "h2", "doc_id", "at"))
+        starts, sizes = groups(rows["h"], rows["h2"])
+        return dealt(rows, rows["doc_id"] > np.repeat(rows["doc_id"][starts], sizes))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Digests()
+        parts, held = [], 0
         for b in batches:
-            for doc_id, row, text, found, again in zip(b["doc_id"], b["row_hash"], b["text"], b["places"], b["again"], strict=True):
+            lists = b.column("places")
+            offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = offsets - offsets[0]
+            for k, (doc_id, row, text, again) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_hash", "text", "again")), strict=True)):
                 words = WORDS.findall(text)
                 first, second = word_hashes(words, seen)
                 rolling = Rolling(first)
-                at = np.asarray(found, np.int64)
+                at = flat[offsets[k] : offsets[k + 1]]
                 if again:
                     everywhere = cover_positions(len(words), length)
                     at = everywhere[np.isin(rolling.hashes(everywhere, everywhere + length), rolling.hashes(at, at + length))]
@@ -148,35 +202,40 @@ def windows_at(docs: DataFrame, window: int) -> DataFrame:
                 h = rolling.hashes(starts, starts + window)
                 one, recurs = once_each(h)
                 starts = starts[one]
-                yield pd.DataFrame({
-                    "h": h[one].view(np.int64),
-                    "h2": Rolling(second, SECOND_BASE).hashes(starts, starts + window).view(np.int64),
-                    "doc_id": np.full(len(starts), doc_id),
-                    "at": place(row, starts, recurs),
-                })
+                h2 = Rolling(second, SECOND_BASE).hashes(starts, starts + window)
+                parts.append((h[one].view(np.int64), h2.view(np.int64), np.full(len(starts), doc_id), place(row, starts, recurs)))
+                held += len(starts)
+                if held > HELD_ROWS:
+                    yield out(parts)
+                    parts, held = [], 0
+        if parts:
+            yield out(parts)
 
-    return docs.mapInPandas(scan, "h long, h2 long, doc_id long, at long")
+    return docs.mapInArrow(scan, "h long, h2 long, doc_id long, at long, done boolean, key long")
 
 
 def not_first(rows: DataFrame) -> DataFrame:
-    """(doc_id, at) of the rows whose (h, h2) is also in a smaller document; rows come sorted by hash and doc_id."""
+    """(doc_id, at) of the rows whose (h, h2) is also in a smaller document."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, first = None, 0
         for b in batches:
-            h, h2, doc = b["h"].to_numpy(), b["h2"].to_numpy(), b["doc_id"].to_numpy()
+            done, h, h2, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "h", "h2", "doc_id", "at"))
+            if done.any():
+                yield batch(doc_id=doc[done], at=at[done])
+                h, h2, doc, at = h[~done], h2[~done], doc[~done], at[~done]
             if not len(h):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]))
+            starts, sizes = groups(h, h2)
             least = doc[starts]
             if open_key == (h[0], h2[0]):
                 least[0] = first
             open_key, first = (h[-1], h2[-1]), least[-1]
-            later = doc > np.repeat(least, np.diff(np.concatenate([starts, [len(h)]])))
+            later = doc > np.repeat(least, sizes)
             if later.any():
-                yield b.loc[later, ["doc_id", "at"]]
+                yield batch(doc_id=doc[later], at=at[later])
 
-    return rows.repartition("h", "h2").sortWithinPartitions("h", "h2", "doc_id").mapInPandas(scan, "doc_id long, at long")
+    return rows.repartition("key").sortWithinPartitions("done", "h", "h2", "doc_id").mapInArrow(scan, "doc_id long, at long")
 
 
 def by_document(rows: DataFrame) -> DataFrame:
@@ -187,10 +246,12 @@ def by_document(rows: DataFrame) -> DataFrame:
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash) of the documents whose whole text is also that of a smaller doc_id."""
-    marks = docs.where("doc_id is not null").select("doc_id", "row_hash", F.sha2(F.col("text").cast("binary"), 256).alias("mark"))
-    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("mark", "first")
-    return marks.join(first, "mark").where("doc_id > first").select("doc_id", "row_hash").distinct()
+    """(doc_id, row_hash) of the documents whose whole text is also that of a smaller doc_id. A large group of copies is split by salts."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    marks = docs.where("doc_id is not null").select("doc_id", "row_hash", F.sha2(F.col("text").cast("binary"), 256).alias("mark"), salt.alias("salt"))
+    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
+    salted = first.select("mark", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return marks.join(salted, ["mark", "salt"]).where("doc_id > first").select("doc_id", "row_hash").distinct()
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
