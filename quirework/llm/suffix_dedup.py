@@ -3,7 +3,7 @@
 A 400-byte string is a window; every byte in a window that also starts elsewhere goes. Suffix arrays over all bytes
 of a corpus would sort mostly text that occurs once. So windows are first cut into content-defined runs (see runs.py): equal windows
 get equal values, wherever they stand, and whatever a value's runs have in common lies in the runs of that value. A value with one run has
-nothing to remove; equal runs are repeated as a whole. What is left, values with several different runs, goes to shards by value.
+nothing to remove; runs of equal bytes, by XXH3's 128 bits, are repeated as a whole. What is left, values with several different runs, goes to shards by value.
 
 A shard concatenates the bytes of its runs, sorts their suffixes by Larsson-Sadakane refinement in numpy, takes common
 prefixes by Kasai's scan, and finds the windows that stand in it twice. A value with more runs than a shard takes is split
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,6 @@ from quirework.llm.runs import Rolling, covered, mixed, window_runs
 
 WINDOW = 400
 GRAM = 40
-SECOND_BASE = 0xD6E8FEB86659FD93
 #: Bytes of a shard, about, and runs of one value that go to one shard before the value is split.
 SHARD_BYTES = 1 << 19
 RUNS_A_SHARD = 1000
@@ -187,22 +187,22 @@ NAMES = ("v", "c", "c2", "doc_id", "row_hash", "start", "n", "periodic")
 
 
 def all_runs(docs: DataFrame, window: int) -> DataFrame:
-    """(v, c, c2, doc_id, row_hash, start, n, periodic): value, content hash, place and number of windows of every run."""
+    """(v, c, c2, doc_id, row_hash, start, n, periodic): value, digest of the bytes (128 bits), place and number of windows of every run."""
 
     def runs_of(ids: list, rows: list, texts: list[bytes]) -> pa.RecordBatch:
         """Of several documents at once, as one sequence in which no window reaches over an end."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
-        symbols = mixed(np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1))
-        rolling, second = Rolling(symbols), Rolling(symbols, SECOND_BASE)
-        grams = rolling.grams(GRAM)
+        data = b"".join(texts)
+        grams = Rolling(mixed(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1))).grams(GRAM)
         value, start, n = window_runs(grams, window, GRAM, ends - lengths, ends)
         stop = start + n + window - 1
         doc = np.searchsorted(ends, start, "right")
-        c, c2 = rolling.hashes(start, stop), second.hashes(start, stop)
+        digest, view = xxhash.xxh3_128_digest, memoryview(data)
+        content = np.frombuffer(b"".join([digest(view[x:y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]), np.int64).reshape(-1, 2)
         periodic = holds_itself(grams, value, start, n)
         place = (start - (ends - lengths)[doc]).astype(np.int32)
-        columns = value.view(np.int64), c.view(np.int64), c2.view(np.int64), np.array(ids, np.int64)[doc], np.array(rows, np.int32)[doc], place, n.astype(np.int32), periodic
+        columns = value.view(np.int64), content[:, 0], content[:, 1], np.array(ids, np.int64)[doc], np.array(rows, np.int32)[doc], place, n.astype(np.int32), periodic
         return batch(**dict(zip(NAMES, columns, strict=True)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
