@@ -2,11 +2,11 @@
 
 A fingerprint of 64 bits falls into 32 segments of two bits; the counts of set bits in the segments are
 its embedding. One flipped bit moves one count by one, so the Manhattan distance of two embeddings
-is never more than the Hamming distance of the fingerprints. The grid: the segments form six blocks, and
-two embeddings at distance four at most agree in two whole blocks. Each fingerprint goes
-to the cell of every pair of blocks; within a cell, pairs pass the Manhattan bound, then the exact test.
-What leaves a cell is a spanning forest of its links, so a large group of near copies gives as many rows
-as it has fingerprints, not their square.
+is never more than the Hamming distance of the fingerprints. The grid has seven axes, blocks of four or five segments, and a cell
+of every three axes: of two embeddings at Manhattan distance four at most, at least three blocks have equal counts, so the two
+share a cell, with neighbouring cells left to other axes. Within a cell, pairs pass the Manhattan bound, then the exact test.
+A cell of many fingerprints is split in parts, which meet pair by pair in tasks of their own. What leaves a cell is a
+spanning forest of its links, so a large group of near copies gives as many rows as it has fingerprints, not their square.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from quirework.llm.common import LOWER_ASCII, WORD, batch, durable, join_few, pa
 SHINGLE = 4
 SEED = 42
 MAX_DISTANCE = 4
+#: Blocks that two linked fingerprints have in common at least; and fingerprints of a cell that one task compares with each other.
+AGREE = 3
+CELL_ROWS = 4096
 ODD = 0x5555555555555555
 #: Links held at once before a cell's or partition's forest is formed from them.
 FOREST_EDGES = 1 << 20
@@ -90,6 +93,17 @@ def cells(prints: DataFrame, agree: int, distance: int = MAX_DISTANCE) -> DataFr
     return prints.select(F.explode(F.array(*keys)).alias("cell"), "fp")
 
 
+def split_cells(spread: DataFrame, most: int = CELL_ROWS) -> DataFrame:
+    """(cell, fp): cells of more than `most` fingerprints as several, one for each pair of their parts; two fingerprints still meet."""
+    large = spread.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    parts = large.select(F.col("cell").alias("_cell"), F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    met = spread.join(parts, F.col("cell") == F.col("_cell"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("parts")).cast("int")
+    pairs = met.select("cell", "fp", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pair = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    return pairs.select(F.when(F.col("parts") > 1, pair).otherwise(F.col("cell")).alias("cell"), "fp")
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, root) with the same connected components as the links (a, b)."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -133,11 +147,11 @@ def links_in_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.
     return forest(*map(np.concatenate, zip(*held, strict=True))) if held else (fp[:0], fp[:0])
 
 
-def fingerprint_links(prints: DataFrame, distance: int = MAX_DISTANCE, agree: int = 2) -> DataFrame:
+def fingerprint_links(prints: DataFrame, distance: int = MAX_DISTANCE, agree: int = AGREE, most: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints at Hamming distance up to `distance`, reduced to forests.
 
-    Any two linked fingerprints share a cell, so the forests connect exactly what the links connect.
-    With more blocks to agree in (agree=3 for some 10**8 fingerprints and more) cells get finer.
+    Any two linked fingerprints share a cell, so the forests connect exactly what the links connect. With more blocks to agree in,
+    cells are finer and each fingerprint is in more of them.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +169,7 @@ def fingerprint_links(prints: DataFrame, distance: int = MAX_DISTANCE, agree: in
             if len(x):
                 yield pd.DataFrame({"a": x, "b": y})
 
-    spread = cells(prints, agree, distance).repartition("cell").sortWithinPartitions("cell", "fp")
+    spread = split_cells(cells(prints, agree, distance), most).repartition("cell").sortWithinPartitions("cell", "fp")
     return spread.mapInPandas(search, "a long, b long")
 
 
@@ -163,7 +177,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node with links, root being the smallest node connected to it.
 
     Alternating large-star and small-star rounds; each round's links are written to the shared folder. Rounds grow
-    with the logarithm of a component's size.
+    with the logarithm of a component's size. The links of a large component meet at its root: minima are formed before the
+    shuffle, and the join with them is one that adaptive execution splits where a key is skewed.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -189,18 +204,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def component_firsts(own: DataFrame, key: Column, distance: int = MAX_DISTANCE, agree: int | None = None) -> DataFrame:
+def component_firsts(own: DataFrame, key: Column, distance: int = MAX_DISTANCE, agree: int = AGREE) -> DataFrame:
     """(print, least): for each fingerprint of own, the least key of all rows in its component."""
     prints = durable(own.groupBy("fp").agg(F.min(key).alias("first")))
-    if agree is None:
-        agree = 2 if prints.count() < 1 << 26 else 3
     roots = components(fingerprint_links(prints.select("fp"), distance, agree))
     grouped = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("least"))
     return grouped.join(smallest, "root").select(F.col("fp").alias("print"), "least")
 
 
-def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int = SHINGLE, agree: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shingle: int = SHINGLE, agree: int = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included).
 
     Null and empty texts have fingerprint zero and are linked like any other. Exact copies share a

@@ -165,8 +165,8 @@ def test_simhash(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{prints[i]:016x}", groups[i]) for i in prints}
 
 
-@pytest.mark.parametrize("agree", [2, 3])
-def test_simhash_links_lose_nothing(spark, agree):
+@pytest.mark.parametrize(("agree", "most"), [(2, 4096), (3, 4096), (1, 4)])
+def test_simhash_links_lose_nothing(spark, agree, most):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 40).tolist()
     prints = {0, (1 << 64) - 1}
@@ -177,7 +177,7 @@ def test_simhash_links_lose_nothing(spark, agree):
     want = plain_components({p: p for p in prints})
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(df, 4, agree)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.fingerprint_links(df, 4, agree, most)).collect()}
     groups = collections.defaultdict(set)
     for p in prints:
         groups[roots.get(signed(p), signed(p))].add(p)
@@ -278,6 +278,15 @@ def test_repeats(spark, small, monkeypatch):
     assert [(a, b, c, bytes(d)) for a, b, c, d in got] == plain_repeats(texts, 400)
 
 
+def test_repeats_of_the_given_documents(spark):
+    """The registered query, hash of the kept bytes included, against every window of every document."""
+    docs = documents()
+    want = {i: (a, b, c, hashlib.sha256(d).hexdigest()) for i, (a, b, c, d) in zip(docs.doc_id, plain_repeats(docs.text, 400), strict=True)}
+    rows = queries.op2_suffix_array_dedup(spark, SF).collect()
+    assert len(rows) == len(want) and {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+    assert sum(w[1] for w in want.values()) > 0
+
+
 def test_repeats_of_repeated_rows_and_nulls(spark):
     text = "".join(np.random.default_rng(2).choice(list("abcd"), 500))
     rows = suffix_dedup.remove_repeated(odd(spark, [text, text, "q" * 100], [None, None, 3])).collect()
