@@ -37,17 +37,22 @@ INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
 PLAIN, NEGATED, REPORTED = range(3)
 #: (state, class) -> state; what is missing leaves the state as it is.
 MOVES = {(PLAIN, NEGATION): NEGATED, (PLAIN, REPORT): REPORTED, (NEGATED, NEGATION): PLAIN, (NEGATED, REPORT): REPORTED}
-#: Output channels: insult and threat in each state, without and with a target in the clause; then clauses and the strongest clause.
+#: Output channels: insult and threat in each state, without and with a target in the clause; then clauses and the strongest clause;
+#: words matched, different ones, the same up to MANY, and words of the text.
 CHANNELS = 2 * 3 * 2
-FEATURES = CHANNELS + 2
+FEATURES = CHANNELS + 6
+MANY = 4
+LOGGED = [*range(CHANNELS + 1), CHANNELS + 2, CHANNELS + 3, CHANNELS + 5]
 #: Weight of the words of the fixed lists before any training.
 SEED_WEIGHT = 3.0
 
 PREFIXES = range(3, 7)
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-#: Entries of a learned lexicon at most, those of highest weight; and labelled rows on which the regression is fitted at most.
-MAX_LEXICON = 50_000
+#: Labelled documents on which the regression is fitted at most. The lexicon has no cap, but one of more entries than this is an error.
 MAX_FIT_ROWS = 20_000
+LEXICON_LIMIT = 2_000_000
+#: A beginning goes if one longer entry has this share of its toxic documents.
+EXPLAINED = 0.9
 #: A learned entry needs this lower bound of its log odds, at 1.64 standard errors.
 LEAST_WEIGHT = 1.5
 #: Words whose arcs a task keeps.
@@ -129,7 +134,9 @@ def features(text: str, lexicon: Lexicon, seen: dict[str, tuple[int, float] | No
         weight = clause_channels([a for a in arcs[start : done + 1] if a is not None], out)
         out[CHANNELS] += 1
         out[CHANNELS + 1] = max(out[CHANNELS + 1], weight)
-    out[: CHANNELS + 1] = np.log1p(out[: CHANNELS + 1])
+    different = len({tokens[k] for k in loud})
+    out[CHANNELS + 2 :] = len(loud), different, min(different, MANY), sum(t not in ".!?;:\n" for t in tokens)
+    out[LOGGED] = np.log1p(out[LOGGED])
     return out
 
 
@@ -154,20 +161,28 @@ def prior_model() -> Model:
     return Model(Lexicon.seeded(), w)
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
-    """Logistic regression by Newton's method, drawn towards the prior's weights."""
+def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.005, rounds: int = 100) -> np.ndarray:
+    """Logistic regression by Newton's method with step halving, drawn towards the prior's weights."""
     x1 = np.column_stack([x, np.ones(len(x))])
     w, pull = prior.copy(), np.full(x1.shape[1], ridge * max(1.0, len(x) ** 0.5))
     pull[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = x1 @ w
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (pull * (w - prior) ** 2).sum()
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -35, 35)))
         gradient = x1.T @ (p - y) + pull * (w - prior)
         hessian = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(pull)
-        step = np.linalg.solve(hessian, gradient)
-        step *= min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while (new := loss(w - size * step)) > now - 1e-4 * size * (gradient @ step) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if now - new < 1e-9 * (1 + abs(now)):
             break
+        now = new
     return w
 
 
@@ -204,21 +219,32 @@ def entry_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learned_entries(counts: DataFrame, n_toxic: int, n_clean: int, limit: int = MAX_LEXICON) -> DataFrame:
-    """(entry, weight) of the entries whose log odds of toxic to clean documents are surely high."""
+def learned_entries(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(entry, weight) of the entries whose log odds of toxic to clean documents are surely high, without those that others make needless.
+
+    A beginning goes if a longer entry alone accounts for its toxic documents (los for loser), and then an entry goes that has no
+    more weight than a beginning of it that stays.
+    """
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(t / (n_toxic - F.col("toxic") + 0.5)) - F.log(c / (n_clean - F.col("clean") + 0.5))
     error = F.sqrt(1 / t + 1 / c + 1 / (n_toxic - F.col("toxic") + 0.5) + 1 / (n_clean - F.col("clean") + 0.5))
-    weighed = counts.where("toxic >= 3").select("entry", (odds - 1.64 * error).alias("weight"))
-    return weighed.where(F.col("weight") >= LEAST_WEIGHT).orderBy(F.col("weight").desc(), "entry").limit(limit)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, max_lexicon: int = MAX_LEXICON) -> Model:
+    sure = durable(counts.where("toxic >= 3").select("entry", "toxic", (odds - 1.64 * error).alias("weight")).where(F.col("weight") >= LEAST_WEIGHT))
+    longest = F.least(F.char_length("entry") - 1, F.lit(PREFIXES[-1]))  # of the proper beginnings of an entry; a word counts its closing $
+    shorter = F.explode(F.sequence(F.lit(PREFIXES[0]), longest)).alias("k")
+    beginnings = sure.where(longest >= PREFIXES[0]).select("entry", "toxic", "weight", shorter).withColumn("start", F.substring("entry", F.lit(1), F.col("k")))
+    most = beginnings.groupBy(F.col("start").alias("_start")).agg(F.max("toxic").alias("most"))
+    kept = durable(sure.join(most, F.col("entry") == F.col("_start"), "left").where(F.col("most").isNull() | (F.col("most") < EXPLAINED * F.col("toxic"))).select("entry", "weight"))
+    covers = kept.select(F.col("entry").alias("_start"), F.col("weight").alias("_weight"))
+    needless = beginnings.join(covers, (F.col("start") == F.col("_start")) & (F.col("weight") <= F.col("_weight"))).select("entry").distinct()
+    return kept.join(needless, "entry", "left_anti")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
     """A model from the labelled documents that are not held out.
 
-    Word statistics are counted over all of them on the executors. The driver gets the lexicon (max_lexicon entries at most) and
-    the features of max_fit_rows labelled documents at most, those of lowest id hash. Ids with several labels count as toxic if any says
-    so; null labels and null ids are left out.
+    Word statistics are counted over all of them on the executors. The driver gets the lexicon, whose size is checked, and
+    the features of max_fit_rows labelled documents at most, those of lowest id hash; of documents that share an id, one of them. Ids with
+    several labels count as toxic if any says so; null labels and null ids are left out. Without documents of both labels the fixed lists decide.
     """
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"]))
     known = durable(known.groupBy(known["doc_id"].cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")))
@@ -229,12 +255,15 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS,
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     # labels may be many: their documents are shuffled to them, at any size, and no others
     rows = join_few(texts, known.hint("merge"), "inner", ("doc_id",)).select("text", "toxic")
-    learned = learned_entries(entry_counts(rows), n_toxic, n_clean, max_lexicon).collect()
+    learned = durable(learned_entries(entry_counts(rows), n_toxic, n_clean))
+    if learned.count() > LEXICON_LIMIT:
+        raise ValueError(f"the lexicon has over {LEXICON_LIMIT} entries; ask for more weight")
     lexicon = Lexicon.seeded()
-    for r in learned:
+    for r in sorted(learned.collect()):
         lexicon.add(r["entry"], r["weight"])
     sample = durable(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows))  # so many rows at most: small enough to broadcast
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(one.alias("text")).select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS,
             x = [features(t, shared.value, seen).tolist() for t in b.column("text").to_pylist()]
             yield batch(x=pa.array(x, pa.list_(pa.float64())), toxic=b.column("toxic"))
 
-    got = chosen.mapInArrow(measure, "x array<double>, toxic int").limit(2 * max_fit_rows).toPandas()
+    got = chosen.mapInArrow(measure, "x array<double>, toxic int").toPandas()
     prior = prior_model().weights
     if got["toxic"].nunique() < 2:
         return Model(lexicon, prior)

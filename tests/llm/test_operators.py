@@ -475,6 +475,36 @@ def test_toxicity_of_clauses():
     assert x("I will kill you.") > 0.5 > x("") and x("A nice day.") == x("")
 
 
+def test_each_transducer_moves_the_score():
+    """Insult, threat, target, negation and reported speech, one at a time, in a clause and beyond it."""
+    model = toxicity.prior_model()
+    x = lambda t: float(model.scores(toxicity.features(t, model.lexicon, {})[None])[0])
+    calm = x("This is a thing.")
+    assert x("This is a stupid thing.") > calm and x("They destroy things.") > calm
+    assert x("You stupid thing.") > x("A stupid thing.") and x("They will destroy you.") > x("We will destroy it.")
+    assert x("Not a stupid thing.") < x("A stupid thing.") and x("Not not a stupid thing.") == x("A stupid thing.")
+    assert x("Reported: a stupid thing.") == x("A stupid thing.") > x("Reported as a stupid thing.")
+    assert x("It is not so. A stupid thing.") == x("A stupid thing.")
+
+
+def test_held_out_recall_of_given_documents(spark):
+    """Of the held-out documents that the labels call toxic, 0.9 or more are found, and 0.99 of the others are left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    scores = toxicity.toxicity_scores(docs, toxicity.train(docs, labels)).where(toxicity.held_out(F.col("doc_id")))
+    truth = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {(r.toxic, r.predicted): r["count"] for r in scores.join(truth, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9 and n[0, 0] / (n[0, 0] + n.get((0, 1), 0)) >= 0.99
+
+
+def test_training_does_not_depend_on_row_order(spark):
+    """Ids that repeat with other texts give the same model however the rows are dealt out."""
+    rng = np.random.default_rng(2)
+    docs = [(i % 150, " ".join(rng.choice(["la", "le", "lu", "grob"] if i % 150 % 3 == 0 else ["la", "le", "lu"], 30))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    models = [toxicity.train(spark.createDataFrame(d, "doc_id long, text string").repartition(n), labels) for d, n in ((docs, 1), (docs[::-1], 7))]
+    assert models[0].lexicon == models[1].lexicon and np.allclose(models[0].weights, models[1].weights)
+
+
 def test_toxicity_edges(spark):
     docs = odd(spark, EDGES)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
