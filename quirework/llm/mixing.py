@@ -14,19 +14,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, durable
+from quirework.llm.common import durable
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CEILING = 2.0
 #: Hash buckets of a size class and size classes in each doubling of the size.
-SALTS = 64
+SALTS = 256
 CLASSES = 8
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of the contract, by splitting at its white space, which is faster than matching them."""
+    return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 import compare_sql
 import corpus_pipeline
-from quirework.llm import pii, queries, toxicity
+from quirework.llm import mixing, pii, queries, toxicity
 from quirework.llm.common import table
 
 from .test_operators import SF, documents, plain_components, plain_contamination, plain_simhash
@@ -43,6 +43,28 @@ def test_pipeline(spark):
     items = pq.read_table(f"{SF}/benchmark.parquet").to_pandas()
     dirty = {r[0] for r in plain_contamination(left.items(), zip(items.item_id, items.text, strict=True)) if r[-1]}
     left = {i: pii.masked(t, pii.find_spans(t)) for i, t in left.items() if i not in dirty}
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id: r["size"] for r in rows} == {i: len(t.split()) for i, t in left.items()}
+    ran = corpus_pipeline.run(spark, SF)
+    assert ran.columns == raw.columns
+    rows = collections.Counter((r.doc_id, r.text) for r in ran.collect())
+    mixed = spark.createDataFrame([(i, left[i], s) for i, s in zip(docs.doc_id, docs.source, strict=True) if i in left], "doc_id long, text string, source string")
+    copies = {r.doc_id: r.copies for r in mixing.mix_sources(mixed).collect()}
+    assert rows == collections.Counter({(i, t): copies[i] for i, t in left.items() if copies[i]}) and set(copies.values()) <= {0, 1, 2}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "pii", "mixing"]
+
+
+def test_odd_documents_go_through_every_stage(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns with the names that stages use, and empty tables."""
+    rows = [(1, None, "en", "a", 0), (None, "some words", None, None, None), (None, "some words", None, None, None), (2, "", "en", "a", 1), (3, "word " * 30_000, "en", "b", 2), (4, "call +49 30 1234567 now", "de", "b", 3), (5, "alpha beta", "de", None, 4)]
+    docs = spark.createDataFrame([(*r, "x", 7, True, "c") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row_hash string, size long, goes boolean, _possible string")
+    spark.createDataFrame([(1, "alpha beta"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, None), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table_rows, want in ((docs, [7, 5, 4, 4]), (docs.where("false"), [0, 0, 0, 0])):
+        kept = table_rows
+        for (name, stage), n in zip(corpus_pipeline.STAGES, [*want, None], strict=True):
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns, name
+            assert n is None or kept.count() == n, name
+        if want[0]:
+            assert {r.text for r in kept.collect()} >= {"some words"} and kept.where("text like '%1234567%'").count() == 0
+        else:
+            assert kept.count() == 0
