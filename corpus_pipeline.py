@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trains the pattern grammar on the labelled documents and drops what scores 0.5 or more."""
+    """Trains the pattern grammar on the labelled documents and drops what scores 0.5 or more; null and empty texts stay."""
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -23,18 +23,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
+    """Drops documents that hold ten consecutive words of a benchmark item, or all of a shorter one; null and empty texts stay."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by the name of its kind."""
+    """Replaces personal data in the texts by the name of its kind; null texts stay null."""
     return pii.mask_personal_data(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken into the mix: doc_id, size, source_size, target, taken."""
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """The mix itself: each document as often as it is taken, with the columns of documents. Null sources are one source; empty texts are of size 0."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
