@@ -358,6 +358,24 @@ def test_vectors(spark):
             want.update((q, rank, i, -s) for rank, (s, i) in enumerate(scored[:10], 1))
     assert got == want
     assert vector_search.top_k(df.where("false"), df.where("false")).count() == 0
+    huge = spark.createDataFrame([(0, [1e14] * 4), (1, [1e14] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        vector_search.top_k(huge, huge).collect()
+
+
+def test_cells_bound_the_products_and_spare_vectors(spark):
+    rng = np.random.default_rng(9)
+    for size in (0.3, 40.0, 1e6):
+        exact = np.floor(rng.normal(0, size, (200, 12)) * 1024)
+        width = 2.0 ** max(0, math.ceil(math.log2(max(1.0, np.abs(exact).max() / 127))))
+        cells = np.floor(exact / width).astype(np.int8).astype(np.float64)
+        for q in exact[:20]:
+            below, above = vector_search.bounds(q, cells, width)
+            assert (below <= exact @ q).all() and (exact @ q <= above).all()
+    vectors = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
+    asked = vector_search.usable_vectors(vectors.where("vec_id % 1000 = 0"))
+    near = vector_search.candidates(vector_search.cell_file(vector_search.usable_vectors(vectors), 1024), vector_search.query_blocks(asked, 1024), 10)
+    assert near.count() < 0.1 * asked.count() * vectors.count()
 
 
 # --- URLs
