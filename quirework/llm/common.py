@@ -48,14 +48,19 @@ def join_few(docs: DataFrame, few: DataFrame, how: str = "left", on: tuple[str,
 
     few has one row a key. A blocked Bloom filter of its keys, at most 2**20 blocks whatever the data, is broadcast; only rows
     of docs that pass it are shuffled to the exact join, the others are taken as they are (left, left_anti) or left out (inner). docs is read twice.
+    With more keys than such a filter can tell apart, all rows go to the join. The rows are the same either way.
     """
-    from quirework.llm.url_filter import bloom_filter, possible_members
+    from quirework.llm.url_filter import USEFUL_KEYS, bloom_filter, possible_members
 
     key = lambda df: F.xxhash64(*(df[c] for c in on))
     keys = few.select(key(few).alias("key"))
-    marked = possible_members(docs.withColumn("_few", key(docs)), "_few", bloom_filter(keys, "key", keys.count())).drop("_few")
-    near, rest = marked.where("_possible").drop("_possible"), marked.where("not _possible").drop("_possible")
+    n_keys = keys.count()
     other = few.withColumnsRenamed({c: f"_few_{c}" for c in on})
+    if n_keys > USEFUL_KEYS:
+        same = functools.reduce(lambda a, b: a & b, (docs[c].eqNullSafe(other[f"_few_{c}"]) for c in on))
+        return docs.join(other, same, how).drop(*(f"_few_{c}" for c in on))
+    marked = possible_members(docs.withColumn("_few", key(docs)), "_few", bloom_filter(keys, "key", n_keys)).drop("_few")
+    near, rest = marked.where("_possible").drop("_possible"), marked.where("not _possible").drop("_possible")
     same = functools.reduce(lambda a, b: a & b, (near[c].eqNullSafe(other[f"_few_{c}"]) for c in on))
     met = near.join(other, same, how).drop(*(f"_few_{c}" for c in on))
     return met if how == "inner" else met.unionByName(rest, allowMissingColumns=True)

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import lower_ascii
+from quirework.llm.common import durable, lower_ascii
 
 #: Blocks of the filter at most: 2**20 rows of two longs, 16 MB of data. This bounds what is broadcast, however long the list.
 MAX_BLOCKS = 1 << 20
 #: Keys for which a block of 64 bits is laid out, and bits set by each.
 KEYS_A_BLOCK = 4
 BITS = 4
+#: Keys beyond which most blocks are full and nearly every row passes.
+USEFUL_KEYS = 2 * MAX_BLOCKS * KEYS_A_BLOCK
 
 # Verdict, host and path of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -97,7 +99,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules: tuple[
     stay. Other columns are ignored; an empty table gives an empty result.
     """
     host, path = url_parts(pages[url_col])
-    listed = repeated_urls(pages, url_col) if listed is None else listed
+    listed = durable(repeated_urls(pages, url_col) if listed is None else listed)  # counted, filtered and joined
     rows = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(canonical_url(pages[url_col]), F.lit("")).alias("canonical"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = flag_listed(rows, listed).withColumns({"rule": rule, "verdict": verdict})
