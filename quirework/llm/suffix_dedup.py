@@ -2,12 +2,13 @@
 
 A 400-byte string is a window; every byte in a window that also starts elsewhere goes. Suffix arrays over all bytes
 of a corpus would sort mostly text that occurs once. So windows are first cut into content-defined runs (see runs.py): equal windows
-get equal values, wherever they stand, and whatever a value's runs have in common lies in the runs of that value. A value with one run has
-nothing to remove; runs of equal bytes, by XXH3's 128 bits, are repeated as a whole. What is left, values with several different runs, goes to shards by value.
+get equal values, wherever they stand, and whatever a value's runs have in common lies in the runs of that value. A value with a single run has
+nothing to remove; the runs of all other values go to shards by value, of runs with equal bytes (by XXH3's 128 bits) the first and the last.
 
 A shard concatenates the bytes of its runs, sorts their suffixes by Larsson-Sadakane refinement in numpy, takes common
 prefixes by Kasai's scan, and finds the windows that stand in it twice. A value with more runs than a shard takes is split
-over several; these are joined pair by pair with binary search of the one's windows in the other's array.
+over several; these are joined pair by pair with binary search of the one's windows in the other's array. What is found in the first of
+several equal runs holds for all of them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from quirework.llm.runs import Rolling, covered, mixed, window_runs
 
 WINDOW = 400
 GRAM = 40
-#: Bytes of a shard, about, and runs of one value that go to one shard before the value is split.
+#: Bytes at which small cells make a shard, and different runs of one value that go to one shard before the value is split.
 SHARD_BYTES = 1 << 19
 RUNS_A_SHARD = 1000
 #: Bytes of documents that are hashed together.
@@ -223,105 +224,130 @@ def all_runs(docs: DataFrame, window: int) -> DataFrame:
 
 
 def grouped(runs: DataFrame) -> DataFrame:
-    """One row for each different run: (v, c, c2, times, periodic, doc_id, row_hash, start, n), the place being the first."""
-    first = F.min(F.struct("doc_id", "row_hash", "start", "n"))
-    return runs.groupBy("v", "c", "c2").agg(F.count("*").alias("times"), F.max("periodic").alias("periodic"), first.alias("first")).select("v", "c", "c2", "times", "periodic", "first.*")
+    """One row for each different run: (v, c, c2, times, periodic, first, last), the places being structs of doc_id, row_hash, start, n."""
+    place = F.struct("doc_id", "row_hash", "start", "n")
+    return runs.groupBy("v", "c", "c2").agg(F.count("*").alias("times"), F.max("periodic").alias("periodic"), F.min(place).alias("first"), F.max(place).alias("last"))
 
 
-def undecided(different: DataFrame) -> DataFrame:
-    """The different runs that may share windows with others of their value or with themselves, with the number of shards that the value takes."""
-    several = different.groupBy("v").agg(F.count("*").alias("k"), F.min("times").alias("least"), F.bool_or(F.col("periodic") & (F.col("times") == 1)).alias("own")).where("(k > 1 and least = 1) or own")
-    return different.join(several.select(F.col("v").alias("_v"), "k"), F.col("v") == F.col("_v")).withColumn("shards", F.ceil(F.col("k") / RUNS_A_SHARD).cast("int")).drop("_v", "k", "c2", "periodic")
+def compared(different: DataFrame) -> DataFrame:
+    """(v, c, c2, times, shards, copy, doc_id, row_hash, start, n): the runs that may share windows with others of their value or with themselves.
+
+    A run that occurs several times comes twice, at its first place and, as copy, at its last; shards is what the value takes.
+    """
+    several = different.groupBy("v").agg(F.count("*").alias("k"), F.max("times").alias("most"), F.bool_or("periodic").alias("own")).where("k > 1 or most > 1 or own")
+    met = different.join(several.select(F.col("v").alias("_v"), "k"), F.col("v") == F.col("_v"))
+    places = F.when(F.col("times") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    rows = met.select("v", "c", "c2", "times", F.ceil(F.col("k") / RUNS_A_SHARD).cast("int").alias("shards"), F.posexplode(places).alias("at", "place"))
+    return rows.select("v", "c", "c2", "times", "shards", (F.col("at") == 1).alias("copy"), "place.*")
+
+
+KEYS = ("v", "c", "c2", "times", "copy", "doc_id", "row_hash", "start", "n")
+KEY_TYPES = "v long, c long, c2 long, times long, copy boolean, doc_id long, row_hash int, start int, n int"
 
 
 def contexts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """(v, a, b, side, key, start, n, times, data): the bytes of the runs, in each cell of shards (a, b) that they take part in."""
-    wanted = F.struct("v", "c", "start", "n", "times", "shards")
+    """(a, b, side, KEYS, data): the bytes of the runs, in each cell of shards (a, b) that they take part in; copies only in that of their own shard."""
+    wanted = F.struct("v", "c", "c2", "times", "copy", "start", "n", "shards")
     few = durable(runs.groupBy("doc_id", "row_hash").agg(F.collect_list(wanted).alias("wanted")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("wanted")
-            counts = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            of = np.repeat(np.arange(len(b)), counts)
-            v, c, start, n, times, shards = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("v", "c", "start", "n", "times", "shards"))
-            side = (c % shards).astype(np.int32)
+            of = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+            run = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("v", "c", "c2", "times", "copy", "start", "n", "shards")}
+            run |= {k: b.column(k).to_numpy(zero_copy_only=False)[of] for k in ("doc_id", "row_hash")}
+            shards = run.pop("shards")
+            side = (run["c"] % shards).astype(np.int32)
             data = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             # a row for each cell (side, other) of the run's value, of which most have one
-            run = np.repeat(np.arange(len(v)), shards)
-            other = (np.arange(len(run)) - np.repeat(np.cumsum(shards) - shards, shards)).astype(np.int32)
-            a, z = np.minimum(side[run], other), np.maximum(side[run], other)
-            ids, rows = b.column("doc_id").to_numpy(zero_copy_only=False)[of][run], b.column("row_hash").to_numpy(zero_copy_only=False)[of][run]
-            pieces = [data[d][x:y] for d, x, y in zip(of[run].tolist(), start[run].tolist(), (start + n + window - 1)[run].tolist(), strict=True)]
-            yield batch(v=v[run], a=a, b=z, side=side[run], doc_id=ids, row_hash=rows, start=start[run], n=n[run], times=times[run], data=pa.array(pieces, pa.binary()))
+            k = np.repeat(np.arange(len(of)), shards)
+            other = (np.arange(len(k)) - np.repeat(np.cumsum(shards) - shards, shards)).astype(np.int32)
+            stay = ~run["copy"][k] | (other == side[k])
+            k, other = k[stay], other[stay]
+            stop = run["start"] + run["n"] + window - 1
+            pieces = [data[d][x:y] for d, x, y in zip(of[k].tolist(), run["start"][k].tolist(), stop[k].tolist(), strict=True)]
+            cells = {"a": np.minimum(side[k], other), "b": np.maximum(side[k], other), "side": side[k]}
+            yield batch(**cells, **{name: run[name][k] for name in KEYS}, data=pa.array(pieces, pa.binary()))
 
     met = join_few(docs, few, "inner").select("doc_id", "row_hash", "text", "wanted")
-    return met.mapInArrow(cut, "v long, a int, b int, side int, doc_id long, row_hash int, start int, n int, times long, data binary")
+    return met.mapInArrow(cut, f"a int, b int, side int, {KEY_TYPES}, data binary")
 
 
 def shard_hits(cells: DataFrame, window: int) -> DataFrame:
-    """(doc_id, row_hash, start, n): stretches of windows that stand in another run of their cell, or twice in their own."""
+    """(v, c, c2, times, doc_id, row_hash, start, at, n): stretches of windows, `at` windows behind the start of a run, that stand elsewhere too.
 
-    Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]  # side, doc_id, row_hash, start, n, data
+    Of a run that occurs several times the first place is given.
+    """
+
+    Rows = tuple[dict[str, np.ndarray], list[bytes]]  # columns, data
 
     def joined(parts: list[Rows]) -> Rows:
-        *numbers, data = zip(*parts, strict=True)
-        return *map(np.concatenate, numbers), [x for d in data for x in d]
+        return {k: np.concatenate([p[0][k] for p in parts]) for k in parts[0][0]}, [x for p in parts for x in p[1]]
 
-    def found(rows: Rows, shard: Shard, marked: np.ndarray) -> pa.RecordBatch:
+    def found(rows: dict[str, np.ndarray], shard: Shard, marked: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
         k, at, n = shard.hits(marked)
-        return batch(doc_id=rows[1][k], row_hash=rows[2][k], start=(rows[3][k] + at).astype(np.int32), n=n.astype(np.int32))
-
-    def one(rows: Rows) -> Iterator[pa.RecordBatch]:
-        shard = Shard(rows[5], rows[4], window)
-        yield found(rows, shard, shard.twice())
-
-    def two(rows: Rows, a: int, b: int) -> Iterator[pa.RecordBatch]:
-        sides = []
-        for s in (a, b):
-            k = np.flatnonzero(rows[0] == s)
-            sides.append((*(x[k] for x in rows[:5]), [rows[5][i] for i in k.tolist()]))
-        if all(len(x[5]) for x in sides):
-            left, right = (Shard(x[5], x[4], window) for x in sides)
-            yield found(sides[0], left, left.found_in(right))
-            yield found(sides[1], right, right.found_in(left))
+        stay = wanted[k]
+        k, at, n = k[stay], at[stay], n[stay]
+        names = ("v", "c", "c2", "times", "doc_id", "row_hash", "start")
+        return batch(**{name: rows[name][k] for name in names}, at=at.astype(np.int32), n=n.astype(np.int32))
+
+    def one(rows: dict[str, np.ndarray], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        shard = Shard(data, rows["n"], window)
+        yield found(rows, shard, shard.twice(), ~rows["copy"])
+
+    def two(rows: dict[str, np.ndarray], data: list[bytes], a: int, b: int) -> Iterator[pa.RecordBatch]:
+        """Runs that occur several times have been found in their own shard; they are only what the others are looked up in."""
+        sides = [np.flatnonzero(rows["side"] == s) for s in (a, b)]
+        if all(map(len, sides)):
+            halves = [{name: x[k] for name, x in rows.items()} for k in sides]
+            left, right = (Shard([data[i] for i in k.tolist()], half["n"], window) for k, half in zip(sides, halves, strict=True))
+            yield found(halves[0], left, left.found_in(right), halves[0]["times"] == 1)
+            yield found(halves[1], right, right.found_in(left), halves[1]["times"] == 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list[Rows] = []  # cells of one shard each, finished
         size = 0
         cell: list[Rows] = []  # the cell that goes on
         key: tuple | None = None
+        last: tuple | None = None
 
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal whole, size
-            if key is not None and key[1] != key[2]:
-                yield from two(joined(cell), key[1], key[2])
-            elif cell:
-                whole += cell
-                size += sum(len(x) for c in cell for x in c[5])
+            if not cell:
+                return
+            if key[1] != key[2]:
+                yield from two(*joined(cell), key[1], key[2])
+                return
+            more = sum(len(x) for _, data in cell for x in data)
+            if whole and size + more > 2 * SHARD_BYTES:
+                yield from one(*joined(whole))
+                whole, size = [], 0
+            whole += cell
+            size += more
             if size >= SHARD_BYTES:
-                yield from one(joined(whole))
+                yield from one(*joined(whole))
                 whole, size = [], 0
 
         for b in batches:
-            v, a, z, side, ids, rows, start, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "a", "b", "side", "doc_id", "row_hash", "start", "n"))
+            rows = {name: b.column(name).to_numpy(zero_copy_only=False) for name in ("a", "b", "side", *KEYS)}
             data = b.column("data").to_pylist()
-            cuts = np.flatnonzero((v[1:] != v[:-1]) | (a[1:] != a[:-1]) | (z[1:] != z[:-1])) + 1 if len(v) else []
-            bounds = [0, *map(int, cuts), len(v)]
-            for x, y in itertools.pairwise(bounds):
-                if x == y:
-                    continue
-                if key != (v[x], a[x], z[x]):
+            places = list(zip(*(rows[name].tolist() for name in ("v", "a", "b", "c", "c2", "copy")), strict=True))
+            # one row for each place: rows of documents that come several times with one id repeat theirs
+            fresh = [i for i, place in enumerate(places) if place != (places[i - 1] if i else last)]
+            last = places[-1] if places else last
+            for cell_key, group in itertools.groupby(fresh, key=lambda i: places[i][:3]):  # noqa: B023
+                if key != cell_key:
                     yield from finish()
-                    cell, key = [], (v[x], a[x], z[x])
-                cell.append((side[x:y], ids[x:y], rows[x:y], start[x:y], n[x:y], data[x:y]))
+                    cell, key = [], cell_key
+                k = list(group)
+                cell.append(({name: x[k] for name, x in rows.items()}, [data[i] for i in k]))
         yield from finish()
         if whole:
-            yield from one(joined(whole))
+            yield from one(*joined(whole))
 
-    ordered = cells.repartition("v", "a", "b").sortWithinPartitions("v", "a", "b", "side")
-    return ordered.mapInArrow(scan, "doc_id long, row_hash int, start int, n int")
+    ordered = cells.repartition("v", "a", "b").sortWithinPartitions("v", "a", "b", "c", "c2", "copy")
+    return ordered.mapInArrow(scan, "v long, c long, c2 long, times long, doc_id long, row_hash int, start int, at int, n int")
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,10 +363,11 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     docs = docs.select(F.coalesce(docs[id_col].cast("long"), no_id).alias("doc_id"), row_hash(text).alias("row_hash"), text.alias("text"))
     runs = durable(all_runs(docs, window))
     different = durable(grouped(runs))
-    repeated = different.where("times > 1").select(F.col("c").alias("_c"), F.col("c2").alias("_c2"), F.col("v").alias("_v"))
-    whole = runs.join(repeated, (F.col("v") == F.col("_v")) & (F.col("c") == F.col("_c")) & (F.col("c2") == F.col("_c2"))).select("doc_id", "row_hash", "start", "n")
-    partly = shard_hits(contexts(docs, undecided(different), window), window)
-    spans = whole.unionByName(partly).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    hits = durable(shard_hits(contexts(docs, compared(different), window), window))
+    alone = hits.where("times = 1").select("doc_id", "row_hash", (F.col("start") + F.col("at")).alias("start"), "n")
+    first = hits.where("times > 1").select("v", "c", "c2", "at", F.col("n").alias("found"))
+    equal = runs.join(first, ["v", "c", "c2"]).select("doc_id", "row_hash", (F.col("start") + F.col("at")).alias("start"), F.col("found").alias("n"))
+    spans = alone.unionByName(equal).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     changed = join_few(docs, durable(spans))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
