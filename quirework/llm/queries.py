@@ -73,8 +73,26 @@ QUERIES: dict[str, Query] = {
         op10_decontaminate,
     )
 }
-# SQL of the operators that DuckDB can express. The others: op1 is a trained model; op2 and op3 read bytes and markup; op4 needs
-# positions of matches; op5 and op6 use hashes that DuckDB lacks. tests/llm holds these against brute-force versions.
+# SQL of the operators that DuckDB can express. The others: op1 is a trained model; op3 reads markup; op4 needs positions of
+# matches; op6 uses a hash that DuckDB lacks. tests/llm holds these against brute-force versions.
+
+# bytes as pairs of hex digits; windows are cut from pieces of 799 bytes, because substr() walks a string from its start
+OP2_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select doc_id, h, length(h) // 2 as n from d),
+pieces as (select doc_id, n, p, substr(h, 2 * p + 1, 1598) as h from (select doc_id, h, n, unnest(range(0, n - 399, 400)) as p from b where n >= 400)),
+win as (select doc_id, p + o as s, md5(substr(h, 2 * o + 1, 800)) as k from (select doc_id, p, h, unnest(range(0, least(400, n - 399 - p))) as o from pieces)),
+starts as (select doc_id, s from win where k in (select k from win group by k having count(*) > 1)),
+steps as (select doc_id, s, coalesce(s - lag(s) over (partition by doc_id order by s) > 400, true)::int as opens from starts),
+runs as (select doc_id, min(s) as a, max(s) + 400 as z from (select *, sum(opens) over (partition by doc_id order by s) as run from steps) group by doc_id, run),
+kept as (
+  select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as f, a as t from runs
+  union all select b.doc_id, coalesce(z, 0), n from b left join (select doc_id, max(z) as z from runs group by doc_id) using (doc_id)),
+texts as (select doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' order by f) as x from kept join b using (doc_id) group by doc_id)
+select b.doc_id, n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x)) as kept_sha256
+from b join texts using (doc_id)
+left join (select doc_id, sum(z - a) as removed, count(*) as n_spans from runs group by doc_id) r using (doc_id)
+"""
 
 OP7_SQL = r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -125,4 +143,4 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 from d left join pos using (doc_id) left join ids using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_difference_cover_dedup": OP7_SQL, "op8_vector_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_suffix_array_dedup": OP2_SQL, "op7_difference_cover_dedup": OP7_SQL, "op8_vector_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
