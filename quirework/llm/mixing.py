@@ -20,8 +20,8 @@ from quirework.llm.common import durable
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CEILING = 2.0
-#: Hash buckets of a size class and size classes in each doubling of the size.
-SALTS = 256
+#: Leading hex digits of a document's hash that choose one of 256 buckets of a size class; and size classes in each doubling of the size.
+SALT_DIGITS = 2
 CLASSES = 8
 
 
@@ -59,10 +59,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return per.select("source", "source_size", F.coalesce(F.least("cap", settled * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def _digest(seed: int, value: Column) -> Column:
+    """32 hex digits for a value, null included, that SQL engines agree on."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("v"), value.cast("string")), F.lit("n"))))
+
+
 def _offset(source: Column, seed: int) -> Column:
-    """One number in [0, 1) for each source, the same at every run."""
-    h = F.xxhash64(F.lit(seed), F.coalesce(source, F.lit("\u0000null")))
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+    """One number in [0, 1) for each source, the same at every run, from 52 bits."""
+    return F.conv(F.substring(_digest(seed, source), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def _planned(docs: DataFrame, kept: list[Column], seed: int, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
@@ -79,11 +83,11 @@ def _planned(docs: DataFrame, kept: list[Column], seed: int, weights: tuple[floa
     targets = source_targets(base.select("source", "size"), weights, share, ceiling)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("ratio", ratio).withColumn("offset", _offset(F.col("source"), seed))
-    order = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
+    order = _digest(seed, F.col("doc_id"))
     placed = base.select(
         "*",
         F.floor(F.log2(F.col("size") + 1.0) * CLASSES).cast("int").alias("size_class"),
-        F.pmod(order, F.lit(SALTS)).cast("int").alias("salt"),
+        F.substring(order, 1, SALT_DIGITS).alias("salt"),
         order.alias("ord"),
     )
     strata = ["source", "size_class", "salt"]

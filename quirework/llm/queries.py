@@ -94,6 +94,20 @@ from b join texts using (doc_id)
 left join (select doc_id, sum(z - a) as removed, count(*) as n_spans from runs group by doc_id) r using (doc_id)
 """
 
+OP5_SQL = r"""
+with base as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+per as (select source, sum(size)::bigint as source_size, ([5, 2, 1])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight from base group by source),
+fills as (select *, 2.0::double * source_size as cap, 1.5::double * sum(source_size) over () as budget from per),
+levels as (select *, (budget - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+  / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from fills),
+targets as (select source, source_size, least(cap, weight * min_by(level, cap / weight) filter (where cap > level * weight) over ()) as target,
+  ('0x' || substr(md5('42:' || coalesce('v' || source, 'n')), 1, 13))::bigint / 4503599627370496::double as start from levels),
+placed as (select doc_id, source, size, floor(ln(size + 1.0::double) / ln(2.0::double) * 8) as class, md5('42:' || coalesce('v' || doc_id, 'n')) as h from base),
+ranked as (select *, row_number() over (partition by source order by class, h, doc_id) as k from placed),
+met as (select doc_id, size, source_size, target, k, start, case when source_size > 0 then target / source_size else 0 end as ratio from ranked join targets on ranked.source is not distinct from targets.source)
+select doc_id, size, source_size, target, (floor(start + k * ratio) - floor(start + (k - 1) * ratio))::bigint * size as taken from met
+"""
+
 OP7_SQL = r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 win as (select doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50)),
@@ -143,4 +157,4 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 from d left join pos using (doc_id) left join ids using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_suffix_array_dedup": OP2_SQL, "op7_difference_cover_dedup": OP7_SQL, "op8_vector_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_suffix_array_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op7_difference_cover_dedup": OP7_SQL, "op8_vector_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
