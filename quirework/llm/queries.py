@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirework.llm import decontaminate as decon
 from quirework.llm import html_extract, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, vector_search
 from quirework.llm.common import table
+from quirework.llm.simhash_sql import OP6_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,7 +75,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 # SQL of the operators that DuckDB can express. The others: op1 is a trained model; op3 reads markup; op4 needs positions of
-# matches; op6 uses a hash that DuckDB lacks. tests/llm holds these against brute-force versions.
+# matches. tests/llm holds these against brute-force versions.
 
 # bytes as pairs of hex digits; windows are cut from pieces of 799 bytes, because substr() walks a string from its start
 OP2_SQL = """
@@ -157,4 +158,12 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 from d left join pos using (doc_id) left join ids using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_suffix_array_dedup": OP2_SQL, "op5_mix_sources": OP5_SQL, "op7_difference_cover_dedup": OP7_SQL, "op8_vector_top_k": OP8_SQL, "op9_url_filter": OP9_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": OP2_SQL,
+    "op5_mix_sources": OP5_SQL,
+    "op6_simhash_near_dedup": OP6_SQL,
+    "op7_difference_cover_dedup": OP7_SQL,
+    "op8_vector_top_k": OP8_SQL,
+    "op9_url_filter": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
+}
