@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.sources.dialect import DUCK, SPARK, Duck, Spark
+from quirework.plans.dialect import DUCK, SPARK, Duck, Spark
 from quirework.sources.formats import EXTENSIONS
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "pages", "benchmark", "conversations")
@@ -51,41 +51,60 @@ def edit_log(d: Spark) -> str:
 
 
 _EDIT_LOG_SPARK = """select doc_id, seq, event_id, k, value, pc, kind,
-      case when kind in ('move', 'rotate', 'crop', 'raster', 'draw', 'delete') then coalesce(case when k % 4 = 1 then known end, 'o' || cast(k % pc as string)) end as page_id,
-      case when kind in ('move', 'insert', 'insertImages') and k % 5 <> 0 then coalesce(case when k % 6 = 1 then known end, 'o' || cast((k div 7) % pc as string)) end as before_id,
-      case when kind = 'rotate' then 1 + k % 3 end as turns, case when kind = 'draw' then 'm' || cast(event_id as string) when kind = 'erase' then 'm' || cast(event_id - k as string) end as mark_id,
-      case kind when 'setField' then 'f' || cast(k % 4 as string) when 'metadata' then element_at(array('title', 'author', 'language'), cast(k % 3 as int) + 1) end as field,
+      case when kind in ('move', 'rotate', 'crop', 'raster', 'draw', 'delete') then coalesce(case when k % 4 = 1 then known end,
+    'o' || cast(k % pc as string)) end as page_id,
+      case when kind in ('move', 'insert', 'insertImages') and k % 5 <> 0 then coalesce(case when k % 6 = 1 then known end,
+    'o' || cast((k div 7) % pc as string)) end as before_id,
+      case when kind = 'rotate' then 1 + k % 3 end as turns, case when kind = 'draw' then 'm' || cast(event_id as string)
+    when kind = 'erase' then 'm' || cast(event_id - k as string) end as mark_id,
+      case kind when 'setField' then 'f' || cast(k % 4 as string) when 'metadata' then element_at(array('title', 'author', 'language'),
+    cast(k % 3 as int) + 1) end as field,
       case when kind = 'setField' or (kind = 'metadata' and k % 10 <> 0) then 'v' || cast(event_id as string) end as new_value,
-      case when kind = 'insert' then 'a' || cast(k as string) end as asset, indices, assets, case when kind in ('crop', 'raster', 'watermark', 'numbering', 'flattenForms') and k % 3 <> 0 then k end as payload
+      case when kind = 'insert' then 'a' || cast(k as string) end as asset, indices, assets, case when kind in ('crop', 'raster', 'watermark',
+    'numbering', 'flattenForms') and k % 3 <> 0 then k end as payload
       from (select *, last_value(own, true) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as known
-       from (select *, case when kind = 'insert' and size(indices) > 0 then 'i' || cast(seq as string) || ':a' || cast(k as string) || ':' || cast(indices[0] as string)
+       from (select *, case when kind = 'insert'
+    and size(indices) > 0 then 'i' || cast(seq as string) || ':a' || cast(k as string) || ':' || cast(indices[0] as string)
           when kind = 'insertImages' then 'g' || cast(seq * 1000 + 1 as string) || ':' || assets[1] end as own
-        from (select *, case when kind = 'insert' then filter(array(k % 3, k % 4), i -> k % 7 <> 0) end as indices, case when kind = 'insertImages' then array('a' || cast(k as string), 'a' || cast(k + 1 as string)) end as assets
+        from (select *, case when kind = 'insert' then filter(array(k % 3, k % 4), i -> k % 7 <> 0) end as indices, case
+    when kind = 'insertImages' then array('a' || cast(k as string), 'a' || cast(k + 1 as string)) end as assets
          from (select user_id as doc_id, seq, event_id, k, value, 5 + user_id % 8 as pc,
-           case when event_type = 'view' and k % 11 = 3 then 'insert' when event_type = 'view' and k % 11 = 7 then 'insertImages' when event_type = 'view' then 'move'
-             when event_type = 'click' and k % 8 = 0 then 'crop' when event_type = 'click' and k % 8 = 4 then 'raster' when event_type = 'click' then 'rotate' when event_type = 'purchase' then 'draw'
+           case when event_type = 'view' and k % 11 = 3 then 'insert' when event_type = 'view' and k % 11 = 7 then 'insertImages'
+    when event_type = 'view' then 'move'
+             when event_type = 'click' and k % 8 = 0 then 'crop' when event_type = 'click' and k % 8 = 4 then 'raster'
+    when event_type = 'click' then 'rotate' when event_type = 'purchase' then 'draw'
              when event_type = 'error' and k % 9 = 0 then 'delete' when event_type = 'error' then 'erase'
-             when k % 5 = 0 then 'metadata' when k % 5 = 1 then element_at(array('watermark', 'numbering', 'flattenForms'), cast(k % 3 as int) + 1) else 'setField' end as kind
-           from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, cast(get_json_object(props, '$.k') as bigint) as k from events)))))"""
+             when k % 5 = 0 then 'metadata' when k % 5 = 1 then element_at(array('watermark', 'numbering', 'flattenForms'), cast(k % 3 as int) + 1)
+    else 'setField' end as kind
+           from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, cast(get_json_object(props,
+    '$.k') as bigint) as k from events)))))"""
 
 _EDIT_LOG_DUCK = """select e.doc_id, e.seq, e.event_id, e.k, e.value, e.pc, e.kind,
-      case when list_contains(['move', 'rotate', 'crop', 'raster', 'draw', 'delete'], e.kind) then if(e.k % 4 = 1 and e.last_own is not null, e.last_own, concat('o', e.k % e.pc)) end as page_id,
-      if(e.kind in ('move', 'insert', 'insertImages') and e.k % 5 > 0, if(e.k % 6 = 1 and e.last_own is not null, e.last_own, concat('o', (e.k // 7) % e.pc)), null) as before_id,
-      if(e.kind = 'rotate', e.k % 3 + 1, null) as turns, if(e.kind = 'draw', concat('m', e.event_id), if(e.kind = 'erase', concat('m', e.event_id - e.k), null)) as mark_id,
+      case when list_contains(['move', 'rotate', 'crop', 'raster', 'draw', 'delete'], e.kind) then if(e.k % 4 = 1 and e.last_own is not null,
+    e.last_own, concat('o', e.k % e.pc)) end as page_id,
+      if(e.kind in ('move', 'insert', 'insertImages') and e.k % 5 > 0, if(e.k % 6 = 1 and e.last_own is not null, e.last_own, concat('o',
+    (e.k // 7) % e.pc)), null) as before_id,
+      if(e.kind = 'rotate', e.k % 3 + 1, null) as turns, if(e.kind = 'draw', concat('m', e.event_id), if(e.kind = 'erase', concat('m',
+    e.event_id - e.k), null)) as mark_id,
       if(e.kind = 'setField', concat('f', e.k % 4), if(e.kind = 'metadata', (['title', 'author', 'language'])[e.k % 3 + 1], null)) as field,
       if(e.kind = 'setField' or (e.kind = 'metadata' and e.k % 10 > 0), concat('v', e.event_id), null) as new_value,
-      if(e.kind = 'insert', concat('a', e.k), null) as asset, e.indices, e.assets, if(e.kind in ('crop', 'raster', 'watermark', 'numbering', 'flattenForms') and e.k % 3 > 0, e.k, null) as payload
-      from (select n.*, (select max_by(coalesce(format('i{}:a{}:{}', o.seq, o.k, o.indices[1]), format('g{}:{}', 1000 * o.seq + 1, o.assets[2])), o.seq) from numbered o
+      if(e.kind = 'insert', concat('a', e.k), null) as asset, e.indices, e.assets, if(e.kind in ('crop', 'raster', 'watermark', 'numbering',
+    'flattenForms') and e.k % 3 > 0, e.k, null) as payload
+      from (select n.*, (select max_by(coalesce(format('i{}:a{}:{}', o.seq, o.k, o.indices[1]), format('g{}:{}', 1000 * o.seq + 1, o.assets[2])),
+    o.seq) from numbered o
          where o.doc_id = n.doc_id and o.seq < n.seq and (len(o.indices) > 0 or len(o.assets) > 0)) as last_own from numbered n) e"""
 
 
 def numbered(d: Spark) -> str:
     """DuckDB's half of the edit log: events with their place, kind and what they bring in."""
-    return """select r.*, case when kind <> 'insert' then null when k % 7 = 0 then []::bigint[] else [k % 3, k % 4] end as indices, if(kind = 'insertImages', [concat('a', k), concat('a', k + 1)], null) as assets
-      from (select q.*, case event_type when 'purchase' then 'draw' when 'view' then case k % 11 when 3 then 'insert' when 7 then 'insertImages' else 'move' end
+    return """select r.*, case when kind <> 'insert' then null when k % 7 = 0 then []::bigint[] else [k % 3, k % 4] end as indices,
+    if(kind = 'insertImages', [concat('a', k), concat('a', k + 1)], null) as assets
+      from (select q.*, case event_type when 'purchase' then 'draw' when 'view' then case k % 11 when 3 then 'insert' when 7 then 'insertImages'
+    else 'move' end
           when 'click' then case k % 8 when 0 then 'crop' when 4 then 'raster' else 'rotate' end when 'error' then if(k % 9 = 0, 'delete', 'erase')
           else case k % 5 when 0 then 'metadata' when 1 then (['watermark', 'numbering', 'flattenForms'])[k % 3 + 1] else 'setField' end end as kind
-        from (select user_id as doc_id, event_id, event_type, value, 5 + user_id % 8 as pc, cast(props ->> 'k' as bigint) as k, count(*) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as seq from events) q) r"""
+        from (select user_id as doc_id, event_id, event_type, value, 5 + user_id % 8 as pc, cast(props ->> 'k' as bigint) as k,
+    count(*) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as seq from events) q) r"""
 
 
 def append_log(d: Spark) -> str:
@@ -99,7 +118,8 @@ def image_assets(d: Spark) -> str:
 
 
 def sessions(d: Spark) -> str:
-    return f"select user_id as session_key, case when {d.prop('k')} % 5 = 0 then 1 else 2 end as shape, {d.ts('ts')} as saved_at, event_id, event_type <> 'error' as complete from events"
+    return f"""select user_id as session_key, case when {d.prop('k')} % 5 = 0 then 1 else 2 end as shape, {d.ts('ts')} as saved_at, event_id,
+    event_type <> 'error' as complete from events"""
 
 
 def objects(d: Spark) -> str:
@@ -125,18 +145,21 @@ def barriers(d: Spark) -> str:
 
 
 def outline(d: Spark) -> str:
-    return """select doc_id as node, case when 3 * doc_id + 1 < n then 3 * doc_id + 1 end as first_child, case when doc_id % 3 <> 0 and doc_id + 1 < n then doc_id + 1 end as next_node,
+    return """select doc_id as node, case when 3 * doc_id + 1 < n then 3 * doc_id + 1 end as first_child, case when doc_id % 3 <> 0
+    and doc_id + 1 < n then doc_id + 1 end as next_node,
       case doc_id % 5 when 0 then 'page' when 1 then 'name' when 2 then 'dict' when 3 then null else 'self' end as dest_kind,
       case when doc_id % 5 = 3 then doc_id end as action_dest from documents, (select count(*) as n from documents)"""
 
 
 def fields(d: Spark) -> str:
-    return f"""select cast(c_nationkey as bigint) as doc_id, 'f.' || cast(c_custkey as string) as field, {d.pick(['text', 'checkbox', 'dropdown', 'radio'], 'c_custkey % 4')} as type,
+    return f"""select cast(c_nationkey as bigint) as doc_id, 'f.' || cast(c_custkey as string) as field,
+    {d.pick(['text', 'checkbox', 'dropdown', 'radio'], 'c_custkey % 4')} as type,
       c_mktsegment as value, 'o' || cast(c_custkey % 5 as string) as page_id, c_custkey % 9 <> 0 as drawn, c_custkey as id from customer"""
 
 
 def wanted(d: Spark) -> str:
-    return "select cast(c_nationkey as bigint) as doc_id, 'f.' || cast(c_custkey as string) as field, case when c_custkey % 6 = 0 then 'NOPE' else c_mktsegment end as wanted, c_custkey as id from customer"
+    return """select cast(c_nationkey as bigint) as doc_id, 'f.' || cast(c_custkey as string) as field, case when c_custkey % 6 = 0 then 'NOPE'
+    else c_mktsegment end as wanted, c_custkey as id from customer"""
 
 
 def produced(d: Spark) -> str:
@@ -151,10 +174,14 @@ def ocr_flat(d: Spark) -> str:
 
 
 def text_items(d: Spark) -> str:
-    return f"""select doc_id, {d.div('i', 40)} + 1 as page_no, row_number() over (partition by doc_id, {d.div('i', 40)} order by i, j) - 1 as frag_no, str,
-      cast(sum(5.0 * length(str) + case when (i + j) % 7 = 0 then 0.5 else 2.8 end) over (partition by doc_id, i order by j rows between unbounded preceding and 1 preceding) as double) as x0,
-      cast(800 - 12 * (i % 40) - 20 * {d.div('i % 40', 4)} as double) as y, cast(5 * length(str) as double) as width, cast(10 as double) as height, (j = n - 1 and i % 3 <> 0) as has_eol
-      from (select *, max(j) over (partition by doc_id, i) + 1 as n from (select doc_id, i, line from documents {d.items(d.split('text', chr(92) + 'n'), 'line', 'i')}) {d.items(d.split('line', ' '), 'str', 'j')})"""
+    return f"""select doc_id, {d.div('i', 40)} + 1 as page_no, row_number() over (partition by doc_id, {d.div('i', 40)} order by i, j) - 1 as frag_no,
+    str,
+      cast(sum(5.0 * length(str) + case when (i + j) % 7 = 0 then 0.5 else 2.8 end) over (partition by doc_id, i
+    order by j rows between unbounded preceding and 1 preceding) as double) as x0,
+      cast(800 - 12 * (i % 40) - 20 * {d.div('i % 40', 4)} as double) as y, cast(5 * length(str) as double) as width, cast(10 as double) as height,
+    (j = n - 1 and i % 3 <> 0) as has_eol
+      from (select *, max(j) over (partition by doc_id, i) + 1 as n from (select doc_id, i, line
+    from documents {d.items(d.split('text', chr(92) + 'n'), 'line', 'i')}) {d.items(d.split('line', ' '), 'str', 'j')})"""
 
 
 def glyph_widths(d: Spark) -> str:
@@ -163,9 +190,11 @@ def glyph_widths(d: Spark) -> str:
 
 def structure_facts(d: Spark) -> str:
     n = lambda s: f"{d.div(f'length(html) - length(replace(html, {s!r}, {chr(39) * 2}))', len(s))}"
-    return f"""select page_id as doc_id, {n('<h1')} as bookmarks, {n('<li>')} as attachments, case when html like '%<nav%' then 1 else 0 end as page_labels,
+    return f"""select page_id as doc_id, {n('<h1')} as bookmarks, {n('<li>')} as attachments, case when html like '%<nav%' then 1
+    else 0 end as page_labels,
       case when html like '%class="ad"%' then 1 else 0 end as layers, case when html like '%<article%' then 1 else 0 end as accessibility,
-      case when html like '%<title>%' then 1 else 0 end as metadata_title, case when html like '%lang=%' then 1 else 0 end as language, page_id % 3 as form, 1 + page_id % 7 as page_count from pages"""
+      case when html like '%<title>%' then 1 else 0 end as metadata_title, case when html like '%lang=%' then 1 else 0 end as language,
+    page_id % 3 as form, 1 + page_id % 7 as page_count from pages"""
 
 
 def batch_items(d: Spark) -> str:
@@ -175,7 +204,8 @@ def batch_items(d: Spark) -> str:
 
 def error_log(d: Spark) -> str:
     names = d.pick(["PasswordException", "file is encrypted", "No PDF header", "failed to parse", "network error", "out of memory", "boom", ""], f"{d.prop('k')} % 8")
-    return f"select event_id, cast(ts as date) as day, {names} as message, case when event_id % 11 = 0 then 'cancelled' when event_id % 13 = 0 then 'unsupported-image' when event_id % 17 = 0 then 'encrypted' end as known from events where event_type = 'error'"
+    return f"""select event_id, cast(ts as date) as day, {names} as message, case when event_id % 11 = 0 then 'cancelled'
+    when event_id % 13 = 0 then 'unsupported-image' when event_id % 17 = 0 then 'encrypted' end as known from events where event_type = 'error'"""
 
 
 def outputs(d: Spark) -> str:
@@ -183,7 +213,8 @@ def outputs(d: Spark) -> str:
 
 
 def redactions(d: Spark) -> str:
-    return "select doc_id, page_no, coalesce(x0, 0.0) - 2 as x, y - 2 as y, width + 4 as width, height + 4 as height from text_items where doc_id % 2 = 0 and (str like '%@%' or frag_no % 97 = 0)"
+    return """select doc_id, page_no, coalesce(x0, 0.0) - 2 as x, y - 2 as y, width + 4 as width, height + 4 as height from text_items
+    where doc_id % 2 = 0 and (str like '%@%' or frag_no % 97 = 0)"""
 
 
 def strokes(d: Spark) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import assembly, editlog, redaction, selection, stamps, structure, text
-from quirework.sources.fixtures import derive
+from quirework.plans.fixtures import derive
 
 SF = "/root/testdata/sf0.001"
 
