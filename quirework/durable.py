@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a session whose executors are threads of the driver may do without; it gets a temporary one."""
+    """The folder in spark.checkpoint.dir. Only a session whose executors are threads of the driver may do without; it gets a temporary one.
+
+    That one is remembered here, by application, as a running session takes no new spark.checkpoint.dir; it goes when the process ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quirework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="quirework-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
 
 
 def own_dir(spark: SparkSession) -> str:
