@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontaminate as decon
-from quirework.llm import html_extract, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, vector_search
+from quirework.llm import divergence, html_extract, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, vector_search
 from quirework.llm.common import table
 from quirework.llm.simhash_sql import OP6_SQL
 
@@ -59,6 +59,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
         op8_vector_top_k,
         op9_url_filter,
         op10_decontaminate,
+        op11_source_divergence,
     )
 }
 # SQL of the operators that DuckDB can express. The others: op1 is a trained model; op3 reads markup; op4 needs positions of
@@ -158,6 +163,23 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 from d left join pos using (doc_id) left join ids using (doc_id)
 """
 
+OP11_SQL = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+w as (select id, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as lang_n from w group by all having count(distinct id) >= 30),
+c as (select lang, source, term, count(*) as n from w group by all),
+l as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang),
+g as (select lang, source, coalesce(any_value(v), 0) as v, coalesce(any_value(lang_total), 0) as lang_total, coalesce(sum(t.n), 0) as total
+  from (select distinct lang, source from d) left join l using (lang) left join (select * from c semi join kept using (lang, term)) t using (lang, source) group by lang, source),
+p as (select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v)::hugeint as p, 1 + (1000000000::hugeint * (lang_n + 5)) // (lang_total + 5 * v)::hugeint as q
+  from g join kept using (lang) left join c using (lang, source, term)),
+sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pr as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+tm as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pr union all select * from tm))
+select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op2_suffix_array_dedup": OP2_SQL,
     "op5_mix_sources": OP5_SQL,
@@ -166,4 +188,5 @@ ORACLES: dict[str, str] = {
     "op8_vector_top_k": OP8_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
