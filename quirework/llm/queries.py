@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import decontaminate as decon
-from quirework.llm import divergence, html_extract, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, vector_search
+from quirework.llm import divergence, hard_negatives, html_extract, jaccard_join, mixing, pii, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, vector_search
 from quirework.llm.common import table
 from quirework.llm.simhash_sql import OP6_SQL
 
@@ -63,6 +63,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,6 +85,8 @@ QUERIES: dict[str, Query] = {
         op9_url_filter,
         op10_decontaminate,
         op11_source_divergence,
+        op12_hard_negatives,
+        op13_jaccard_join,
     )
 }
 # SQL of the operators that DuckDB can express. The others: op1 is a trained model; op3 reads markup; op4 needs positions of
@@ -180,6 +190,27 @@ r as (select *, row_number() over (partition by lang, source, part order by valu
 select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= 50
 """
 
+OP12_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.x, c.x)::bigint as score from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+OP13_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, md5(array_to_string(w[s:s + 2], ' ')) as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as s from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as n from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * met.n >= 90 * (x.n + y.n - met.n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select a as doc_id, a as other from both_ways union select reach.doc_id, both_ways.b from reach join both_ways on reach.other = both_ways.a)
+select w.doc_id, coalesce(n, 0) as n_shingles, coalesce(m, w.doc_id) as component_id from w left join n using (doc_id) left join (select doc_id, min(other) as m from reach group by doc_id) using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_suffix_array_dedup": OP2_SQL,
     "op5_mix_sources": OP5_SQL,
@@ -189,4 +220,6 @@ ORACLES: dict[str, str] = {
     "op9_url_filter": OP9_SQL,
     "op10_decontaminate": OP10_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_jaccard_join": OP13_SQL,
 }
