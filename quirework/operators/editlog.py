@@ -1,18 +1,24 @@
 """State from append-only edit logs: truncation, ordered folds, last write wins, time travel.
 
-An edit log has doc_id, seq from 0, kind and nullable payloads. Only the page order depends on the order of all edits; that fold
-runs over the structural edits of a document and cursor in one JVM-side aggregate. All else is grouping by keys with the largest seq.
+An edit log has doc_id, seq from 0, kind and nullable payloads. Only the page order depends on the order of all edits; that fold streams the
+structural edits of a document through a linked list. All else is grouping by keys with the largest seq, or, for many cursors at once, sorted
+unions of edits and cursors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.durable import durable
+from quirework.operators.pageorder import PageOrder
+
 STRUCTURAL = ("delete", "move", "insert", "insertImages")
 SETTINGS = ("watermark", "numbering", "flattenForms")
-STATE = "struct<pages:array<string>,deletes:array<struct<page:string,seq:bigint>>>"
-EDITS = "array<struct<seq:bigint,kind:string,page_id:string,before_id:string,added:array<string>>>"
+FOLD = pa.schema([("doc_id", pa.int64()), ("upto", pa.int64()), ("pages", pa.list_(pa.string())), ("deletes", pa.list_(pa.struct([("page", pa.string()), ("seq", pa.int64())])))])
 
 
 def effective_edits(log: DataFrame) -> DataFrame:
@@ -36,36 +42,49 @@ def inserted_at(page_id: Column) -> Column:
     return F.coalesce(F.when(page_id.startswith("i"), number).when(page_id.startswith("g"), F.floor(number / 1000)), F.lit(-1)).cast("long")
 
 
-def _step(state: Column, edit: Column) -> Column:
-    """One structural edit on (pages, deletes). Equal ids, of an import that names an index twice, are deleted together and moved one at a time."""
-    pages, page, before = state["pages"], edit["page_id"], edit["before_id"]
-    place = lambda where, x: F.coalesce(F.array_position(where, x), F.lit(0)).cast("int")
-    put = lambda base, at, some: F.concat(F.slice(base, F.lit(1), at - 1), some, F.slice(base, at, F.size(base) + 1))
-    at = place(pages, page)
-    without = F.array_remove(pages, page)
-    deletes = (edit["kind"] == "delete") & (at > 0) & (F.size(without) > 0)
-    rest = F.concat(F.slice(pages, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(pages, at + 1, F.size(pages)))
-    move_to = F.when(before.isNull(), F.size(rest) + 1).otherwise(place(rest, before))
-    moves = (edit["kind"] == "move") & (at > 0) & (move_to > 0)
-    insert_at = F.when(place(pages, before) == 0, F.size(pages) + 1).otherwise(place(pages, before))
-    new_pages = F.when(deletes, without).when(moves, put(rest, F.greatest(move_to, F.lit(1)), F.array(page))).when(edit["added"].isNotNull(), put(pages, insert_at, edit["added"])).otherwise(pages)
-    gone = F.when(deletes, F.array_append(state["deletes"], F.struct(page.alias("page"), edit["seq"].alias("seq")))).otherwise(state["deletes"])
-    return F.struct(new_pages.alias("pages"), gone.alias("deletes")).cast(STATE)
-
+def page_order_at(manifest: DataFrame, edits: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(doc_id, upto, pages, deletes): at each cursor (doc_id, upto) the ordered page ids after the edits before it, and the deletes that took effect.
 
-def page_order_fold(manifest: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, pages, deletes): the ordered page ids after all structural edits, and the deletes that took effect.
-
-    manifest has the keys and pc, the original number of pages o0, o1, ... An insert brings indices of an asset, insertImages a list of
+    manifest has doc_id and pc, the original number of pages o0, o1, ... An insert brings indices of an asset, insertImages a list of
     assets. A missing page or anchor makes a move nothing and an insert go to the end; the last page can't be deleted.
+    A document's edits and cursors pass one task once, in their order: it holds the pages of one document, not its edits.
     """
-    edit = F.struct("seq", "kind", "page_id", "before_id", added_pages(edits).alias("added"))
-    wanted = edits.where(F.col("kind").isin(*STRUCTURAL)).groupBy(*keys).agg(F.sort_array(F.collect_list(edit)).alias("edits"))
-    rows = manifest.select(*keys, "pc").join(wanted, list(keys), "left")
-    first = F.transform(F.sequence(F.lit(0), F.col("pc").cast("int") - 1), lambda i: F.concat(F.lit("o"), i.cast("string")))
-    zero = F.struct(first.alias("pages"), F.array().alias("deletes")).cast(STATE)
-    done = F.aggregate(F.coalesce(F.col("edits").cast(EDITS), F.array().cast(EDITS)), zero, _step)
-    return rows.select(*keys, done.alias("s")).select(*keys, "s.pages", "s.deletes")
+    edit = edits.where(F.col("kind").isin(*STRUCTURAL)).select("doc_id", F.col("seq").alias("at"), F.lit(1).alias("step"), "kind", "page_id", "before_id", added_pages(edits).alias("added"), F.lit(None).cast("long").alias("pc"))
+    nothing = [F.lit(None).cast("string").alias("page_id"), F.lit(None).cast("string").alias("before_id"), F.lit(None).cast("array<string>").alias("added")]
+    start = manifest.select("doc_id", F.lit(-1).cast("long").alias("at"), F.lit(0).alias("step"), F.lit("start").alias("kind"), *nothing, F.col("pc").cast("long").alias("pc"))
+    stops = cursors.select("doc_id", "upto").distinct().select("doc_id", F.col("upto").cast("long").alias("at"), F.lit(0).alias("step"), F.lit("stop").alias("kind"), *nothing, F.lit(None).cast("long").alias("pc"))
+    rows = start.unionByName(edit).unionByName(stops).repartition("doc_id").sortWithinPartitions("doc_id", "at", "step")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, deletes, of = None, [], None
+        for b in batches:
+            out: list[dict] = []
+            for doc, at, _, kind, page, before, added, pc in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if doc != of:
+                    order, deletes, of = None, [], doc
+                if kind == "start":
+                    order = PageOrder(f"o{i}" for i in range(pc))
+                elif order is None:
+                    continue  # not in the manifest
+                elif kind == "stop":
+                    out.append({"doc_id": doc, "upto": at, "pages": [*order], "deletes": [*deletes]})
+                elif order.edit(kind, page, before, added):
+                    deletes.append({"page": page, "seq": at})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=FOLD)
+
+    return rows.mapInArrow(fold, "doc_id long, upto long, pages array<string>, deletes array<struct<page:string,seq:bigint>>")
+
+
+def log_ends(manifest: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, upto): a cursor behind the last edit of each document."""
+    last = edits.groupBy("doc_id").agg((F.max("seq") + 1).alias("upto"))
+    return manifest.select("doc_id").join(last, "doc_id", "left").select("doc_id", F.coalesce("upto", F.lit(0)).alias("upto"))
+
+
+def page_order_fold(manifest: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, pages, deletes): page_order_at() after all edits."""
+    return page_order_at(manifest, edits, log_ends(manifest, edits)).select("doc_id", "pages", "deletes")
 
 
 def final_pages(fold: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -114,29 +133,95 @@ def document_settings_at(edits: DataFrame, kinds: tuple[str, ...], payload: str
     return edits.groupBy(*keys).agg(*(F.max_by(F.struct(payload), F.when(F.col("kind") == k, F.col("seq")))[payload].alias(k) for k in kinds))
 
 
-def at_cursors(manifest: DataFrame, edits: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(manifest, edits) once for each (doc_id, cursor), with the edits before the cursor; cursors are held within the log."""
+def numbered_cursors(edits: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(doc_id, cursor, upto, epoch): cursors held within the log, and their number among the document's cursors; equal positions share one number."""
     n = edits.groupBy("doc_id").agg(F.count("*").alias("n"))
-    bounded = cursors.join(n, "doc_id", "left").select("doc_id", "cursor", F.least(F.greatest("cursor", F.lit(0)), F.coalesce("n", F.lit(0))).alias("upto"))
-    return manifest.join(bounded, "doc_id"), edits.join(bounded, "doc_id").where("seq < upto")
+    upto = F.least(F.greatest("cursor", F.lit(0)), F.coalesce("n", F.lit(0)))
+    return cursors.select("doc_id", "cursor").distinct().join(n, "doc_id", "left").select("doc_id", "cursor", upto.alias("upto")).withColumn("epoch", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("upto")))
+
+
+def with_epochs(edits: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Edits with their epoch, the number of the first cursor that sees them; edits behind the last cursor are left out.
+
+    An as-of join by one sorted union: cursors, then edits in the order of their places, with a running count of the cursors passed.
+    """
+    stops = cursors.groupBy("doc_id", "upto").agg(F.lit(True).alias("stop")).select("doc_id", F.col("upto").alias("seq"), "stop")
+    both = edits.withColumn("stop", F.lit(False)).unionByName(stops, allowMissingColumns=True)
+    so_far = Window.partitionBy("doc_id").orderBy("seq", F.col("stop").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("doc_id")
+    passed = both.withColumn("epoch", F.count_if("stop").over(so_far) + 1).withColumn("epochs", F.count_if("stop").over(whole))
+    return passed.where("not stop and epoch <= epochs").drop("stop")
+
 
+def last_by_epoch(edits: DataFrame, key: Column, value: str) -> DataFrame:
+    """(doc_id, epoch, key, value): at each cursor the last value of each key that has one, nulls included.
 
-def whole_state(manifest: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> dict[str, DataFrame]:
-    """Pages, attributes, marks, fields, metadata and settings after all edits of each key."""
-    pages = final_pages(page_order_fold(manifest, edits, keys), keys)
+    Of the edits of one epoch only the last is kept; its value holds for the cursors from its epoch to the key's next one.
+    """
+    per = edits.groupBy("doc_id", "epochs", key.alias("key"), "epoch").agg(F.max_by(F.struct(value), "seq")[value].alias("value"))
+    until = F.coalesce(F.lead("epoch").over(Window.partitionBy("doc_id", "key").orderBy("epoch")) - 1, "epochs")
+    return per.withColumn("until", until).withColumn("epoch", F.explode(F.sequence("epoch", "until"))).select("doc_id", "epoch", "key", "value")
+
+
+def attributes_at(pages: DataFrame, edits: DataFrame) -> DataFrame:
+    """(doc_id, epoch, page_id, turns, crop, raster) of the pages (doc_id, epoch, page_id) of each cursor, as page_attributes() has them.
+
+    Pages and edits of one page in one sorted union: turns are a running sum, crop and raster the last before the cursor.
+    """
+    kinds = ("crop", "raster")
+    own = edits.where(F.col("kind").isin("rotate", *kinds) & (F.col("seq") > inserted_at(F.col("page_id"))))
+    last = [F.when(F.col("kind") == k, F.struct("payload")).alias(k) for k in kinds]
+    changes = own.select("doc_id", "page_id", "epoch", "seq", F.when(F.col("kind") == "rotate", F.col("turns")).alias("turn"), *last, F.lit(False).alias("shown"))
+    both = changes.unionByName(pages.select("doc_id", "page_id", "epoch", F.lit(True).alias("shown")), allowMissingColumns=True)
+    so_far = Window.partitionBy("doc_id", "page_id").orderBy("epoch", "shown", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.select("doc_id", "epoch", "page_id", "shown", F.sum("turn").over(so_far).alias("total"), *(F.last(k, ignorenulls=True).over(so_far)["payload"].alias(k) for k in kinds))
+    return seen.where("shown").select("doc_id", "epoch", "page_id", F.pmod(F.coalesce("total", F.lit(0)), F.lit(4)).alias("turns"), *kinds)
+
+
+def marks_at(edits: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, epoch, mark_id, page_id, seq) of the marks that live_marks() has at each cursor; pages are (doc_id, epoch, page_id)."""
+    own = edits.where((F.col("kind") == "erase") | (F.col("kind") == "draw") & (F.col("seq") > inserted_at(F.col("page_id"))))
+    later = Window.partitionBy("doc_id", "mark_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    drawn = own.withColumn("erased", F.min(F.when(F.col("kind") == "erase", F.col("epoch"))).over(later)).where("kind = 'draw'")
+    until = F.coalesce(F.col("erased") - 1, "epochs")
+    shown = drawn.where(until >= F.col("epoch")).withColumn("epoch", F.explode(F.sequence("epoch", until)))
+    return shown.join(pages.select("doc_id", "epoch", "page_id"), ["doc_id", "epoch", "page_id"], "left_semi").select("doc_id", "epoch", "mark_id", "page_id", "seq")
+
+
+def whole_state(manifest: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
+    """Pages, attributes, marks, fields, metadata and settings after all edits of each document."""
+    pages = final_pages(page_order_fold(manifest, edits))
     return {
         "pages": pages,
-        "attributes": page_attributes(pages, edits, keys),
-        "marks": live_marks(edits, pages, keys),
-        "fields": field_values_at(edits, keys),
-        "metadata": metadata_at(edits, keys),
-        "settings": document_settings_at(edits, SETTINGS, keys=keys),
+        "attributes": page_attributes(pages, edits),
+        "marks": live_marks(edits, pages),
+        "fields": field_values_at(edits),
+        "metadata": metadata_at(edits),
+        "settings": document_settings_at(edits, SETTINGS),
     }
 
 
 def state_at(manifest: DataFrame, edits: DataFrame, cursors: DataFrame) -> dict[str, DataFrame]:
-    """The whole state of every asked (doc_id, cursor), which depends on the edits before the cursor only."""
-    return whole_state(*at_cursors(manifest, edits, cursors), ("doc_id", "cursor"))
+    """The whole state of every asked (doc_id, cursor), which depends on the edits before the cursor only.
+
+    Edits are sent once, with the number of the first cursor that sees them, and all page orders come out of one fold. Rows grow with
+    the edits, the cursors and what the states hold. cursors may repeat and lie outside the log.
+    """
+    known = durable(numbered_cursors(edits, cursors.join(manifest.select("doc_id"), "doc_id", "left_semi")))
+    seen = durable(with_epochs(edits, known))
+    orders = page_order_at(manifest, seen, known).join(known.select("doc_id", "upto", "epoch").distinct(), ["doc_id", "upto"])
+    pages = durable(final_pages(orders, ("doc_id", "epoch")))
+    kind = F.col("kind")
+    settings = last_by_epoch(seen.where(kind.isin(*SETTINGS)), kind, "payload").groupBy("doc_id", "epoch").agg(*(F.first(F.when(F.col("key") == k, F.col("value")), ignorenulls=True).alias(k) for k in SETTINGS))
+    parts = {
+        "pages": pages,
+        "attributes": attributes_at(pages, seen),
+        "marks": marks_at(seen, pages),
+        "fields": last_by_epoch(seen.where(kind == "setField"), F.col("field"), "new_value").withColumnRenamed("key", "field"),
+        "metadata": last_by_epoch(seen.where(kind == "metadata"), F.col("field"), "new_value").where("value is not null"),
+        "settings": settings,
+    }
+    return {name: known.select("doc_id", "cursor", "epoch").join(df, ["doc_id", "epoch"]).drop("epoch") for name, df in parts.items()}
 
 
 def untouched_documents(manifest: DataFrame, state: dict[str, DataFrame]) -> DataFrame:

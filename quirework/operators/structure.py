@@ -1,11 +1,13 @@
 """What documents carry: reachability, live fields and bookmarks, attachments, and what a change lost.
 
-Graphs are edge tables. Descents run as joins of a frontier, one round for each level, and end when no new node is met or at
-the bound of the operator; each round is written to the shared folder.
+Graphs are edge tables. Searches run as joins of a frontier, with chains followed by pointer doubling; bounded descents take one round for each
+level. They end when no new node is met or at the bound of the operator; each round is written to the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,74 @@ DOCUMENT_LEVEL = ("metadata_title", "language")
 FIELD_DEPTH, NAME_DEPTH, HOPS, ATTACHMENT_DEPTH = 16, 16, 8, 8
 
 
-def reachable_objects(edges: DataFrame, roots: DataFrame, barriers: DataFrame) -> DataFrame:
-    """(node): what is reached from the roots over edges (src, dst) without entering a barrier; cycles are met once."""
-    seen = frontier = durable(roots.select("node").distinct().join(barriers, "node", "left_anti"))
+def main_targets(edges: DataFrame) -> DataFrame:
+    """(src, dst): at most one edge of each node, on which chains of nodes are followed.
+
+    Targets without edges of their own end a walk and don't count. Of the others a node's only one is taken, or else the least that comes
+    after the node in the order of the names, as lists are numbered from one end. Any choice gives the same objects; a good one saves rounds.
+    """
+    open_ends = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    after = F.min(F.when(F.col("dst") > F.col("src"), F.col("dst")))
+    per = open_ends.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), after.alias("after"))
+    return per.select("src", F.when(F.col("n") == 1, F.col("least")).otherwise(F.col("after")).alias("dst")).where("dst is not null")
+
+
+def path_places(chains: DataFrame) -> DataFrame:
+    """(node, path, left): the path that each node of the chains is on, and the steps from there to its end.
+
+    Chains have one edge a node at most; where several lead to one node, one of them goes on as the path. Pointer doubling, two doublings a
+    round: each node knows a node further on, how far that is, and the least node passed. A cycle is a path of its own, named by its least
+    node, on which every node reaches all others, so that left is 0.
+    """
+    on = chains.groupBy("dst").agg(F.min("src").alias("src"))
+    ends = on.select(F.col("dst").alias("node")).join(on.select(F.col("src").alias("node")), "node", "left_anti")
+    step = on.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(1).cast("long").alias("left"), F.least("src", "dst").alias("least"), F.lit(False).alias("ended"))
+    known = durable(step.unionByName(ends.select("node", F.col("node").alias("to"), F.lit(0).cast("long").alias("left"), F.col("node").alias("least"), F.lit(True).alias("ended"))))
+
+    def further(df: DataFrame) -> DataFrame:
+        ahead = df.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("left").alias("_left"), F.col("least").alias("_least"), F.col("ended").alias("_ended"))
+        return df.join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("left") + F.col("_left")).alias("left"), F.least("least", "_least").alias("least"), F.col("_ended").alias("ended"))
+
+    n, reach = known.count(), 1
+    while reach < n and not known.where("not ended").isEmpty():
+        known, reach = durable(further(further(known))), 4 * reach
+    return known.select("node", F.when(F.col("ended"), F.col("to")).otherwise(F.col("least")).alias("path"), F.when(F.col("ended"), F.col("left")).otherwise(F.lit(0)).alias("left"))
+
+
+def along(frontier: DataFrame, places: DataFrame) -> DataFrame:
+    """(node): the frontier and all that lies on its paths from there on."""
+    far = frontier.join(places, "node").groupBy("path").agg(F.max("left").alias("_left"))
+    return frontier.unionByName(places.join(far, "path").where(F.col("left") <= F.col("_left")).select("node")).distinct()
+
+
+#: Rounds of plain search before chains are looked for; tables of reached nodes that are read side by side before they are written as one.
+PLAIN_ROUNDS, PIECES = 4, 8
+
+
+def reachable_objects(edges: DataFrame, roots: DataFrame, barriers: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """(node): what is reached from the roots over edges (src, dst) without entering a barrier; cycles are met once.
+
+    Where a search isn't over after a few rounds, chains (edges of which each node has one at most; if not given, main_targets()) of the nodes not yet
+    reached are numbered by pointer doubling, in rounds that grow with the logarithm of their length, and each is then passed in one round. All other
+    edges take one round for each that a way has, so rounds grow with branching depth.
+    """
+    off = barriers.select(F.col("node").alias("dst"))
+    allowed = edges.select("src", "dst").join(off, "dst", "left_anti")
+    frontier = durable(roots.select("node").distinct().join(barriers, "node", "left_anti"))
+    pieces, places, rounds = [frontier], None, 0
     while not frontier.isEmpty():
-        step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = durable(step.join(barriers, "node", "left_anti").join(seen, "node", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+        seen = functools.reduce(DataFrame.unionByName, pieces)
+        if rounds == PLAIN_ROUNDS:
+            unseen = lambda df: df.join(seen.select(F.col("node").alias("src")), "src", "left_anti")  # noqa: E731, B023
+            places = path_places(main_targets(unseen(allowed)) if chains is None else unseen(chains.select("src", "dst").join(off, "dst", "left_anti")))
+        step = allowed.join(frontier, allowed["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        fresh = step.join(seen, "node", "left_anti")
+        frontier = durable(along(fresh, places).join(seen, "node", "left_anti") if places is not None else fresh)
+        pieces.append(frontier)
+        rounds += 1
+        if len(pieces) > PIECES:
+            pieces = [durable(functools.reduce(DataFrame.unionByName, pieces))]
+    return functools.reduce(DataFrame.unionByName, pieces)
 
 
 def unreachable_objects(objects: DataFrame, reachable: DataFrame) -> DataFrame:
@@ -84,10 +146,13 @@ def resolve_destinations(dests: DataFrame, objects: DataFrame) -> DataFrame:
 def live_bookmarks(items: DataFrame, links: DataFrame, roots: DataFrame, resolved: DataFrame, live_pages: DataFrame) -> DataFrame:
     """(node, page): outline items, of all levels, whose destination or else whose action leads to a live page.
 
-    items is (node, dest, action_dest), links (src, dst) has first children and next items.
+    items is (node, dest, action_dest), links (node, first_child, next_node). Siblings are chains: rounds grow with the levels of the outline
+    and the logarithm of the longest list of siblings.
     """
     nobody = roots.where("false")
-    met = items.join(reachable_objects(links, roots, nobody), "node", "left_semi")
+    following = links.where("next_node is not null").select(F.col("node").alias("src"), F.col("next_node").alias("dst"))
+    edges = links.where("first_child is not null").select(F.col("node").alias("src"), F.col("first_child").alias("dst")).unionByName(following)
+    met = items.join(reachable_objects(edges, roots, nobody, following), "node", "left_semi")
     by = lambda name: resolved.select(F.col("dest").alias(name), F.col("page").alias(f"{name}_page"))
     pages = met.join(by("dest"), "dest", "left").join(by("action_dest"), "action_dest", "left").select("node", F.coalesce("dest_page", "action_dest_page").alias("page"))
     return pages.join(live_pages.select("page"), "page", "left_semi").select("node", "page")

@@ -60,7 +60,7 @@ query("d6_live_bookmarks", f"""with recursive {_DEST}, lk as (select node as src
     where cast(substr(coalesce(a.page, b.page), 2) as bigint) % 4 <> 0""")(
     lambda s, d: st.live_bookmarks(
         t(s, d, "outline").selectExpr("node", "'d' || node as dest", "'a' || node as action_dest"),
-        t(s, d, "outline").selectExpr("node as src", "explode(array(first_child, next_node)) as dst").where("dst is not null"),
+        t(s, d, "outline").select("node", "first_child", "next_node"),
         docs(s, d).where("n = 0").selectExpr("n as node"), resolved(s, d), docs(s, d).where("n % 4 <> 0").selectExpr("'p' || n as page")))
 
 before = lambda s, d: st.structure_summary(t(s, d, "structure_facts").selectExpr("doc_id", "case when doc_id % 11 <> 0 then page_count end as page_count"), t(s, d, "structure_facts").unpivot(["doc_id"], list(st.CATEGORIES), "category", "n"))
