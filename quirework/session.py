@@ -16,6 +16,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     spark = SparkSession.builder.master(f"local[{n}]").appName("quirework").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

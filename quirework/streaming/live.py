@@ -1,15 +1,22 @@
-"""Live editing sessions. Each function takes a stream or a table: the plan is the same, a table gives the stream's final answer.
+"""Live editing sessions, as streams and as tables, whose rows are a stream's final answer.
 
-events.ts must be a timestamp (UTC), which watermarks need.
+events.ts must be a timestamp (UTC), which watermarks need. Where an answer hangs on deadlines, on order or on what an item was before, the stream
+keeps its own state.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from quirework.streaming.cursors import Commands, after
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 LATENESS = "1 hour"
@@ -42,39 +49,123 @@ def reply_deadlines(requests: DataFrame, replies: DataFrame, deadline: str = "6
     return a.join(b, in_time, "left_outer").select("request_id", "reply_id")
 
 
-def step(cursor: int, length: int, command: str) -> tuple[int, int]:
-    """Cursor and log length after a command: append drops what was undone, undo and redo stay inside the log."""
-    if command == "append":
-        return cursor + 1, cursor + 1
-    return (max(cursor - 1, 0) if command == "undo" else min(cursor + 1, length)), length
-
-
-def live_cursor_stream(commands: DataFrame) -> DataFrame:
-    """(doc_id, cursor, length) after each batch of commands (doc_id, seq, command), kept as state for each document."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cursor, length = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for command in rows["command"]:
-            cursor, length = step(cursor, length, command)
-        state.update((cursor, length))
-        yield pd.DataFrame({"doc_id": [key[0]], "cursor": [cursor], "length": [length]})
-
-    return commands.groupBy("doc_id").applyInPandasWithState(follow, "doc_id long, cursor long, length long", "cursor long, length long", "update", "NoTimeout")
+class ReplyTimers(StatefulProcessor):
+    """Open requests and replies of one document; a timer behind each deadline decides a request, when all replies in time must have come."""
+
+    def __init__(self, deadline_us: int) -> None:
+        self.deadline_us = deadline_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.asked = handle.getMapState("asked", "request_id long", "at long")
+        self.replied = handle.getMapState("replied", "reply_id long", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            for kind, number, at in zip(b["kind"], b["id"].tolist(), b["at_us"].tolist(), strict=True):
+                if kind == "reply":
+                    self.replied.updateValue((number,), (at,))
+                else:
+                    self.asked.updateValue((number,), (at,))
+                    self.handle.registerTimer((at + self.deadline_us) // 1000 + 1)
+        yield pd.DataFrame({"request_id": pd.array([], "Int64"), "reply_id": pd.array([], "Int64"), "answered": pd.array([], bool)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        asked = {k[0]: v[0] for k, v in self.asked.iterator()}
+        replied = {k[0]: v[0] for k, v in self.replied.iterator()}
+        due = sorted(k for k, at in asked.items() if at + self.deadline_us < now)
+        first = [min((r for r, at in replied.items() if asked[k] <= at <= asked[k] + self.deadline_us), default=None) for k in due]
+        for k in due:
+            self.asked.removeKey((k,))
+        # a request to come is no older than the watermark
+        needed = min([at for k, at in asked.items() if k not in {*due}] + [timerValues.getCurrentWatermarkInMs() * 1000])
+        for r, at in replied.items():
+            if at < needed:
+                self.replied.removeKey((r,))
+        yield pd.DataFrame({"request_id": pd.array(due, "Int64"), "reply_id": pd.array(first, "Int64"), "answered": pd.array([f is not None for f in first], bool)})
+
+
+def answered_requests(requests: DataFrame, replies: DataFrame, deadline: dt.timedelta = dt.timedelta(hours=6), lateness: str = LATENESS) -> DataFrame:
+    """(request_id, reply_id, answered) of two streams: exactly one row for each request, once the watermark has passed its deadline.
+
+    The reply is the one of the smallest id among those in time, null if the deadline was missed; rows later than allowed are dropped. Runs in append mode
+    and needs the RocksDB state store.
+    """
+    asked = requests.select("doc_id", F.lit("request").alias("kind"), F.col("request_id").alias("id"), F.col("asked_at").alias("at"))
+    came = replies.select(F.col("reply_doc").alias("doc_id"), F.lit("reply").alias("kind"), F.col("reply_id").alias("id"), F.col("replied_at").alias("at"))
+    both = asked.unionByName(came).withWatermark("at", lateness).withColumn("at_us", F.unix_micros("at"))
+    timers = ReplyTimers(deadline // dt.timedelta(microseconds=1))
+    return both.groupBy("doc_id").transformWithStateInPandas(timers, "request_id long, reply_id long, answered boolean", "append", "EventTime")
+
+
+class CursorState(StatefulProcessor):
+    """(cursor, undone) of one document after all commands before the watermark, and the later ones in their order, which earlier ones may still precede."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.settled = handle.getValueState("settled", "cursor long, undone long")
+        self.pending = handle.getMapState("pending", "at long, id long", "command string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            for at, number, command in zip(b["at_us"].tolist(), b["event_id"].tolist(), b["command"], strict=True):
+                self.pending.updateValue((at, number), (command,))
+        state = self.settled.get() if self.settled.exists() else (0, 0)
+        passed, rest = Commands(), Commands()
+        sure = timerValues.getCurrentWatermarkInMs() * 1000
+        for (at, number), (command,) in sorted((tuple(k), tuple(v)) for k, v in self.pending.iterator()):
+            (passed if at < sure else rest).add(command)
+            if at < sure:
+                self.pending.removeKey((at, number))
+        state = after(tuple(state), *passed.parts())
+        self.settled.update(state)
+        cursor, undone = after(state, *rest.parts())
+        yield pd.DataFrame({"doc_id": [key[0]], "cursor": [cursor], "length": [cursor + undone]})
+
+
+def live_cursor_stream(commands: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """(doc_id, cursor, length) after each batch of a stream of commands (doc_id, ts, event_id, command), in update mode.
+
+    Commands count in the order of (ts, event_id) however they arrive; what comes later than allowed is dropped. A document's state is a pair
+    of numbers and the commands that the watermark hasn't passed. Needs the RocksDB state store.
+    """
+    rows = commands.withWatermark("ts", lateness).select("doc_id", "ts", F.unix_micros("ts").alias("at_us"), "event_id", "command")
+    return rows.groupBy("doc_id").transformWithStateInPandas(CursorState(), "doc_id long, cursor long, length long", "update", "EventTime")
 
 
 def live_cursor(commands: DataFrame) -> DataFrame:
-    """(doc_id, cursor, length) of a table of commands: one ordered fold for each document in the JVM."""
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "command")))
-    zero = F.struct(F.lit(0).cast("long").alias("cursor"), F.lit(0).cast("long").alias("length"))
+    """(doc_id, cursor, length) of a table of commands (doc_id, seq, command) in the order of seq.
 
-    def fold(s, e):
-        c, n = s["cursor"], s["length"]
-        append = e["command"] == "append"
-        cursor = F.when(append, c + 1).when(e["command"] == "undo", F.greatest(c - 1, F.lit(0))).otherwise(F.least(c + 1, n))
-        return F.struct(cursor.alias("cursor"), F.when(append, c + 1).otherwise(n).alias("length"))
+    Commands are dealt out by ranges of document and place, so a document with many is in many tasks. Each task sends one summary for each of its
+    documents; a document's summaries, as many as ranges it is in, are applied in their order.
+    """
 
-    return commands.groupBy("doc_id").agg(F.aggregate(ordered, zero, fold).alias("s")).select("doc_id", "s.cursor", "s.length")
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, own, no = None, Commands(), 0
+        for b in itertools.chain(batches, [None]):
+            out: list[dict] = []
+            for doc, command in zip(b.column("doc_id").to_pylist(), b.column("command").to_pylist(), strict=True) if b else [(None, "")]:
+                if doc != of or b is None:
+                    if no:
+                        runs, pieces = own.parts()
+                        out.append({"doc_id": of, "runs": runs, "pieces": pieces})
+                    of, own, no = doc, Commands(), 0
+                own.add(command)
+                no += 1
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.int64())), ("pieces", pa.list_(pa.list_(pa.int64())))]))
+
+    @F.udf("cursor long, undone long", useArrow=True)
+    def applied(summaries):
+        state = (0, 0)
+        for s in summaries:
+            state = after(state, s["runs"], s["pieces"])
+        return state
+
+    ranges = commands.repartitionByRange("doc_id", "seq").sortWithinPartitions("doc_id", "seq").select("doc_id", "command")
+    parts = ranges.mapInArrow(summarise, "doc_id long, runs array<long>, pieces array<array<long>>").withColumn("part", F.spark_partition_id())
+    ordered = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "runs", "pieces"))).alias("s"))
+    return ordered.select("doc_id", applied("s").alias("s")).select("doc_id", F.col("s.cursor").alias("cursor"), (F.col("s.cursor") + F.col("s.undone")).alias("length"))
 
 
 def batch_progress(statuses: DataFrame) -> DataFrame:
@@ -84,10 +175,44 @@ def batch_progress(statuses: DataFrame) -> DataFrame:
     return latest.groupBy("batch_id").agg(F.count("*").alias("items"), done.alias("done"), F.count_if(F.col("status") == "failed").alias("failed"), F.floor(100 * done / F.count("*")).cast("long").alias("percent"))
 
 
+class BatchCounters(StatefulProcessor):
+    """Counters of one batch, and the latest status of each of its items; a change takes an item out of one counter and adds it to another."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getMapState("latest", "item long", "at long, id long, status string")
+        self.counts = handle.getValueState("counts", "items long, done long, failed long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.counts.get()) if self.counts.exists() else (0, 0, 0)
+        items, done, failed = before
+        for b in rows:
+            newest = b.sort_values(["at_us", "event_id", "status"]).drop_duplicates("item", keep="last")
+            for item, at, number, status in zip(newest["item"].tolist(), newest["at_us"].tolist(), newest["event_id"].tolist(), newest["status"], strict=True):
+                known = self.latest.containsKey((item,))
+                was = tuple(self.latest.getValue((item,))) if known else None
+                if was and was >= (at, number, status):
+                    continue
+                self.latest.updateValue((item,), (at, number, status))
+                items += not known
+                done += (status == "done") - (known and was[2] == "done")
+                failed += (status == "failed") - (known and was[2] == "failed")
+        if (items, done, failed) != before:
+            self.counts.update((items, done, failed))
+            yield pd.DataFrame({"batch_id": [key[0]], "items": [items], "done": [done], "failed": [failed], "percent": [100 * done // items]})
+
+
+def batch_progress_stream(statuses: DataFrame) -> DataFrame:
+    """batch_progress() of a stream of status rows, in update mode: a row for each batch whose counters a micro-batch has changed, and no others.
+
+    Statuses may come late, in any order. Needs the RocksDB state store, from which only the items that a micro-batch names are read.
+    """
+    rows = statuses.select("batch_id", "item", F.unix_micros("at.ts").alias("at_us"), F.col("at.event_id").alias("event_id"), "status")
+    return rows.groupBy("batch_id").transformWithStateInPandas(BatchCounters(), "batch_id long, items long, done long, failed long, percent long", "update", "None")
+
+
 def follow_progress(statuses: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Runs batch_progress over a stream of status rows: the latest row of each item is kept as state, each change is given to write."""
-    latest = statuses.groupBy("batch_id", "item").agg(F.max(F.struct("at", "status")).alias("s")).select("batch_id", "item", "s.*")
-    return latest.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: write(batch_progress(df), n)).start()
+    """Runs batch_progress_stream() over what there is of a stream; each micro-batch's changed batches are given to write."""
+    return batch_progress_stream(statuses).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def first_replies(pairs: DataFrame) -> DataFrame:
