@@ -40,7 +40,8 @@ def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _count(b: pa.RecordBatch) -> pa.RecordBatch:
     """(lang, source, term, n, docs) of the terms of some documents."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(b.column("text").cast(pa.large_string())), BETWEEN)
+    # lower-cased before the cast: pyarrow's ascii_lower reads slices of large strings from a wrong place
+    lists = pc.split_pattern_regex(pc.ascii_lower(b.column("text")).cast(pa.large_string()), BETWEEN)
     words, row = lists.flatten(), np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
     coded = words.dictionary_encode()
     terms, code = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
