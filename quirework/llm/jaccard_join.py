@@ -42,6 +42,8 @@ REMEMBERED = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -62,10 +64,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; with fewer words one hash of the whole sequence, without words none."""
-    low = pc.ascii_lower(texts.cast(pa.large_string()))
-    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    """The sorted distinct shingle hashes of each text, A-Z in lower case; with fewer words one hash of the whole sequence, without words none."""
+    whole = texts.cast(pa.large_string())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = _LOWER[np.frombuffer(whole.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
     offsets = offsets - offsets[0]
     solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -74,13 +76,13 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     stops = np.flatnonzero(solid & (edge[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
     words = word_hashes(data, starts, stops)
     bounds = np.searchsorted(starts, offsets)
-    whole = mixed(words ^ np.uint64(shingle))
+    hashes = mixed(words ^ np.uint64(shingle))
     for i in range(1, shingle):
-        whole = mixed(whole[: len(whole) - 1] * _STEP + words[i:]) if len(whole) > 1 else whole[:0]
+        hashes = mixed(hashes[:-1] * _STEP + words[i:])  # those that go on into the next text are left out below
     sets = []
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if z - a >= shingle:
-            sets.append(np.unique(whole[a : z - shingle + 1]))
+            sets.append(np.unique(hashes[a : z - shingle + 1]))
         elif z > a:
             h = mixed(words[a : a + 1] ^ np.uint64(z - a))
             for i in range(a + 1, z):
