@@ -55,7 +55,7 @@ def packed_products(anchors: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     width = max(1, (dim * a_top * b_top).bit_length())  # a field holds the largest sum
     kind, fields = (np.float64, DOUBLE_BITS // width) if width <= DOUBLE_BITS else (object, PYTHON_FIELDS)
     shifts = np.array([1 << (width * f) for f in range(fields)], kind)
-    columns = np.concatenate([b, np.zeros((-n % fields, dim), np.int64)]).reshape(fields, -1, dim)
+    columns = np.concatenate([b, np.zeros((-n % fields, dim), np.int64)]).reshape(fields, -(-n // fields), dim)
     wide = (columns.astype(kind) * shifts[:, None, None]).sum(axis=0)  # wide integer k has candidate f * len(wide) + k in field f
     product = a.astype(kind) @ wide.T
     # 64-bit integers from here on if all terms below fit, else Python's
