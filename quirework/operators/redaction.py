@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import one_space, trimmed
 
 SLACK = 1.0
+#: Points of a cell's side, and cells beyond which a box or fragment is compared apart from the grid.
+CELL, MOST_CELLS = 64.0, 4096
+
+
+def _cells(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
+    """(number of cells, cells) that a rectangle touches; infinite and missing sides give a number beyond any bound."""
+    lo_x, lo_y, hi_x, hi_y = (F.floor(c / CELL) for c in (x0, y0, x1, y1))
+    n = F.coalesce((x1 - x0 + 2 * CELL) * (y1 - y0 + 2 * CELL) / (CELL * CELL), F.lit(float("inf")))
+    far = F.greatest(*(F.abs(c) for c in (x0, y0, x1, y1))) > 2.0**50
+    row = lambda j: F.transform(F.sequence(lo_x, hi_x), lambda i: F.struct(i.alias("cx"), j.alias("cy")))
+    return F.when(F.isnan(n) | far, F.lit(float("inf"))).otherwise(n), F.flatten(F.transform(F.sequence(lo_y, hi_y), row))
+
+
+def painted_keys(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
+    """(doc_id, page_no, frag_no) of the fragments that overlap a box of their page, with some slack on every side.
+
+    Boxes, with their slack, and fragments meet in the cells of a grid that they touch, so that a page of many boxes and fragments is no task
+    of all pairs. What touches thousands of cells is compared with all others of its page instead.
+    """
+    page = ["doc_id", "page_no"]
+    b = boxes.select(*page, (F.col("x") - slack).alias("bx0"), (F.col("y") - slack).alias("by0"), (F.col("x") + F.col("width") + slack).alias("bx1"), (F.col("y") + F.col("height") + slack).alias("by1"))
+    f = fragments.select(*page, "frag_no", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
+    f = f.join(b.select(*page).distinct(), page, "left_semi")
+    (b_n, b_cells), (f_n, f_cells) = _cells(*(F.col(f"b{c}") for c in ("x0", "y0", "x1", "y1"))), _cells(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    overlap = (F.col("x1") > F.col("bx0")) & (F.col("x0") < F.col("bx1")) & (F.col("y1") > F.col("by0")) & (F.col("y0") < F.col("by1"))
+    key = [*page, "frag_no"]
+    gridded = lambda df, n, cells: df.where(n <= MOST_CELLS).withColumn("cell", F.explode(cells)).select("*", "cell.cx", "cell.cy").drop("cell")
+    near = gridded(f, f_n, f_cells).join(gridded(b, b_n, b_cells), [*page, "cx", "cy"]).where(overlap).select(*key)
+    wide_boxes = f.join(b.where(b_n > MOST_CELLS), page).where(overlap).select(*key)
+    wide_fragments = f.where(f_n > MOST_CELLS).join(b.where(b_n <= MOST_CELLS), page).where(overlap).select(*key)
+    return near.unionByName(wide_boxes).unionByName(wide_fragments).distinct()
 
 
 def flag_painted(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
     """The fragments with painted: whether one overlaps a box of its page, with some slack on every side."""
-    on_page = boxes.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("boxes"))
-    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
-    meets = lambda b: (x + w > b["x"] - slack) & (x < b["x"] + b["width"] + slack) & (y + h > b["y"] - slack) & (y < b["y"] + b["height"] + slack)
-    met = fragments.join(on_page, ["doc_id", "page_no"], "left")
-    return met.withColumn("painted", F.coalesce(F.exists("boxes", meets), F.lit(False))).drop("boxes")
+    keys = painted_keys(fragments, boxes, slack).withColumn("painted", F.lit(True))
+    return fragments.join(keys, ["doc_id", "page_no", "frag_no"], "left").withColumn("painted", F.coalesce("painted", F.lit(False)))
 
 
 def words_under_boxes(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
     """(doc_id, page_no, frag_no, str): fragments that overlap a box of their page, with some slack on every side."""
-    return flag_painted(fragments, boxes, slack).where("painted").select("doc_id", "page_no", "frag_no", "str")
+    return fragments.join(painted_keys(fragments, boxes, slack), ["doc_id", "page_no", "frag_no"], "left_semi").select("doc_id", "page_no", "frag_no", "str")
 
 
 def redaction_needles(words: DataFrame) -> DataFrame:
@@ -32,13 +64,32 @@ def redaction_needles(words: DataFrame) -> DataFrame:
 
 
 def redaction_survivors(needles: DataFrame, fragments: DataFrame, fields: DataFrame | None = None) -> DataFrame:
-    """(doc_id, word): needles that the produced document still says, in its text or in a field's value (doc_id, value)."""
+    """(doc_id, word): needles that the produced document still says, in its text or in a field's value (doc_id, value).
+
+    Each text is sent once, beside its document's needles, and read once: an automaton finds all of them in one pass.
+    """
     pages = F.sort_array(F.collect_list(F.struct("page_no", "frag_no", "str")))
     text = fragments.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda p: p["str"]), " ").alias("said"))
     if fields is not None:
         text = text.unionByName(fields.select("doc_id", F.col("value").alias("said")))
-    said = text.withColumn("said", one_space(F.lower("said")))
-    return needles.join(said, "doc_id").where(F.col("said").contains(F.col("needle"))).select("doc_id", "word").distinct()
+    said = text.where("said is not null").withColumn("said", one_space(F.lower("said")))
+    own = needles.groupBy("doc_id").agg(F.collect_set("needle").alias("needles"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs, found = [], []
+            for doc, said, wanted in zip(*(b.column(c).to_pylist() for c in ("doc_id", "said", "needles")), strict=True):
+                automaton = ahocorasick.Automaton()
+                for needle in wanted:
+                    automaton.add_word(needle, needle)
+                automaton.make_automaton()
+                hits = {needle for _, needle in automaton.iter(said)}
+                docs += [doc] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.string())], ["doc_id", "needle"])
+
+    hits = said.join(own, "doc_id").mapInArrow(search, "doc_id long, needle string").distinct()
+    return needles.join(hits, ["doc_id", "needle"], "left_semi").select("doc_id", "word").distinct()
 
 
 def release_gate(docs: DataFrame, survivors: DataFrame) -> DataFrame:

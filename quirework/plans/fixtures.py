@@ -228,12 +228,14 @@ def _names(sql: str, among) -> list[str]:
     return [n for n in among if re.search(rf"\b(?:from|join|,)\s+{n}\b", sql)]
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given or derived table as a DataFrame."""
+def derive(spark: SparkSession, sf_dir: str, name: str, **known: DataFrame) -> DataFrame:
+    """A given or derived table as a DataFrame; tables that are known already are not derived again."""
+    if name in known:
+        return known[name]
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     sql = DERIVED[name](SPARK)
-    frames = {n: derive(spark, sf_dir, n) for n in _names(sql, [*DERIVED, *GIVEN]) if n != name}
+    frames = {n: derive(spark, sf_dir, n, **known) for n in _names(sql, [*DERIVED, *GIVEN]) if n != name}
     for n in frames:
         sql = re.sub(rf"\b(from|join|,)(\s+){n}\b", rf"\1\2{{{n}}}", sql)
     return spark.sql(sql, **frames)

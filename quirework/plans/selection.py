@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quirework.durable import own_dir
-from quirework.operators import assembly, selection
+from quirework.operators import assembly, search, selection
 from quirework.plans.fixtures import derive as t
 from quirework.plans.registry import query
 from quirework.sources import corpus
@@ -96,6 +96,11 @@ query("p6_extract_pages", f"""with {_ninth} select 'page' as what, sel_id, r.doc
 query("p7_search_corpus", "select doc_id, source, lang from documents where contains(lower(concat_ws(' ', source, lang, text)), 'tion of')")(
     lambda s, d: selection.search_corpus(t(s, d, "documents"), ["source", "lang", "text"], " Tion of ").select("doc_id", "source", "lang"))
 
+_ASK = "case when item_id % 40 = 1 then substr(text, 1, 2) when item_id % 97 = 2 then '' else substr(text, cast(1 + item_id % 30 as int), cast(8 + item_id % 12 as int)) end"
+query("p7_search_many", rf"""with q as (select item_id as query_id, regexp_replace(lower({_ASK}), '^\s+|\s+$', '', 'g') as asked from benchmark)
+ select query_id, doc_id from documents join q on contains(lower(concat_ws(' ', source, lang, text)), asked)""")(
+    lambda s, d: search.search_many(t(s, d, "documents"), ["source", "lang", "text"], t(s, d, "benchmark").selectExpr("item_id as query_id", f"{_ASK} as query")))
+
 
 
 def _combine(s, d):

@@ -11,9 +11,9 @@ from quirework.plans.registry import query
 from quirework.sources.formats import WIN_ANSI
 
 
-def raw_items(s, d):
+def raw_items(s, d, **known):
     """Items as an extractor writes them: a matrix, a height that may be missing, markers without text."""
-    return t(s, d, "text_items").selectExpr("doc_id", "page_no", "frag_no", "str", """array(10D, 0D, 0D, case when frag_no % 7 = 0 then 10D
+    return t(s, d, "text_items", **known).selectExpr("doc_id", "page_no", "frag_no", "str", """array(10D, 0D, 0D, case when frag_no % 7 = 0 then 10D
     else height end, coalesce(x0, 0D), y) as transform""", "width", "case when frag_no % 7 = 0 then 0D else height end as height", "has_eol")
 
 
@@ -90,13 +90,20 @@ query("t3_text_layer_fit", f"""with {_words}, ch as (select doc_id, page_no, wor
     0.3 * h), 1.6 * h) end, 6) as font_size, x0 / 2 as x, 842.0 - y1 / 2 as y from st""")(
     lambda s, d: text.text_layer_fit(ocr(s, d), t(s, d, "glyph_widths"), 2.0, 842.0))
 
-flagged = lambda s, d: redaction.flag_painted(fragments(s, d), t(s, d, "redactions"))
-under = lambda s, d: flagged(s, d).where("painted").select("doc_id", "page_no", "frag_no", "str")
+
+
+def painted_over(s, d):
+    """(fragments, boxes), both from one reading of the items."""
+    items = durable(t(s, d, "text_items"))
+    return text.text_fragments(raw_items(s, d, text_items=items)), t(s, d, "redactions", text_items=items)
+
+
+under = lambda s, d: redaction.words_under_boxes(*painted_over(s, d))
 
 
 def survivors(s, d):
     """Needles against the produced documents: all fragments less those painted in every fourth document, and forms that repeat some of the words."""
-    marked = durable(flagged(s, d).select("doc_id", "page_no", "frag_no", "str", "painted"))  # read three times
+    marked = durable(redaction.flag_painted(*painted_over(s, d)).select("doc_id", "page_no", "frag_no", "str", "painted"))  # read three times
     needles = redaction.redaction_needles(marked.where("painted"))
     forms = marked.where("doc_id % 4 = 0 and frag_no % 89 = 0").selectExpr("doc_id", "concat('Value:  ', str) as value")
     return redaction.redaction_survivors(needles, marked.where("not (painted and doc_id % 4 = 0)"), forms)
