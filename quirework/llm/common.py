@@ -38,11 +38,6 @@ def text_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def row_hash(text: Column) -> Column:
-    """32 bits of a text that tell rows with one doc_id apart."""
-    return F.hash(text)
-
-
 def join_few(docs: DataFrame, few: DataFrame, how: str = "left", on: tuple[str, ...] = ("doc_id", "row_hash")) -> DataFrame:
     """docs joined with few on the columns `on` (null equals null), where most rows of docs have no partner.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, batch, durable, join_few, row_hash
+from quirework.llm.common import WORD, batch, durable, join_few
 from quirework.llm.runs import Rolling, covered
 
 WINDOW = 50
@@ -29,6 +29,8 @@ COVER = (1, 5, 11, 24, 25, 27)
 #: Rows that a task holds to find partners among them before it sends them on, and parts of a group of exact copies.
 HELD_ROWS = 400_000
 SALTS = 16
+#: The key of a row: its id and 64 bits of its text, which only have to tell rows of one id apart.
+ROW = ("doc_id", "row")
 #: Words whose hashes a task keeps.
 CACHED_WORDS = 200_000
 SECOND_BASE = 0xD6E8FEB86659FD93
@@ -52,9 +54,9 @@ def word_hashes(words: list[str], seen: Digests) -> tuple[np.ndarray, np.ndarray
     return pairs[:, 0], pairs[:, 1]
 
 
-def place(row: int, positions: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """row_hash, a bit that says whether the hash recurs in the document, and the position in one long."""
-    return (np.int64(row) << np.int64(32)) | (again.astype(np.int64) << np.int64(31)) | positions.astype(np.int64)
+def place(positions: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """A position, and above it a bit that says whether the hash recurs in the document."""
+    return (again.astype(np.int64) << np.int64(31)) | positions.astype(np.int64)
 
 
 def once_each(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +89,9 @@ Columns = dict[str, np.ndarray]
 
 
 def combined(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Columns:
-    """The rows of several documents, sorted by hashes and doc_id."""
+    """The rows of several documents, sorted by hashes and doc_id, which stand before row and at."""
     columns = dict(zip(names, map(np.concatenate, zip(*parts, strict=True)), strict=True))
-    order = np.lexsort([columns[k] for k in reversed(names[:-1])])
+    order = np.lexsort([columns[k] for k in reversed(names[:-2])])
     return {k: v[order] for k, v in columns.items()}
 
 
@@ -100,7 +102,7 @@ def dealt(columns: Columns, done: np.ndarray) -> pa.RecordBatch:
 
 
 def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id, at, done, key): hashes at cover positions.
+    """(h, doc_id, row, at, done, key): hashes at cover positions.
 
     Hashes that a task itself meets in several documents need no more partners: their rows are done, and only that of the smallest doc_id
     goes on to meet those of other tasks. So a line that a third of all documents have makes one row a batch.
@@ -108,7 +110,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     length = window - PERIOD + 1
 
     def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        rows = combined(parts, ("h", "doc_id", "at"))
+        rows = combined(parts, ("h", "doc_id", "row", "at"))
         starts, sizes = groups(rows["h"])
         several = rows["doc_id"][starts] != rows["doc_id"][starts + sizes - 1]
         again = np.concatenate([np.arange(len(rows["h"])), starts[several]])  # the first row of each stays for other tasks
@@ -119,14 +121,14 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
         seen = Digests()
         parts, held = [], 0
         for b in batches:
-            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_hash", "text")), strict=True):
+            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 words = WORDS.findall(text)
                 if len(words) < window:
                     continue
                 at = cover_positions(len(words), length)
                 h = Rolling(word_hashes(words, seen)[0]).hashes(at, at + length)
                 first, again = once_each(h)
-                parts.append((h[first].view(np.int64), np.full(len(first), doc_id), place(row, at[first], again)))
+                parts.append((h[first].view(np.int64), np.full(len(first), doc_id), np.full(len(first), row), place(at[first], again)))
                 held += len(first)
                 if held > HELD_ROWS:
                     yield out(parts)
@@ -134,20 +136,20 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
         if parts:
             yield out(parts)
 
-    return docs.mapInArrow(scan, "h long, doc_id long, at long, done boolean, key long")
+    return docs.mapInArrow(scan, "h long, doc_id long, row long, at long, done boolean, key long")
 
 
 def in_several(rows: DataFrame) -> DataFrame:
-    """(doc_id, at) of the rows whose h is in two documents or more."""
+    """(doc_id, row, at) of the rows whose h is in two documents or more."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_h, open_doc, several = None, None, False  # the hash that the last batch ended in
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # its rows, all of one document so far
+        held: list[tuple[np.ndarray, ...]] = []  # its rows, all of one document so far
         for b in batches:
-            done, h, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "h", "doc_id", "at"))
+            done, h, doc, row, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "h", "doc_id", "row", "at"))
             if done.any():
-                yield batch(doc_id=doc[done], at=at[done])
-                h, doc, at = h[~done], doc[~done], at[~done]
+                yield batch(doc_id=doc[done], row=row[done], at=at[done])
+                h, doc, row, at = h[~done], doc[~done], row[~done], at[~done]
             if not len(h):
                 continue
             starts, sizes = groups(h)
@@ -155,30 +157,30 @@ def in_several(rows: DataFrame) -> DataFrame:
             if open_h == h[0]:
                 many[0] |= several or doc[0] != open_doc
                 if many[0]:
-                    for d, x in held:
-                        yield batch(doc_id=d, at=x)
+                    for d, r, x in held:
+                        yield batch(doc_id=d, row=r, at=x)
                     held = []
             else:
                 held, several = [], False
             last = starts[-1]
             keep = np.repeat(many, sizes)
-            held = [] if many[-1] else [*(held if open_h == h[-1] and len(starts) == 1 else []), (doc[last:], at[last:])]
+            held = [] if many[-1] else [*(held if open_h == h[-1] and len(starts) == 1 else []), (doc[last:], row[last:], at[last:])]
             open_h, open_doc, several = h[-1], doc[-1], bool(many[-1])
             if keep.any():
-                yield batch(doc_id=doc[keep], at=at[keep])
+                yield batch(doc_id=doc[keep], row=row[keep], at=at[keep])
 
-    return rows.repartition("key").sortWithinPartitions("done", "h", "doc_id").mapInArrow(scan, "doc_id long, at long")
+    return rows.repartition("key").sortWithinPartitions("done", "h", "doc_id").mapInArrow(scan, "doc_id long, row long, at long")
 
 
 def windows_at(docs: DataFrame, window: int) -> DataFrame:
-    """(h, h2, doc_id, at, done, key): 128-bit hashes of the windows around the anchors that docs carries in column places.
+    """(h, h2, doc_id, row, at, done, key): 128-bit hashes of the windows around the anchors that docs carries in column places.
 
     Of a window that a task meets in several documents, all but the row of the smallest doc_id are done: they are to be removed.
     """
     length = window - PERIOD + 1
 
     def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        rows = combined(parts, ("h", "h2", "doc_id", "at"))
+        rows = combined(parts, ("h", "h2", "doc_id", "row", "at"))
         starts, sizes = groups(rows["h"], rows["h2"])
         return dealt(rows, rows["doc_id"] > np.repeat(rows["doc_id"][starts], sizes))
 
@@ -189,7 +191,7 @@ def windows_at(docs: DataFrame, window: int) -> DataFrame:
             lists = b.column("places")
             offsets, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             offsets = offsets - offsets[0]
-            for k, (doc_id, row, text, again) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_hash", "text", "again")), strict=True)):
+            for k, (doc_id, row, text, again) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "again")), strict=True)):
                 words = WORDS.findall(text)
                 first, second = word_hashes(words, seen)
                 rolling = Rolling(first)
@@ -203,7 +205,7 @@ def windows_at(docs: DataFrame, window: int) -> DataFrame:
                 one, recurs = once_each(h)
                 starts = starts[one]
                 h2 = Rolling(second, SECOND_BASE).hashes(starts, starts + window)
-                parts.append((h[one].view(np.int64), h2.view(np.int64), np.full(len(starts), doc_id), place(row, starts, recurs)))
+                parts.append((h[one].view(np.int64), h2.view(np.int64), np.full(len(starts), doc_id), np.full(len(starts), row), place(starts, recurs)))
                 held += len(starts)
                 if held > HELD_ROWS:
                     yield out(parts)
@@ -211,19 +213,19 @@ def windows_at(docs: DataFrame, window: int) -> DataFrame:
         if parts:
             yield out(parts)
 
-    return docs.mapInArrow(scan, "h long, h2 long, doc_id long, at long, done boolean, key long")
+    return docs.mapInArrow(scan, "h long, h2 long, doc_id long, row long, at long, done boolean, key long")
 
 
 def not_first(rows: DataFrame) -> DataFrame:
-    """(doc_id, at) of the rows whose (h, h2) is also in a smaller document."""
+    """(doc_id, row, at) of the rows whose (h, h2) is also in a smaller document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, first = None, 0
         for b in batches:
-            done, h, h2, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "h", "h2", "doc_id", "at"))
+            done, h, h2, doc, row, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "h", "h2", "doc_id", "row", "at"))
             if done.any():
-                yield batch(doc_id=doc[done], at=at[done])
-                h, h2, doc, at = h[~done], h2[~done], doc[~done], at[~done]
+                yield batch(doc_id=doc[done], row=row[done], at=at[done])
+                h, h2, doc, row, at = h[~done], h2[~done], doc[~done], row[~done], at[~done]
             if not len(h):
                 continue
             starts, sizes = groups(h, h2)
@@ -233,25 +235,25 @@ def not_first(rows: DataFrame) -> DataFrame:
             open_key, first = (h[-1], h2[-1]), least[-1]
             later = doc > np.repeat(least, sizes)
             if later.any():
-                yield batch(doc_id=doc[later], at=at[later])
+                yield batch(doc_id=doc[later], row=row[later], at=at[later])
 
-    return rows.repartition("key").sortWithinPartitions("done", "h", "h2", "doc_id").mapInArrow(scan, "doc_id long, at long")
+    return rows.repartition("key").sortWithinPartitions("done", "h", "h2", "doc_id").mapInArrow(scan, "doc_id long, row long, at long")
 
 
 def by_document(rows: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, places, again) from rows (doc_id, at); again: whether some of the hashes recur in the document."""
+    """(doc_id, row, places, again) from rows (doc_id, row, at); again: whether some of the hashes recur in the document."""
     bits = lambda mask: F.col("at").bitwiseAND(F.lit(mask))
-    split = rows.select("doc_id", F.shiftright("at", 32).cast("int").alias("row_hash"), bits(0x7FFFFFFF).cast("int").alias("at"), (bits(0x80000000) != 0).alias("again"))
-    return split.groupBy("doc_id", "row_hash").agg(F.collect_list("at").alias("places"), F.bool_or("again").alias("again"))
+    split = rows.select("doc_id", "row", bits(0x7FFFFFFF).cast("int").alias("at"), (bits(0x80000000) != 0).alias("again"))
+    return split.groupBy("doc_id", "row").agg(F.collect_list("at").alias("places"), F.bool_or("again").alias("again"))
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash) of the documents whose whole text is also that of a smaller doc_id. A large group of copies is split by salts."""
+    """(doc_id, row) of the documents whose whole text is also that of a smaller doc_id. A large group of copies is split by salts."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    marks = docs.where("doc_id is not null").select("doc_id", "row_hash", F.sha2(F.col("text").cast("binary"), 256).alias("mark"), salt.alias("salt"))
+    marks = docs.where("doc_id is not null").select("doc_id", "row", F.sha2(F.col("text").cast("binary"), 256).alias("mark"), salt.alias("salt"))
     first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
     salted = first.select("mark", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return marks.join(salted, ["mark", "salt"]).where("doc_id > first").select("doc_id", "row_hash").distinct()
+    return marks.join(salted, ["mark", "salt"]).where("doc_id > first").select("doc_id", "row").distinct()
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,13 +266,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     if window < PERIOD + 1:
         raise ValueError(f"a window has at least {PERIOD + 1} words")
     text = F.coalesce(docs[text_col], F.lit(""))
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), row_hash(text).alias("row_hash"), text.alias("text"))
+    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     copies = durable(exact_copies(docs))
-    own = join_few(docs.where("doc_id is not null"), copies, "left_anti")
+    own = join_few(docs.where("doc_id is not null"), copies, "left_anti", ROW)
     met = durable(by_document(in_several(anchors(own, window))))
-    around = windows_at(join_few(docs.where("doc_id is not null"), met, "inner").select("doc_id", "row_hash", "text", "places", "again"), window)
+    around = windows_at(join_few(docs.where("doc_id is not null"), met, "inner", ROW).select("doc_id", "row", "text", "places", "again"), window)
     removed = by_document(not_first(around)).unionByName(copies.withColumns({"places": F.lit(None).cast("array<int>"), "again": F.lit(False)}))
-    changed = join_few(docs, durable(removed.withColumn("changed", F.lit(True))))
+    changed = join_few(docs, durable(removed.withColumn("changed", F.lit(True))), on=ROW)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Digests()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.common import batch, durable, join_few, row_hash
+from quirework.llm.common import batch, durable, join_few
 from quirework.llm.runs import Rolling, covered, mixed, window_runs
 
 WINDOW = 400
@@ -32,6 +32,8 @@ SHARD_BYTES = 1 << 19
 RUNS_A_SHARD = 1000
 #: Bytes of documents that are hashed together.
 TOGETHER = 1 << 18
+#: The key of a row: 128 bits of its id and text, so that only rows which are equal in both share one.
+ROW = ("row", "row2")
 #: Text positions that Kasai's scan follows side by side.
 LANES = 8192
 
@@ -184,13 +186,13 @@ def holds_itself(grams: np.ndarray, value: np.ndarray, start: np.ndarray, n: np.
     return np.logical_or.reduceat(early, first) if len(n) else np.zeros(0, bool)
 
 
-NAMES = ("v", "c", "c2", "doc_id", "row_hash", "start", "n", "periodic")
+NAMES = ("v", "c", "c2", "row", "row2", "start", "n", "periodic")
 
 
 def all_runs(docs: DataFrame, window: int) -> DataFrame:
-    """(v, c, c2, doc_id, row_hash, start, n, periodic): value, digest of the bytes (128 bits), place and number of windows of every run."""
+    """(v, c, c2, row, row2, start, n, periodic): value, digest of the bytes (128 bits), place and number of windows of every run."""
 
-    def runs_of(ids: list, rows: list, texts: list[bytes]) -> pa.RecordBatch:
+    def runs_of(rows: list, rows2: list, texts: list[bytes]) -> pa.RecordBatch:
         """Of several documents at once, as one sequence in which no window reaches over an end."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
@@ -203,34 +205,34 @@ def all_runs(docs: DataFrame, window: int) -> DataFrame:
         content = np.frombuffer(b"".join([digest(view[x:y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]), np.int64).reshape(-1, 2)
         periodic = holds_itself(grams, value, start, n)
         place = (start - (ends - lengths)[doc]).astype(np.int32)
-        columns = value.view(np.int64), content[:, 0], content[:, 1], np.array(ids, np.int64)[doc], np.array(rows, np.int32)[doc], place, n.astype(np.int32), periodic
+        columns = value.view(np.int64), content[:, 0], content[:, 1], np.array(rows, np.int64)[doc], np.array(rows2, np.int64)[doc], place, n.astype(np.int32), periodic
         return batch(**dict(zip(NAMES, columns, strict=True)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows, texts, held = [], [], [], 0
-            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row_hash", "text")), strict=True):
+            rows, rows2, texts, held = [], [], [], 0
+            for row, row2, text in zip(*(b.column(c).to_pylist() for c in ("row", "row2", "text")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) >= window:
-                    ids.append(doc_id), rows.append(row), texts.append(data)
+                    rows.append(row), rows2.append(row2), texts.append(data)
                     held += len(data)
                 if held >= TOGETHER:
-                    yield runs_of(ids, rows, texts)
-                    ids, rows, texts, held = [], [], [], 0
+                    yield runs_of(rows, rows2, texts)
+                    rows, rows2, texts, held = [], [], [], 0
             if texts:
-                yield runs_of(ids, rows, texts)
+                yield runs_of(rows, rows2, texts)
 
-    return docs.mapInArrow(scan, "v long, c long, c2 long, doc_id long, row_hash int, start int, n int, periodic boolean")
+    return docs.mapInArrow(scan, "v long, c long, c2 long, row long, row2 long, start int, n int, periodic boolean")
 
 
 def grouped(runs: DataFrame) -> DataFrame:
-    """One row for each different run: (v, c, c2, times, periodic, first, last), the places being structs of doc_id, row_hash, start, n."""
-    place = F.struct("doc_id", "row_hash", "start", "n")
+    """One row for each different run: (v, c, c2, times, periodic, first, last), the places being structs of row, row2, start, n."""
+    place = F.struct("row", "row2", "start", "n")
     return runs.groupBy("v", "c", "c2").agg(F.count("*").alias("times"), F.max("periodic").alias("periodic"), F.min(place).alias("first"), F.max(place).alias("last"))
 
 
 def compared(different: DataFrame) -> DataFrame:
-    """(v, c, c2, times, shards, copy, doc_id, row_hash, start, n): the runs that may share windows with others of their value or with themselves.
+    """(v, c, c2, times, shards, copy, row, row2, start, n): the runs that may share windows with others of their value or with themselves.
 
     A run that occurs several times comes twice, at its first place and, as copy, at its last; shards is what the value takes.
     """
@@ -241,14 +243,14 @@ def compared(different: DataFrame) -> DataFrame:
     return rows.select("v", "c", "c2", "times", "shards", (F.col("at") == 1).alias("copy"), "place.*")
 
 
-KEYS = ("v", "c", "c2", "times", "copy", "doc_id", "row_hash", "start", "n")
-KEY_TYPES = "v long, c long, c2 long, times long, copy boolean, doc_id long, row_hash int, start int, n int"
+KEYS = ("v", "c", "c2", "times", "copy", "row", "row2", "start", "n")
+KEY_TYPES = "v long, c long, c2 long, times long, copy boolean, row long, row2 long, start int, n int"
 
 
 def contexts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """(a, b, side, KEYS, data): the bytes of the runs, in each cell of shards (a, b) that they take part in; copies only in that of their own shard."""
     wanted = F.struct("v", "c", "c2", "times", "copy", "start", "n", "shards")
-    few = durable(runs.groupBy("doc_id", "row_hash").agg(F.collect_list(wanted).alias("wanted")))
+    few = durable(runs.groupBy("row", "row2").agg(F.collect_list(wanted).alias("wanted")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +258,7 @@ def contexts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             flat = lists.flatten()
             of = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
             run = {k: flat.field(k).to_numpy(zero_copy_only=False) for k in ("v", "c", "c2", "times", "copy", "start", "n", "shards")}
-            run |= {k: b.column(k).to_numpy(zero_copy_only=False)[of] for k in ("doc_id", "row_hash")}
+            run |= {k: b.column(k).to_numpy(zero_copy_only=False)[of] for k in ("row", "row2")}
             shards = run.pop("shards")
             side = (run["c"] % shards).astype(np.int32)
             data = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
@@ -270,12 +272,12 @@ def contexts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             cells = {"a": np.minimum(side[k], other), "b": np.maximum(side[k], other), "side": side[k]}
             yield batch(**cells, **{name: run[name][k] for name in KEYS}, data=pa.array(pieces, pa.binary()))
 
-    met = join_few(docs, few, "inner").select("doc_id", "row_hash", "text", "wanted")
+    met = join_few(docs, few, "inner", ROW).select("row", "row2", "text", "wanted")
     return met.mapInArrow(cut, f"a int, b int, side int, {KEY_TYPES}, data binary")
 
 
 def shard_hits(cells: DataFrame, window: int) -> DataFrame:
-    """(v, c, c2, times, doc_id, row_hash, start, at, n): stretches of windows, `at` windows behind the start of a run, that stand elsewhere too.
+    """(v, c, c2, times, row, row2, start, at, n): stretches of windows, `at` windows behind the start of a run, that stand elsewhere too.
 
     Of a run that occurs several times the first place is given.
     """
@@ -289,7 +291,7 @@ def shard_hits(cells: DataFrame, window: int) -> DataFrame:
         k, at, n = shard.hits(marked)
         stay = wanted[k]
         k, at, n = k[stay], at[stay], n[stay]
-        names = ("v", "c", "c2", "times", "doc_id", "row_hash", "start")
+        names = ("v", "c", "c2", "times", "row", "row2", "start")
         return batch(**{name: rows[name][k] for name in names}, at=at.astype(np.int32), n=n.astype(np.int32))
 
     def one(rows: dict[str, np.ndarray], data: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +349,7 @@ def shard_hits(cells: DataFrame, window: int) -> DataFrame:
             yield from one(*joined(whole))
 
     ordered = cells.repartition("v", "a", "b").sortWithinPartitions("v", "a", "b", "c", "c2", "copy")
-    return ordered.mapInArrow(scan, "v long, c long, c2 long, times long, doc_id long, row_hash int, start int, at int, n int")
+    return ordered.mapInArrow(scan, "v long, c long, c2 long, times long, row long, row2 long, start int, at int, n int")
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,17 +360,17 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """
     if window <= GRAM:
         raise ValueError(f"a window has more than {GRAM} bytes")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    no_id = F.lit(-(1 << 63))
-    docs = docs.select(F.coalesce(docs[id_col].cast("long"), no_id).alias("doc_id"), row_hash(text).alias("row_hash"), text.alias("text"))
+    text, doc_id = F.coalesce(docs[text_col], F.lit("")), docs[id_col].cast("long")
+    keys = (F.xxhash64(F.lit(k), doc_id, text).alias(name) for k, name in enumerate(ROW))
+    docs = docs.select(doc_id.alias("doc_id"), *keys, text.alias("text"))
     runs = durable(all_runs(docs, window))
     different = durable(grouped(runs))
     hits = durable(shard_hits(contexts(docs, compared(different), window), window))
-    alone = hits.where("times = 1").select("doc_id", "row_hash", (F.col("start") + F.col("at")).alias("start"), "n")
+    alone = hits.where("times = 1").select(*ROW, (F.col("start") + F.col("at")).alias("start"), "n")
     first = hits.where("times > 1").select("v", "c", "c2", "at", F.col("n").alias("found"))
-    equal = runs.join(first, ["v", "c", "c2"]).select("doc_id", "row_hash", (F.col("start") + F.col("at")).alias("start"), F.col("found").alias("n"))
-    spans = alone.unionByName(equal).groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    changed = join_few(docs, durable(spans))
+    equal = runs.join(first, ["v", "c", "c2"]).select(*ROW, (F.col("start") + F.col("at")).alias("start"), F.col("found").alias("n"))
+    spans = alone.unionByName(equal).groupBy(*ROW).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    changed = join_few(docs, durable(spans), on=ROW)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -384,8 +386,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             n_bytes, n_removed, n_spans, left = zip(*out, strict=True) if out else ((), (), (), ())
             yield batch(doc_id=b.column("doc_id"), n_bytes=np.array(n_bytes, np.int64), n_removed=np.array(n_removed, np.int64), n_spans=np.array(n_spans, np.int64), kept=pa.array(left, pa.binary()))
 
-    got = changed.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return got.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id")))
+    return changed.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeated_bytes_digest(docs: DataFrame) -> DataFrame:
