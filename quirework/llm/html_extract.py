@@ -1,10 +1,10 @@
 """Main text of web pages by nearest-URL differencing.
 
 Pages of a host are ordered by URL path. Each is paired with the nearer of the two pages beside it, the one whose path begins like its
-own for longer, which is most likely made from the same template. A longest common subsequence aligns the lines of the two, and the lines
-that both share go, wherever on the page they stand. Marks are the second opinion. Lines in a marked article stay even if they
-are shared, for copied and quoted articles are neighbours as well; and lines in marked menus, headers, footers, sidebars, notices,
-adverts, forms, comments and scripts that the neighbour doesn't share go too. All other lines stay.
+own for longer, which is most likely made from the same template. A longest common subsequence aligns the lines of the two, and of the unmarked
+lines those that both share go. Marks decide where there are any. Lines in a marked article stay even if they are
+shared, for copied and quoted articles are neighbours as well; and lines in marked menus, headers, footers, sidebars, notices,
+adverts, forms, comments and scripts go, shared or not. On pages that mark everything differencing so decides nothing.
 
 Pages are dealt out by ranges of the order, so a host with a third of all pages is spread over many tasks. The pages at both ends of a
 range also go to the ranges beside it, as guests to be compared with, so that no result depends on where ranges are cut.
@@ -32,10 +32,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style template noscript svg math iframe object canvas audio video head title select option textarea button datalist".split())
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-AROUND_PARTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe teaser teasers toolbar widget widgets".split())
+AROUND_PARTS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe teaser teasers toolbar widget widgets".split())
 HEADER_PARTS = frozenset("header heading masthead".split())
 #: Parts of a name that may stand beside those, as in comment-list or site-footer.
-BESIDE_PARTS = frozenset("area bar block body bottom box buttons card cards container content form global inner items left links list main outer page pages panel policy primary right secondary section site slot text thread top unit wrap wrapper".split())
+BESIDE_PARTS = frozenset("area bar block body bottom box buttons card cards container content form global inner items left links list main outer page pages panel policy primary reader readers right secondary section site slot text thread tools top unit user users wrap wrapper".split())
 BESIDE_ARTICLE = frozenset("article articles entry post posts stories story".split())
 #: Elements inside an article whose name can take them out of it; a heading or a paragraph with a telling name is text.
 PARTS_OF_ARTICLE = frozenset("article aside details div dl form iframe ol section table ul".split())
@@ -106,6 +106,8 @@ class Lines(HTMLParser):
         in_article = zone == ARTICLE
         if tag in ("body", "html"):
             pass
+        elif any(k == "data-ad" or k.startswith("data-ad-") for k in found):
+            zone = AROUND_IT
         elif tag in AROUND and not (tag == "header" and in_article) or found.get("role", "") in AROUND_ROLES:
             zone = AROUND_IT
         elif tag != "main" and (not in_article or tag in PARTS_OF_ARTICLE) and named_around(named, header=not in_article and tag != "article"):
@@ -225,7 +227,7 @@ Page = list[tuple[str, str]]
 
 
 def main_text(lines: Page, neighbour: Page | None) -> tuple[str, int, int]:
-    """(text, lines that went because the neighbour shares them, further lines that went by their marks); blocks joined by an empty line.
+    """(text, unmarked lines that went because the neighbour shares them, lines that went by their marks); blocks joined by an empty line.
 
     If nothing would be left because the neighbour shares all unmarked lines of a page without an article, the two are copies, and the
     neighbour tells nothing about them.
@@ -234,7 +236,7 @@ def main_text(lines: Page, neighbour: Page | None) -> tuple[str, int, int]:
     kept = [k for k, (zone, _) in enumerate(lines) if zone == ARTICLE or zone == OPEN and k not in shared]
     if not kept:
         kept = [k for k, (zone, _) in enumerate(lines) if zone == OPEN]
-    n_shared = len(shared.difference(kept))
+    n_shared = sum(lines[k][0] == OPEN for k in shared.difference(kept))  # marked surroundings would go without a neighbour
     return "\n\n".join(lines[k][1] for k in kept), n_shared, len(lines) - len(kept) - n_shared
 
 
@@ -260,7 +262,7 @@ def _key(host: str, path: str, page_id: int | None, url: str | None, tie: int) -
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points), n_shared, n_marked (lines that went by differencing, or by marks alone).
+    """One row per page: page_id, url, text, n_chars (code points), n_shared, n_marked (unmarked lines that went by differencing, and lines that went by marks).
 
     Null html counts as empty and gives empty text. A null URL or one without host is a host of its own. Pages with equal URLs are
     neighbours, ordered by id and html; of repeated rows each is extracted. Ids may be null or repeat. Other columns are ignored; an
