@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,36 +61,6 @@ def place_imported_pages(state_pages: DataFrame, assets: DataFrame) -> DataFrame
     return met.where(there).select("doc_id", F.row_number().over(order).alias("placed"), "page_id")
 
 
-def unique_output_names(manifest: DataFrame) -> DataFrame:
-    """(batch_id, pos, out_name): distinct names, whatever the case, in input order; a suffix never takes a name that another file owns.
-
-    Names can only meet inside one root, the lower-cased stem without closing (n); so each root is a group of its own; groups run through
-    a task in order, one at a time.
-    """
-    stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
-    stem = F.when(stem == "", F.col("file_name")).otherwise(stem)
-    root = F.regexp_replace(F.lower(stem), r"( \(\d+\))+$", "")
-
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, taken, tried = None, set(), {}
-        for b in batches:
-            out = []
-            for batch, r, s in zip(b["batch_id"], b["root"], b["stem"], strict=True):
-                if key != (batch, r):
-                    key, taken, tried = (batch, r), set(), {}
-                candidate, suffix = f"{s}.pdf", tried.get(s.lower(), 2)  # names stay taken, so smaller suffixes need no second look
-                while candidate.lower() in taken:
-                    candidate, suffix = f"{s} ({suffix}).pdf", suffix + 1
-                tried[s.lower()] = suffix
-                taken.add(candidate.lower())
-                out.append(candidate)
-            yield b[["batch_id", "pos"]].assign(out_name=out)
-
-    rows = manifest.select("batch_id", "pos", stem.alias("stem"), root.alias("root"))
-    ordered = rows.repartition("batch_id", "root").sortWithinPartitions("batch_id", "root", "pos")
-    return ordered.mapInPandas(name, "batch_id long, pos long, out_name string")
-
-
 def batch_budget_cut(items: DataFrame, budget: int) -> DataFrame:
     """The items with processed and stopped_early: one is processed while the bytes before it are within the budget; the crossing one is kept."""
     before = Window.partitionBy("batch_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quirework.durable import own_dir
-from quirework.operators import assembly, search, selection
+from quirework.operators import assembly, naming, search, selection
 from quirework.plans.fixtures import derive as t
 from quirework.plans.registry import query
 from quirework.sources import corpus
@@ -153,7 +153,7 @@ query("a7_unique_output_names", r"""with recursive names as (select batch_id, po
     else stem || ' (' || list_min(list_filter(range(2, len(run.taken) + 3), lambda n: not list_contains(run.taken,
     lower(stem || ' (' || n || ').pdf')))) || ').pdf' end as named
    from run join m on m.batch_id = run.batch_id and m.root = run.root and m.i = run.i + 1))
- select batch_id, pos, out_name from run where pos is not null""")(lambda s, d: assembly.unique_output_names(t(s, d, "doc_manifest")))
+ select batch_id, pos, out_name from run where pos is not null""")(lambda s, d: naming.unique_output_names(t(s, d, "doc_manifest")))
 query("a8_batch_budget_cut", f"""select batch_id, pos, processed, not bool_and(processed) over (partition by batch_id) as stopped_early
     from (select batch_id, pos, coalesce(sum(out_bytes) over (partition by batch_id order by pos rows between unbounded preceding and 1 preceding),
     0) <= {MAX_BATCH_OUTPUT_BYTES // 16} as processed from batch_items)""")(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.operators import assembly, editlog, redaction, selection, stamps, structure, text
+from quirework.operators import assembly, editlog, naming, redaction, selection, stamps, structure, text
 from quirework.plans.fixtures import derive
 
 SF = "/root/testdata/sf0.001"
@@ -59,7 +59,7 @@ def test_parts_cover_each_page_once(spark):
 def test_names_never_collide(spark):
     names = ["Clase 1.pptx", "Clase 1.docx", "Clase 1 (2).pptx", "clase 1.ppt", ".pptx", "a.b.docx", "A.B.doc", "x"]
     man = spark.createDataFrame([(1, k, n) for k, n in enumerate(names)], "batch_id long, pos long, file_name string")
-    got = [r.out_name for r in assembly.unique_output_names(man).orderBy("pos").collect()]
+    got = [r.out_name for r in naming.unique_output_names(man).orderBy("pos").collect()]
     taken, want = set(), []
     for n in names:
         stem = n.rsplit(".", 1)[0] if "." in n and n.rsplit(".", 1)[0] else n
