@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.functions import SPACES, settings, trimmed
+from quirework.functions import ends_blank, settings, starts_blank, trimmed
 from quirework.sources.formats import WIN_ANSI
 
 #: A gap counts as a space from this share of the type size on.
@@ -85,9 +85,9 @@ def line_texts(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("frag_no")
     prev = F.lag(F.struct("str", "x", "width", "height")).over(w)
     rows = lines.withColumn("prev", prev)
-    spaced = F.col("prev.str").rlike(rf"[{SPACES}]$") | F.col("str").rlike(rf"^[{SPACES}]")
+    spaced = ends_blank(F.col("prev.str")) | starts_blank(F.col("str"))
     wide = F.col("x") - (F.col("prev.x") + F.col("prev.width")) > F.greatest("height", "prev.height") * SPACE_GAP_EM
-    piece = F.when(F.col("prev").isNotNull() & ~spaced & wide, F.concat(F.lit(" "), "str")).otherwise(F.col("str"))
+    piece = F.when(F.col("prev").isNotNull() & wide & ~spaced, F.concat(F.lit(" "), "str")).otherwise(F.col("str"))
     pieces = rows.select("doc_id", "page_no", "line_no", "frag_no", "y", piece.alias("piece"))
     parts = F.sort_array(F.collect_list(F.struct("frag_no", "piece")))
     return pieces.groupBy("doc_id", "page_no", "line_no").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"), F.min_by("y", "frag_no").alias("y"))
