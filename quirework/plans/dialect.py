@@ -1,4 +1,4 @@
-"""The few places where Spark SQL and DuckDB's SQL differ, so that one derivation of an input table serves both."""
+"""Pieces of Spark SQL that the derived input tables share."""
 
 from __future__ import annotations
 
@@ -30,33 +30,8 @@ class Spark:
         return f"cast({col} as timestamp)"
 
 
-class Duck(Spark):
-    """DuckDB's SQL."""
-
-    def div(self, a: str, b: int | str) -> str:
-        return f"(({a}) // ({b}))"
-
-    def each(self, low: str, high: str, name: str) -> str:
-        return f"cross join lateral (select unnest(generate_series({low}, {high})) as {name})"
-
-    def items(self, array: str, name: str, pos: str) -> str:
-        return f"cross join lateral (select unnest({array}) as {name}, unnest(range(len({array}))) as {pos})"
-
-    def pick(self, values: list[str], index: str) -> str:
-        return f"([{', '.join(quoted(v) for v in values)}])[cast({index} as int) + 1]"
-
-    def split(self, text: str, by: str) -> str:
-        return f"string_split({text}, {'chr(10)' if by == chr(92) + 'n' else quoted(by)})"
-
-    def prop(self, name: str) -> str:
-        return f"cast(json_extract_string(props, '$.{name}') as bigint)"
-
-    def ts(self, col: str) -> str:
-        return col
-
-
 def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-SPARK, DUCK = Spark(), Duck()
+SPARK = Spark()

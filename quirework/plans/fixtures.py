@@ -1,7 +1,7 @@
 """Input tables of the document operators, derived from the given tables by integer arithmetic on ids.
 
-Each derivation is one SELECT with the differences between Spark SQL and DuckDB filled in, so that a query and its SQL
-start from the same rows. A name that another derivation uses is resolved first.
+Each is one SELECT in Spark SQL; its counterpart for DuckDB is written apart (tables_duck.py). A name that another derivation uses is
+resolved first.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans.dialect import DUCK, SPARK, Duck, Spark
+from quirework.plans.dialect import SPARK, Spark
+from quirework.plans.tables_duck import TABLES
 from quirework.sources.formats import EXTENSIONS
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "pages", "benchmark", "conversations")
@@ -46,11 +47,7 @@ def bad_page_edits(d: Spark) -> str:
 
 
 def edit_log(d: Spark) -> str:
-    """Written twice, once for each engine; see FIXTURES.md."""
-    return _EDIT_LOG_DUCK if isinstance(d, Duck) else _EDIT_LOG_SPARK
-
-
-_EDIT_LOG_SPARK = """select doc_id, seq, event_id, k, value, pc, kind,
+    return """select doc_id, seq, event_id, k, value, pc, kind,
       case when kind in ('move', 'rotate', 'crop', 'raster', 'draw', 'delete') then coalesce(case when k % 4 = 1 then known end,
     'o' || cast(k % pc as string)) end as page_id,
       case when kind in ('move', 'insert', 'insertImages') and k % 5 <> 0 then coalesce(case when k % 6 = 1 then known end,
@@ -79,33 +76,6 @@ _EDIT_LOG_SPARK = """select doc_id, seq, event_id, k, value, pc, kind,
            from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, cast(get_json_object(props,
     '$.k') as bigint) as k from events)))))"""
 
-_EDIT_LOG_DUCK = """select e.doc_id, e.seq, e.event_id, e.k, e.value, e.pc, e.kind,
-      case when list_contains(['move', 'rotate', 'crop', 'raster', 'draw', 'delete'], e.kind) then if(e.k % 4 = 1 and e.last_own is not null,
-    e.last_own, concat('o', e.k % e.pc)) end as page_id,
-      if(e.kind in ('move', 'insert', 'insertImages') and e.k % 5 > 0, if(e.k % 6 = 1 and e.last_own is not null, e.last_own, concat('o',
-    (e.k // 7) % e.pc)), null) as before_id,
-      if(e.kind = 'rotate', e.k % 3 + 1, null) as turns, if(e.kind = 'draw', concat('m', e.event_id), if(e.kind = 'erase', concat('m',
-    e.event_id - e.k), null)) as mark_id,
-      if(e.kind = 'setField', concat('f', e.k % 4), if(e.kind = 'metadata', (['title', 'author', 'language'])[e.k % 3 + 1], null)) as field,
-      if(e.kind = 'setField' or (e.kind = 'metadata' and e.k % 10 > 0), concat('v', e.event_id), null) as new_value,
-      if(e.kind = 'insert', concat('a', e.k), null) as asset, e.indices, e.assets, if(e.kind in ('crop', 'raster', 'watermark', 'numbering',
-    'flattenForms') and e.k % 3 > 0, e.k, null) as payload
-      from (select n.*, (select max_by(coalesce(format('i{}:a{}:{}', o.seq, o.k, o.indices[1]), format('g{}:{}', 1000 * o.seq + 1, o.assets[2])),
-    o.seq) from numbered o
-         where o.doc_id = n.doc_id and o.seq < n.seq and (len(o.indices) > 0 or len(o.assets) > 0)) as last_own from numbered n) e"""
-
-
-def numbered(d: Spark) -> str:
-    """DuckDB's half of the edit log: events with their place, kind and what they bring in."""
-    return """select r.*, case when kind <> 'insert' then null when k % 7 = 0 then []::bigint[] else [k % 3, k % 4] end as indices,
-    if(kind = 'insertImages', [concat('a', k), concat('a', k + 1)], null) as assets
-      from (select q.*, case event_type when 'purchase' then 'draw' when 'view' then case k % 11 when 3 then 'insert' when 7 then 'insertImages'
-    else 'move' end
-          when 'click' then case k % 8 when 0 then 'crop' when 4 then 'raster' else 'rotate' end when 'error' then if(k % 9 = 0, 'delete', 'erase')
-          else case k % 5 when 0 then 'metadata' when 1 then (['watermark', 'numbering', 'flattenForms'])[k % 3 + 1] else 'setField' end end as kind
-        from (select user_id as doc_id, event_id, event_type, value, 5 + user_id % 8 as pc, cast(props ->> 'k' as bigint) as k,
-    count(*) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as seq from events) q) r"""
-
 
 def append_log(d: Spark) -> str:
     return f"select doc_id, seq as t, seq - 2 * {d.div('seq + 1', 4)} as cursor, event_id from edit_log"
@@ -176,8 +146,8 @@ def ocr_flat(d: Spark) -> str:
 def text_items(d: Spark) -> str:
     return f"""select doc_id, {d.div('i', 40)} + 1 as page_no, row_number() over (partition by doc_id, {d.div('i', 40)} order by i, j) - 1 as frag_no,
     str,
-      cast(sum(5.0 * length(str) + case when (i + j) % 7 = 0 then 0.5 else 2.8 end) over (partition by doc_id, i
-    order by j rows between unbounded preceding and 1 preceding) as double) as x0,
+      cast(sum(50 * length(str) + case when (i + j) % 7 = 0 then 5 else 28 end) over (partition by doc_id, i
+    order by j rows between unbounded preceding and 1 preceding) as double) / 10D as x0,
       cast(800 - 12 * (i % 40) - 20 * {d.div('i % 40', 4)} as double) as y, cast(5 * length(str) as double) as width, cast(10 as double) as height,
     (j = n - 1 and i % 3 <> 0) as has_eol
       from (select *, max(j) over (partition by doc_id, i) + 1 as n from (select doc_id, i, line
@@ -221,7 +191,7 @@ def strokes(d: Spark) -> str:
     return f"select event_id as id, cast({d.prop('k')} as double) as x1, cast({d.prop('k')} % 10 as double) as y1, value as x2, value / 2 as y2 from events"
 
 
-DERIVED: dict[str, Callable[[Spark], str]] = {f.__name__: f for f in (doc_manifest, doc_pages, selections, page_edits, bad_page_edits, numbered, edit_log, append_log, image_assets, sessions, objects, object_edges, roots, barriers, outline, fields, wanted, produced, ocr_flat, text_items, glyph_widths, structure_facts, batch_items, error_log, outputs, redactions, strokes)}
+DERIVED: dict[str, Callable[[Spark], str]] = {f.__name__: f for f in (doc_manifest, doc_pages, selections, page_edits, bad_page_edits, edit_log, append_log, image_assets, sessions, objects, object_edges, roots, barriers, outline, fields, wanted, produced, ocr_flat, text_items, glyph_widths, structure_facts, batch_items, error_log, outputs, redactions, strokes)}
 
 
 def _names(sql: str, among) -> list[str]:
@@ -246,13 +216,13 @@ def with_tables(sql: str) -> str:
     order: list[str] = []
 
     def need(text: str) -> None:
-        for n in _names(text, DERIVED):
+        for n in _names(text, TABLES):
             if n not in order:
-                need(DERIVED[n](DUCK))
+                need(TABLES[n])
                 order.append(n)
 
     need(sql)
-    ctes = ",\n".join(f"{n} as ({DERIVED[n](DUCK)})" for n in order)
+    ctes = ",\n".join(f"{n} as ({TABLES[n]})" for n in order)
     body = sql.strip()
     if not ctes:
         return body
