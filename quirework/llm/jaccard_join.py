@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from quirework.llm.common import batch, durable, join_few, text_columns
 from quirework.llm.runs import mixed, powers
 from quirework.llm.simhash import components
+from quirework.llm.simhash import forest as stars
 
 SHINGLE = 3
 #: Similarity in hundredths.
@@ -190,12 +191,15 @@ def split(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def in_cells(rows: DataFrame, columns: list[str], forest: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Links (a, b) that forest() finds in each cell of rows. It is given the bounds of some whole cells and the columns, sorted by cell and first column."""
+    """Links (a, b) that forest() finds in cells of rows, each node linked with the least one that it is connected to there.
+
+    forest() is given the bounds of some whole cells and the columns, sorted by cell and first column.
+    """
 
     def run(whole: pa.Table) -> Iterator[pa.RecordBatch]:
         cell = np.asarray(whole.column("cell"))
         begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        a, b = forest(np.append(begin, len(cell)), *(whole.column(c).combine_chunks() for c in columns))
+        a, b = stars(*forest(np.append(begin, len(cell)), *(whole.column(c).combine_chunks() for c in columns)))
         if len(a):
             yield batch(a=a, b=b)
 
