@@ -77,12 +77,13 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, barriers: DataFrame, c
     pieces, places, rounds = [frontier], None, 0
     while not frontier.isEmpty():
         seen = functools.reduce(DataFrame.unionByName, pieces)
-        if rounds == PLAIN_ROUNDS:
-            unseen = lambda df: df.join(seen.select(F.col("node").alias("src")), "src", "left_anti")  # noqa: E731, B023
-            places = path_places(main_targets(unseen(allowed)) if chains is None else unseen(chains.select("src", "dst").join(off, "dst", "left_anti")))
         step = allowed.join(frontier, allowed["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        fresh = step.join(seen, "node", "left_anti")
-        frontier = durable(along(fresh, places).join(seen, "node", "left_anti") if places is not None else fresh)
+        frontier = durable(step.join(seen, "node", "left_anti"))
+        if rounds >= PLAIN_ROUNDS and not frontier.isEmpty():
+            if places is None:
+                unseen = lambda df: df.join(seen.select(F.col("node").alias("src")), "src", "left_anti")  # noqa: E731, B023
+                places = path_places(main_targets(unseen(allowed)) if chains is None else unseen(chains.select("src", "dst").join(off, "dst", "left_anti")))
+            frontier = durable(along(frontier, places).join(seen, "node", "left_anti"))
         pieces.append(frontier)
         rounds += 1
         if len(pieces) > PIECES:

@@ -58,11 +58,11 @@ def test_many_edits_of_many_pages():
 
 
 def test_states_at_cursors_are_states_of_cut_logs(spark):
-    log = derive(spark, SF, "edit_log").where("doc_id % 3 = 0")
+    log = derive(spark, SF, "edit_log").where("doc_id % 7 = 0")
     manifest = log.select("doc_id", "pc").distinct()
     asked = (-5, 0, 1, 13, 13, 40, 10**6)
     at = editlog.state_at(manifest, log, manifest.select("doc_id", F.explode(F.array(*map(F.lit, asked))).alias("cursor")))
-    for cursor in (0, 13, 10**6):
+    for cursor in (13, 10**6):
         cut = editlog.whole_state(manifest, log.where(F.col("seq") < cursor))
         for part, df in cut.items():
             columns = sorted(df.columns)
