@@ -532,8 +532,14 @@ def test_toxicity_edges(spark):
 
 
 def test_other_operators_take_odd_tables(spark):
+    """Whole rows on odd texts, not their number only."""
     docs = odd(spark, EDGES)
-    assert pii.personal_data_digest(docs).count() == len(EDGES)
-    assert pii.personal_data_digest(docs.where("false")).count() == 0
-    assert substring_dedup.substring_digest(docs).count() == len(EDGES)
-    assert suffix_dedup.repeated_bytes_digest(docs).count() == len(EDGES)
+    found = {r.doc_id: r for r in pii.personal_data_digest(docs).collect()}
+    for i, t in enumerate(EDGES):
+        spans = plain_spans(t or "")
+        assert found[i].base_sha256 == hashlib.sha256(pii_line(spans).encode()).hexdigest() and [found[i][f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in spans) for k in pii.BASE]
+    assert len(found) == len(EDGES) and pii.personal_data_digest(docs.where("false")).count() == 0
+    left = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_substrings(docs).collect())
+    assert left == plain_substrings(list(enumerate(EDGES)), substring_dedup.WINDOW)
+    kept = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeated(docs).collect()}
+    assert kept == dict(enumerate(plain_repeats(EDGES, suffix_dedup.WINDOW)))
