@@ -27,8 +27,8 @@ from quirework.llm.runs import Rolling, covered, mixed, window_runs
 
 WINDOW = 400
 GRAM = 40
-#: Bytes at which small cells make a shard, and different runs of one value that go to one shard before the value is split.
-SHARD_BYTES = 1 << 19
+#: Bytes at which small cells make a shard, whose keys then fit a core's cache, and different runs of one value that go to one shard before the value is split.
+SHARD_BYTES = 1 << 17
 RUNS_A_SHARD = 1000
 #: Bytes of documents that are hashed together.
 TOGETHER = 1 << 18
