@@ -55,11 +55,13 @@ def text_layer_fit(words: DataFrame, glyphs: DataFrame, scale: float, page_heigh
 
 
 def encodability_audit(texts: DataFrame) -> DataFrame:
-    """(source, texts, changed, dropped): texts with characters that standard fonts can't encode, by slice; line ends don't count."""
-    flat = F.regexp_replace("text", r"[\r\n\t]", "")
-    kept = F.regexp_replace(flat, f"[^{WIN_ANSI}]", "")
-    lost = F.length(flat) - F.length(kept)
-    return texts.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(lost > 0).alias("changed"), F.sum(lost).cast("long").alias("dropped"), F.min(F.nullif(F.regexp_extract(flat, f"([^{WIN_ANSI}])", 1), F.lit(""))).alias("first_unsupported"))
+    """(source, texts, changed, dropped, first_unsupported): texts with characters that standard fonts can't encode, by slice; line ends don't count.
+
+    One pass takes the runs of encodable characters out, which leaves the lost ones in their order.
+    """
+    lost = texts.select("source", F.regexp_replace("text", rf"[{WIN_ANSI}\r\n\t]++", "").alias("lost"))
+    first = F.nullif(F.substring("lost", 1, 1), F.lit(""))
+    return lost.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(F.length("lost") > 0).alias("changed"), F.sum(F.length("lost")).cast("long").alias("dropped"), F.min(first).alias("first_unsupported"))
 
 
 def text_fragments(items: DataFrame) -> DataFrame:
