@@ -14,6 +14,8 @@ from quirework.functions import one_space, trimmed
 SLACK = 1.0
 #: Points of a cell's side, and cells beyond which a box or fragment is compared apart from the grid.
 CELL, MOST_CELLS = 64.0, 4096
+#: Cells, off any grid, in which wide boxes meet all fragments of their page, and wide fragments the boxes of the grid.
+WIDE_BOX, WIDE_FRAGMENT = (-(2**60), 0), (-(2**60), 1)
 
 
 def _cells(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
@@ -25,35 +27,53 @@ def _cells(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Colu
     return F.when(F.isnan(n) | far, F.lit(float("inf"))).otherwise(n), F.flatten(F.transform(F.sequence(lo_y, hi_y), row))
 
 
-def painted_keys(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
-    """(doc_id, page_no, frag_no) of the fragments that overlap a box of their page, with some slack on every side.
+def _apart(cell: tuple[int, int]) -> Column:
+    """A list of one cell off the grid."""
+    return F.array(F.struct(F.lit(cell[0]).cast("long").alias("cx"), F.lit(cell[1]).cast("long").alias("cy")))
+
+
+def _mask(cells: Column) -> Column:
+    """64 bits in which a cell sets the one of its column and row modulo 8: rectangles without a common bit have no common cell."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(c["cx"], F.lit(8)) * 8 + F.pmod(c["cy"], F.lit(8))).cast("int"))
+    return F.aggregate(cells, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(bit(c)))
+
+
+def words_under_boxes(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
+    """(doc_id, page_no, frag_no, str): fragments that overlap a box of their page, with some slack on every side.
 
     Boxes, with their slack, and fragments meet in the cells of a grid that they touch, so that a page of many boxes and fragments is no task
-    of all pairs. What touches thousands of cells is compared with all others of its page instead.
+    of all pairs. What touches thousands of cells is compared with all others of its page instead. Only fragments with a cell in the mask of
+    their page's boxes are sent to the grid; fragments dealt out by doc_id and page_no are not moved for that.
     """
-    page = ["doc_id", "page_no"]
+    page, key = ["doc_id", "page_no"], ["doc_id", "page_no", "frag_no", "str"]
     b = boxes.select(*page, (F.col("x") - slack).alias("bx0"), (F.col("y") - slack).alias("by0"), (F.col("x") + F.col("width") + slack).alias("bx1"), (F.col("y") + F.col("height") + slack).alias("by1"))
-    f = fragments.select(*page, "frag_no", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
-    f = f.join(b.select(*page).distinct(), page, "left_semi")
+    f = fragments.select(*key, F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + F.col("height")).alias("y1"))
     (b_n, b_cells), (f_n, f_cells) = _cells(*(F.col(f"b{c}") for c in ("x0", "y0", "x1", "y1"))), _cells(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    b_mask, f_mask = (F.when(n <= MOST_CELLS, _mask(cells)).otherwise(F.lit(-1)) for n, cells in ((b_n, b_cells), (f_n, f_cells)))
+    pages = b.groupBy(*page).agg(F.bit_or(b_mask).alias("mask"), F.bool_or(~(b_n <= MOST_CELLS)).alias("wide"))
+    f = f.join(pages.hint("shuffle_hash"), page).where(f_mask.bitwiseAND(F.col("mask")) != 0)
+    f_at = F.concat(F.when(f_n <= MOST_CELLS, f_cells).otherwise(_apart(WIDE_FRAGMENT)), F.when(F.col("wide"), _apart(WIDE_BOX)).otherwise(F.array().cast("array<struct<cx:bigint,cy:bigint>>")))
+    b_at = F.when(b_n <= MOST_CELLS, F.concat(b_cells, _apart(WIDE_FRAGMENT))).otherwise(_apart(WIDE_BOX))
+    spread = lambda df, cells: df.withColumn("cell", F.explode(cells)).select("*", "cell.cx", "cell.cy").drop("cell", "mask", "wide")
     overlap = (F.col("x1") > F.col("bx0")) & (F.col("x0") < F.col("bx1")) & (F.col("y1") > F.col("by0")) & (F.col("y0") < F.col("by1"))
-    key = [*page, "frag_no"]
-    gridded = lambda df, n, cells: df.where(n <= MOST_CELLS).withColumn("cell", F.explode(cells)).select("*", "cell.cx", "cell.cy").drop("cell")
-    near = gridded(f, f_n, f_cells).join(gridded(b, b_n, b_cells), [*page, "cx", "cy"]).where(overlap).select(*key)
-    wide_boxes = f.join(b.where(b_n > MOST_CELLS), page).where(overlap).select(*key)
-    wide_fragments = f.where(f_n > MOST_CELLS).join(b.where(b_n <= MOST_CELLS), page).where(overlap).select(*key)
-    return near.unionByName(wide_boxes).unionByName(wide_fragments).distinct()
+    return spread(f, f_at).join(spread(b, b_at), [*page, "cx", "cy"]).where(overlap).select(*key).distinct()
 
 
-def flag_painted(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
-    """The fragments with painted: whether one overlaps a box of its page, with some slack on every side."""
-    keys = painted_keys(fragments, boxes, slack).withColumn("painted", F.lit(True))
-    return fragments.join(keys, ["doc_id", "page_no", "frag_no"], "left").withColumn("painted", F.coalesce("painted", F.lit(False)))
+def painted_keys(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
+    """(doc_id, page_no, frag_no) of the fragments that overlap a box of their page, with some slack on every side."""
+    return words_under_boxes(fragments, boxes, slack).select("doc_id", "page_no", "frag_no").distinct()
 
 
-def words_under_boxes(fragments: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
-    """(doc_id, page_no, frag_no, str): fragments that overlap a box of their page, with some slack on every side."""
-    return fragments.join(painted_keys(fragments, boxes, slack), ["doc_id", "page_no", "frag_no"], "left_semi").select("doc_id", "page_no", "frag_no", "str")
+def without_painted(fragments: DataFrame, painted: DataFrame) -> DataFrame:
+    """(doc_id, page_no, frag_no, str): the fragments that are not among the painted ones (doc_id, page_no, frag_no)."""
+    keys = ["doc_id", "page_no", "frag_no"]
+    return fragments.select(*keys, "str").join(painted.select(*keys), keys, "left_anti")
+
+
+def page_runs(fragments: DataFrame) -> DataFrame:
+    """(doc_id, page_no, frag_no, str): each page as one fragment that says what its fragments say, in their order, with a space between them."""
+    said = F.sort_array(F.collect_list(F.struct("frag_no", "str")))
+    return fragments.groupBy("doc_id", "page_no").agg(F.min("frag_no").alias("frag_no"), F.array_join(F.transform(said, lambda p: p["str"]), " ").alias("str"))
 
 
 def redaction_needles(words: DataFrame) -> DataFrame:
