@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quirework.operators import redaction, text
+from quirework.operators import redaction, search, text
 from quirework.plans import text as plans
 from quirework.plans.fixtures import derive
 from quirework.plans.registry import QUERIES
@@ -66,3 +66,11 @@ def test_pages_of_fragments_read_as_their_fragments(spark):
     frags = spark.createDataFrame([(1, 1, 1, "smith"), (1, 1, 0, "Black"), (1, 2, 0, "x"), (2, 1, 0, None), (1, 2, 1, "gone")], "doc_id long, page_no int, frag_no int, str string")
     kept = redaction.without_painted(frags, frags.where(F.col("str") == "gone"))
     assert {tuple(r) for r in redaction.page_runs(kept).collect()} == {(1, 1, 0, "Black smith"), (1, 2, 0, "x"), (2, 1, 0, "")}
+
+
+def test_known_queries_move_only_finds(spark, monkeypatch):
+    """No postings for queries that tasks can be told; texts, ids and queries may repeat."""
+    monkeypatch.setattr(search, "postings", lambda texts, key, wanted=None, f=search.postings: f(texts, key, wanted) if key == "query_id" else 1 / 0)
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "gamma"), (2, "beta gamma"), (3, ""), (None, "beta")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "BETA"), (2, "gamma"), (3, "alpha b"), (4, "beta"), (5, "alpha gamma"), (6, "aaaa")], "query_id long, query string")
+    assert sorted(tuple(r) for r in search.search_many(docs, ["text"], queries).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (4, 2)]
