@@ -74,3 +74,30 @@ def test_known_queries_move_only_finds(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta"), (1, "gamma"), (2, "beta gamma"), (3, ""), (None, "beta")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "BETA"), (2, "gamma"), (3, "alpha b"), (4, "beta"), (5, "alpha gamma"), (6, "aaaa")], "query_id long, query string")
     assert sorted(tuple(r) for r in search.search_many(docs, ["text"], queries).collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (4, 2)]
+
+
+def test_no_fragment_leaves_a_page_of_few_boxes(spark):
+    """What ran, not only what was planned: the grid is for pages of many boxes, and there are none."""
+    df = redaction.words_under_boxes(*plans.painted_over(spark, SF))
+    assert df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Final Plan" in ran and not [x for x in re.findall(r"Exchange \w+\([^)]*\)", ran) if "cx" in x or "frag_no" in x]
+
+
+def test_pages_of_few_and_of_many_boxes(spark, monkeypatch):
+    frags = [(d, p, i, f"w{i}", float(7 * i % 900), float(50 * (i % 9)), 5.0 * (i % 4), 10.0) for d in (1, 2) for p in (1, 2) for i in range(60)] + [(3, 1, 0, "lone", 0.0, 0.0, 1e9, 1.0)]
+    boxes = [(1, 1, 0.0, 0.0, 100.0, 60.0)] * 2 + [(1, 2, 30.0 * k, 40.0 * k, 31.0, 12.0) for k in range(8)] + [(2, 1, 10.0, -1e9, 3.0, 2e9), (2, 1, 500.0, 49.0, 9.0, 9.0), (3, 1, 5e8, 0.0, 1.0, 1.0), (4, 1, 0.0, 0.0, 9.0, 9.0)]
+    want = {f[:4] for f in frags for b in boxes if f[:2] == b[:2] and f[4] + f[6] > b[2] - 1 and f[4] < b[2] + b[4] + 1 and f[5] + f[7] > b[3] - 1 and f[5] < b[3] + b[5] + 1}
+    f = spark.createDataFrame(frags, "doc_id long, page_no long, frag_no int, str string, x double, y double, width double, height double")
+    b = spark.createDataFrame(boxes, "doc_id long, page_no long, x double, y double, width double, height double")
+    for most in (0, 1, 2, 256):
+        monkeypatch.setattr(redaction, "FEW_BOXES", most)
+        assert sorted(tuple(r) for r in redaction.words_under_boxes(f, b).collect()) == sorted(want), most
+
+
+def test_painted_words_go_without_moving_the_others(spark):
+    frags = spark.createDataFrame([(1, 1, 0, "a"), (1, 1, 1, "b"), (1, 1, None, "c"), (None, 1, 1, "d"), (1, 2, 1, "e")], "doc_id long, page_no int, frag_no int, str string")
+    painted = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 1, 7), (None, 1, 1), (1, 1, None)], "doc_id long, page_no int, frag_no int")
+    kept = redaction.without_painted(frags.repartition(4, "doc_id", "page_no"), painted)
+    assert not [x for x in exchanges(kept) if "frag_no" in x]
+    assert sorted(r["str"] for r in kept.collect()) == ["a", "c", "d", "e"]
