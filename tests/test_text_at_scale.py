@@ -28,6 +28,26 @@ def test_words_stay_with_their_pages(spark):
         assert len(exchanges(QUERIES[name](spark, SF))) == 1, name
 
 
+def test_words_of_a_page_are_made_once(spark):
+    """No inferred test of sizes repeats the cutting of pages, and no character is a row of its own."""
+    plan = QUERIES["t7_line_texts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(part_lines") == 1 and plan.count("lambdafunction(array_insert") == 2 and not re.search(r"split\(\w+#\d+, , -1\)", plan)
+
+
+def test_offsets_in_long_lines(spark):
+    """Lines of several pieces, of words and of blanks, about the ends of pieces."""
+    ends = [n for k in (1, 2, 3, 20) for n in (16 * k - 1, 16 * k, 16 * k + 1)]
+    docs = [(n, " ".join("é𝒳x"[: 1 + j % 3] if (n + j) % 5 else "" for j in range(n))) for n in ends]
+    got = derive(spark, SF, "text_items", documents=spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "frag_no", "str", "x0").collect()
+    want = []
+    for n, line in docs:
+        at = 0
+        for j, word in enumerate(line.split(" ")):
+            want.append((n, j, word, at / 10 if j else None))
+            at += 50 * len(word) + (5 if j % 7 == 0 else 28)
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_fragments_of_odd_texts(spark):
     odd = [(1, None), (2, ""), (3, " "), (4, "\n"), (5, "a  b\n\n c é日本 𝒳𝒳 x\n" * 30), (None, "x y\nz"), (6, "a " * 100 + "\r\n b")]
     got = derive(spark, SF, "text_items", documents=spark.createDataFrame(odd, "doc_id long, text string")).collect()
